@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, language, mixing, ngram_join, quality, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
+    "op10_html_text": op10_html_text,
 }
 
 SQL: dict[str, str] = {
