@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out
 from .textcore import LETTERS, Words, column_bytes, mix, pieces
 
-PER_LANG = 1500  # documents of each language that the fit takes, about
+PER_LANG = 400  # documents of each language that the fit takes, about
 LONGEST = 5
 SURE_WORDS = 20  # a text's mean evidence counts as that of so many words at most
 
@@ -108,9 +108,8 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
     w = Words(texts, LETTERS)
     lang = lang_of_doc[w.doc_of()] if len(w.start) else np.empty(0, np.int64)
     words = _table(w.hash, lang, np.ones(len(lang)), len(names), 2)
-    pairs, first, times = np.unique(np.stack([w.hash, lang.astype(np.uint64)]), axis=1, return_index=True, return_counts=True)
-    weight = np.sqrt(times)
-    pair_lang = pairs[1].astype(np.int64)
+    _, first, times = np.unique(mix(w.hash) + lang.astype(np.uint64), return_index=True, return_counts=True)
+    weight, pair_lang = np.sqrt(times), lang[first]
     grams = []
     for n, (h, of) in enumerate(_ngrams(_word_texts(w, first)), 1):
         own = of >= 0
