@@ -27,29 +27,56 @@ def _nodes(e: DataFrame) -> DataFrame:
     return e.select("g", F.col("s").alias("node")).union(e.select("g", F.col("d").alias("node"))).distinct()
 
 
-def pagerank(edges: DataFrame, weight: str | None = None, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-8, check_every: int = 10) -> DataFrame:
-    """(group, node, pagerank, pr_rank, converged) of all groups at once by power iteration with uniform teleport and dangling mass. A
-    group stops when its change is below N * tol; one that doesn't get there keeps its last values with converged = false. Lineage
-    is cut, and the stop tested, every few rounds."""
-    e = saved(simple_edges(edges, weight))
+#: Edges of a group up to which one task iterates over it in memory (some 30 MB); larger groups iterate as distributed tables.
+GROUP_EDGES = 500_000
+
+
+def _pagerank_small(alpha: float, max_iter: int, tol: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([pdf["s"], pdf["d"]]), return_inverse=True)
+        n, (s, d) = len(nodes), (at[: len(pdf)], at[len(pdf) :])
+        out = np.bincount(s, pdf["w"], n)
+        share, pr, done = pdf["w"].to_numpy() / out[s], np.full(n, 1 / n), False
+        for _ in range(max_iter):
+            new = (1 - alpha) / n + alpha * (np.bincount(d, pr[s] * share, n) + pr[out == 0].sum() / n)
+            done = bool(np.abs(new - pr).sum() < n * tol)
+            pr = new
+            if done:
+                break
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "node": nodes, "pr": pr, "done": done})
+
+    return run
+
+
+def _pagerank_large(e: DataFrame, alpha: float, max_iter: int, tol: float) -> DataFrame:
+    """Power iteration of whole tables; every round is saved, so its plan never holds an earlier round."""
     out = e.groupBy("g", F.col("s").alias("node")).agg(F.sum("w").alias("out_w"))
     base = _nodes(e).join(out, ["g", "node"], "left")
-    n = base.groupBy("g").agg(F.count("*").alias("n"))
-    state = saved(base.join(n, "g").select("g", "node", "out_w", "n", (1 / F.col("n")).alias("pr"), F.lit(False).alias("done")))
-    links = e.select("g", "s", "d", "w")
-    rounds = 0
-    while rounds < max_iter:
-        for _ in range(min(check_every, max_iter - rounds)):
-            flow = state.join(links.withColumnRenamed("s", "node"), ["g", "node"]).groupBy("g", F.col("d").alias("node")).agg(F.sum(F.col("pr") * F.col("w") / F.col("out_w")).alias("flow"))
-            w = Window.partitionBy("g")
-            dangling = F.coalesce(F.sum(F.when(F.col("out_w").isNull(), F.col("pr"))).over(w), F.lit(0.0))
-            new = state.join(flow, ["g", "node"], "left").withColumn("next", (1 - alpha) / F.col("n") + alpha * (F.coalesce("flow", F.lit(0.0)) + dangling / F.col("n")))
-            new = new.withColumn("change", F.sum(F.abs(F.col("next") - F.col("pr"))).over(w))
-            state = new.select("g", "node", "out_w", "n", F.when(F.col("done"), F.col("pr")).otherwise(F.col("next")).alias("pr"), (F.col("done") | (F.col("change") < F.col("n") * tol)).alias("done"))
-            rounds += 1
-        state = saved(state)
+    state = saved(base.join(base.groupBy("g").agg(F.count("*").alias("n")), "g").select("g", "node", "out_w", "n", (1 / F.col("n")).alias("pr"), F.lit(False).alias("done")))
+    links = saved(e.select("g", F.col("s").alias("node"), "d", "w"))
+    for _ in range(max_iter):
         if not state.where("not done").take(1):
             break
+        flow = state.join(links, ["g", "node"]).groupBy("g", F.col("d").alias("node")).agg(F.sum(F.col("pr") * F.col("w") / F.col("out_w")).alias("flow"))
+        lost = state.groupBy("g").agg(F.sum(F.when(F.col("out_w").isNull(), F.col("pr")).otherwise(0.0)).alias("lost"))
+        new = state.join(flow, ["g", "node"], "left").join(lost, "g").withColumn("next", (1 - alpha) / F.col("n") + alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("n")))
+        new = saved(new.select("g", "node", "out_w", "n", "pr", "done", F.when(F.col("done"), F.col("pr")).otherwise(F.col("next")).alias("next")))
+        change = new.groupBy("g").agg(F.sum(F.abs(F.col("next") - F.col("pr"))).alias("change"))
+        state = saved(new.join(change, "g").select("g", "node", "out_w", "n", F.col("next").alias("pr"), (F.col("done") | (F.col("change") < F.col("n") * tol)).alias("done")))
+    return state.select("g", "node", "pr", "done")
+
+
+def pagerank(edges: DataFrame, weight: str | None = None, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-8, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """(group, node, pagerank, pr_rank, converged) by power iteration with uniform teleport and dangling mass. A group stops when its change
+    is below N * tol; one that doesn't get there keeps its last values with converged = false. Groups of up to group_edges edges are
+    each iterated in one task; larger ones by joins, never gathered."""
+    e = saved(simple_edges(edges, weight))
+    sizes = e.groupBy("g").agg(F.count("*").alias("n"))
+    small = e.join(sizes.where(F.col("n") <= group_edges).select("g"), "g", "left_semi")
+    state = small.groupBy("g").applyInPandas(_pagerank_small(alpha, max_iter, tol), "g long, node long, pr double, done boolean")
+    large = sizes.where(F.col("n") > group_edges).select("g")
+    if large.take(1):
+        state = state.union(_pagerank_large(e.join(large, "g", "left_semi"), alpha, max_iter, tol))
     return state.select(F.col("g").alias(GROUP), "node", F.col("pr").alias("pagerank"), dense_rank_known(F.col("pr"), ["g"]).alias("pr_rank"), F.col("done").alias("converged"))
 
 
