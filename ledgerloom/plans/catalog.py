@@ -26,7 +26,8 @@ def query(f: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFram
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles at so many decimals, -0.0 as 0.0."""
+    return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def texts(df: DataFrame, *columns: str) -> DataFrame:
@@ -39,7 +40,7 @@ def texts(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def txn_features_clean(w: Workspace) -> DataFrame:
-    return rounded(w.clean)
+    return w.clean
 
 
 @query
