@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_address_list, with_global_pct_rank
-from ..operators import addresses, features, ranking, reports, subnetworks
+from ..operators import addresses, features, models, ranking, reports, subnetworks
 from ..sources import tables
 from .workspace import Workspace, workspace
 
@@ -527,5 +527,68 @@ def parse_address_lists(w: Workspace) -> DataFrame:
     return c.select("c_custkey", F.array_join(parsed, "~").alias("parsed"), F.size(parsed).cast("long").alias("n"))
 
 
+# --- models: rows only, their random numbers have no SQL form
+
+MODEL_COLUMNS = ["fees", "size", "in_BTC_total", "out_BTC_max", "num_input_addresses", "in_txs_degree", "out_txs_degree", "total_BTC"]
+
+
+def _labelled(w: Workspace) -> DataFrame:
+    df = w.features.join(w.scores.select("txId", "class"), "txId").select("txId", "time_step", "class", *MODEL_COLUMNS)
+    return features.impute_median(df, ["txId", "time_step", "class"])
+
+
+def _training(w: Workspace) -> DataFrame:
+    return _labelled(w).where("class is not null").cache()
+
+
+@query
+def rf_score(w: Workspace) -> DataFrame:
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.forest(20, 8), threshold=0.4, name="rf")
+    return rounded(models.score(bundle, _labelled(w)).select("txId", "pred_model", "pred_proba", "pred_class"))
+
+
+@query
+def lr_score(w: Workspace) -> DataFrame:
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(100, 0.01, 0.5, weighted=True), threshold=0.5, name="lr")
+    return rounded(models.score(bundle, _labelled(w)).select("txId", "pred_model", "pred_proba", "pred_class"))
+
+
+def _windows(w: Workspace) -> list[tuple[int, int]]:
+    n = _training(w).count()
+    return features.fold_windows(n, min(30_000, n // 2), 2)
+
+
+@query
+def cv_summary(w: Workspace) -> DataFrame:
+    return rounded(models.cross_validate(_training(w), MODEL_COLUMNS, lambda: models.logistic(50, weighted=True), _windows(w))[0])
+
+
+def _search(w: Workspace) -> list[dict]:
+    grid = [{"reg": r, "l1_ratio": a} for r in (0.001, 0.1) for a in (0.0, 0.5)]
+    return models.successive_halving(_training(w), MODEL_COLUMNS, grid, lambda n, reg, l1_ratio: models.logistic(n, reg, l1_ratio, True), [5, 20], factor=2, splits=2)
+
+
+@query
+def halving_search(w: Workspace) -> DataFrame:
+    return rounded(w.spark.createDataFrame([tuple(r[k] for k in ("round", "resource", "candidate", "recall", "reg", "l1_ratio")) for r in _search(w)], "round int, resource int, candidate int, recall double, reg double, l1_ratio double"))
+
+
+@query
+def tuning_params(w: Workspace) -> DataFrame:
+    return rounded(w.spark.createDataFrame([(r["round"], r["candidate"], r["recall"], r["best"]) for r in models.tuning_report(_search(w))], "round int, candidate int, recall double, best boolean"))
+
+
+@query
+def perm_importance(w: Workspace) -> DataFrame:
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(30, weighted=True), threshold=0.5)
+    return rounded(models.importance_ranks(models.permutation_importance(bundle, _training(w), 1), models.model_importance(bundle, w.spark)))
+
+
+@query
+def coef_importance(w: Workspace) -> DataFrame:
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(30, weighted=True), threshold=0.5)
+    return rounded(models.model_importance(bundle, w.spark))
+
+
 def names() -> Sequence[str]:
     return list(QUERIES)
