@@ -1 +1 @@
-
+"""Loaders, sinks and the transaction-graph views."""

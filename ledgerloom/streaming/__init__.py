@@ -1 +1 @@
-
+"""Structured Streaming forms of stateless operators."""
