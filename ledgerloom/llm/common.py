@@ -21,6 +21,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of rows that cross to a Python worker at once: memory then follows the longest text, not the number of rows in a batch.
+BATCH_BYTES = 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_BYTES (a smaller setting stays)."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

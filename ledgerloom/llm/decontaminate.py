@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import batched, saved
 from .textcore import ALNUM, Words, as_bytes, column_bytes, kgrams, pieces
 
 #: Bytes of benchmark text that a block holds; a larger benchmark is matched block by block.
@@ -190,7 +190,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                         items[a + doc] = sorted({*items[a + doc], *(f.ids[i] for i in found)})
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], ["id", "text", "n_words", "spans", "items"])
 
-        out = out.mapInArrow(mark, out.schema)
+        out = batched(out).mapInArrow(mark, out.schema)
         if block + 1 < blocks:
             out = saved(out)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
@@ -214,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     keep[[a + doc for doc in match(Words(raw[a:b], ALNUM), known.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = batched(docs).mapInArrow(clean, docs.schema)
         if block + 1 < blocks:
             docs = saved(docs)
     return docs

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 BOILERPLATE, CONTENT, MIXED = 0, 1, 2  # labels of a node; MIXED holds nodes of both kinds and has no text of its own to keep
 
 # Element names of HTML by their role.
@@ -355,4 +357,4 @@ def main_texts(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return batched(rows).mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
 from .labelled import held_out
 from .textcore import LETTERS, Words, column_bytes, mix, pieces
 
@@ -172,4 +173,4 @@ def languages(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double").select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+    return batched(rows).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double").select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_parts
+from .common import batched, saved, shuffle_parts
 from .components import components
 from .textcore import NON_SPACE, Words, by_key, column_bytes, kgrams, mix, pieces
 
@@ -161,7 +161,7 @@ def _digests(rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()),) * 3, pa.array([cells.tobytes()])], ["id", "n", "hi", "lo", "sketch"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"id {kind}, n long, hi long, lo long, sketch binary")
+    return batched(rows).mapInArrow(digest, f"id {kind}, n long, hi long, lo long, sketch binary")
 
 
 def _prefixes(rows: DataFrame, k: int, threshold: int, order: np.ndarray) -> DataFrame:
@@ -183,7 +183,7 @@ def _prefixes(rows: DataFrame, k: int, threshold: int, order: np.ndarray) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], ["id", "n", "hi", "lo", "bits", "tokens"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(prefix, f"id {kind}, n long, hi long, lo long, bits binary, tokens array<long>")
+    return batched(rows).mapInArrow(prefix, f"id {kind}, n long, hi long, lo long, bits binary, tokens array<long>")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -212,9 +212,9 @@ def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at, pa.int64())), pa.array(words, pa.binary())], ["node", "words"])
 
     with_cell = rows.withColumn("c", cell)
-    texts = with_cell.mapInArrow(marked, with_cell.schema).select(F.col("id").alias("_id"), "text")
+    texts = batched(with_cell).mapInArrow(marked, with_cell.schema).select(F.col("id").alias("_id"), "text")
     matched = texts.join(nodes, texts["_id"].eqNullSafe(nodes["id"])).select("node", "hi", "lo", "text")
-    return matched.mapInArrow(compute, "node long, words binary").dropDuplicates(["node"])
+    return batched(matched).mapInArrow(compute, "node long, words binary").dropDuplicates(["node"])
 
 
 def _tiled(tiles: DataFrame) -> DataFrame:

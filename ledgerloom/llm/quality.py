@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
 from .labelled import held_out, labelled_texts
 from .textcore import NON_SPACE, Words, column_bytes, pieces
 
@@ -170,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mac
             cut = [slice(a, b) for a, b in zip(x.row_at[:-1], x.row_at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label").cast(pa.int32()), pa.array([x.column[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([x.value[c].astype(np.float32).tobytes() for c in cut], pa.binary())], ["id", "label", "c", "v"])
 
-    got = rows.mapInArrow(features, "id string, label int, c binary, v binary").toPandas().sort_values(["id", "c", "v"]).drop_duplicates("id")
+    got = batched(rows).mapInArrow(features, "id string, label int, c binary, v binary").toPandas().sort_values(["id", "c", "v"]).drop_duplicates("id")
     columns = [np.frombuffer(c, np.int32) for c in got["c"]]
     x = Features(np.concatenate([[0], np.cumsum([len(c) for c in columns])]).astype(np.int64), np.concatenate([*columns, np.empty(0, np.int32)]).astype(np.int64), np.concatenate([*(np.frombuffer(v, np.float32) for v in got["v"]), np.empty(0, np.float32)]).astype(np.float64))
     m = fit(x, got["label"].to_numpy(np.float64))
@@ -198,7 +199,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(sent.value, batch, "text"))], ["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, score double").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return batched(rows).mapInArrow(score, f"doc_id {kind}, score double").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:
@@ -210,4 +211,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_la
         for batch in batches:
             yield batch.filter(pa.array(_scores(sent.value, batch, "text") >= threshold))
 
-    return _with_length(docs).mapInArrow(good, _with_length(docs).schema).select(*(F.col(f"`{c}`") for c in own.names))
+    return batched(_with_length(docs)).mapInArrow(good, _with_length(docs).schema).select(*(F.col(f"`{c}`") for c in own.names))

@@ -138,7 +138,7 @@ def as_bytes(texts: Iterable) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def pieces(texts: list[bytes], limit: int = _PIECE) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], limit: int = _PIECE // 2) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with up to limit bytes each, or a single longer text."""
     a = total = 0
     for i, t in enumerate(texts):

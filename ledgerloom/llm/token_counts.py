@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import batched, saved
 from .textcore import column_bytes, pieces
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -71,7 +71,7 @@ def token_stream(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = EOD, bl
             yield out(np.concatenate(held), [x for _, x in ids])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(write, f"file long, block long, ids array<{rows.schema['id'].dataType.simpleString()}>, payload binary")
+    return batched(rows).mapInArrow(write, f"file long, block long, ids array<{rows.schema['id'].dataType.simpleString()}>, payload binary")
 
 
 def scan_blocks(blocks: DataFrame, eod: int = EOD, width: int = 4) -> DataFrame:
@@ -89,7 +89,7 @@ def scan_blocks(blocks: DataFrame, eod: int = EOD, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), batch.column("ids"), pa.array(ends, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], ["file", "block", "ids", "ends", "lengths"])
 
     schema = f"file long, block long, ids {blocks.schema['ids'].dataType.simpleString()}, ends long, lengths array<long>"
-    return blocks.select("file", "block", "ids", "payload").mapInArrow(scan, schema)
+    return batched(blocks.select("file", "block", "ids", "payload")).mapInArrow(scan, schema)
 
 
 def document_lengths(scanned: DataFrame) -> DataFrame:
