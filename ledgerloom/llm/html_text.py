@@ -30,7 +30,7 @@ GROUPS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 HOLDERS = frozenset("ul ol menu dl table select html body".split())
 
 #: Exponents of the emission potentials: runs of text below one element resemble each other, so each weighs less than if it stood alone.
-WEIGHT = {"words": 0.5, "links": 0.5, "stop": 0.5, "in": 0.5, "tag": 0.3, "landmark": 1.5, "part": 1.5}
+WEIGHT = {"words": 0.7, "links": 0.7, "stop": 0.7, "in": 0.7, "tag": 0.3, "landmark": 2.0, "part": 1.5}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?/a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -254,10 +254,12 @@ class _Template:
     def boiler(self, kind: str) -> str:
         r = self.rng
         plain = r.random() < 0.4
+        if kind == "noscript":
+            return f'<noscript data-y="b">{self.words(2, 15)}</noscript>'
         if kind == "nav":
             return f'<nav data-y="b"{"" if plain else self.named("nav")}>{self.links(r.randint(2, 9))}</nav>' if r.random() < 0.7 else f'<div data-y="b" class="{r.choice(NAMES["nav"])}">{self.links(r.randint(2, 9))}</div>'
         if kind == "header":
-            inside = r.choice((f"<h1>{self.words(1, 4, False)}</h1>", f"<p>{self.words(2, 12)}</p>", self.words(1, 8, False), self.links(3)))
+            inside = r.choice((f"<h1>{self.words(1, 4, False)}</h1>", f"<h1>{self.words(1, 6, False)}</h1><p>{self.words(2, 20)}</p>", self.prose(), f"<p>{self.words(2, 12)}</p>", self.words(1, 8, False), self.links(3)))
             return f'<header data-y="b"{"" if plain else self.named("header")}>{inside}</header>' if r.random() < 0.7 else f'<div data-y="b" class="{r.choice(NAMES["header"])}">{inside}</div>'
         if kind == "footer":
             inside = r.choice((self.words(2, 25), f"<p>{self.words(2, 30)}</p>", self.prose(), self.links(4) + self.words(3, 12)))
@@ -297,9 +299,9 @@ class _Template:
         r = self.rng
         blocks = [self.block() for _ in range(r.randint(1, 14))]
         title = f"<h1>{self.words(1, 14, False)}</h1>"
-        blocks.insert(0, f"<header>{title}</header>" if r.random() < 0.1 else title if r.random() < 0.85 else "")
-        for kind in ("ad", "share", "form", "side", "notice", "nav"):
-            if r.random() < 0.3:
+        blocks.insert(0, title if r.random() < 0.9 else "")
+        for kind in ("ad", "share", "form", "side", "notice", "nav", "header", "noscript"):
+            if r.random() < (0.06 if kind in ("header", "noscript") else 0.3):
                 blocks.insert(r.randint(1, len(blocks)), self.boiler(kind))
         if r.random() < 0.3:
             blocks.append(self.boiler("comments"))
@@ -327,7 +329,7 @@ class _Template:
         inside = "".join(middle)
         for _ in range(r.choice((0, 0, 1, 1, 2))):
             inside = f'<{(t := r.choice(("div", "div", "main", "section")))} data-y="m"{self.named("wrap")}>{inside}</{t}>'
-        before = "".join(self.boiler(k) for k, p in (("notice", 0.3), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.15)) if r.random() < p)
+        before = "".join(self.boiler(k) for k, p in (("notice", 0.3), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.15), ("noscript", 0.1)) if r.random() < p)
         after = "".join(self.boiler(k) for k, p in (("side", 0.25), ("ad", 0.2), ("nav", 0.15), ("footer", 0.8), ("notice", 0.15)) if r.random() < p)
         return "m", f'<html data-y="m"><body data-y="m">{before}{inside}{after}</body></html>'
 
