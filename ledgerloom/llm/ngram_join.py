@@ -309,7 +309,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75) -> DataFrame:
     """The rows of docs whose id is their component's smallest, with all their columns; rules as in ngram_components. Of repeated
-    rows with that id all stay; rows with a null id stay only where their component has no other id."""
+    rows with that id all stay. Rows with a null id go, unless one of them has no other id in its component: then all of them stay."""
     found = ngram_components(docs, id_col, text_col, words, threshold)
     first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
     return docs.join(first, docs[id_col].eqNullSafe(first["_first"]), "left_semi")
