@@ -144,84 +144,252 @@ def _with_all(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return out.withColumn(f"rank_{name}", dense_rank_known(F.col(name), [GROUP]))
 
 
-#: Nodes of a group up to which the dense matrix metrics are computed; larger groups get zeros, as where an iteration fails.
+#: Nodes of a group up to which Katz is solved as a dense matrix (32 MB); larger groups iterate.
 MATRIX_NODES = 2_000
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    nodes = np.unique(np.concatenate([pdf["s"], pdf["d"]]))
-    a = np.zeros((len(nodes), len(nodes)))
-    a[np.searchsorted(nodes, pdf["s"]), np.searchsorted(nodes, pdf["d"])] = 1
-    return nodes, a
-
-
-def _hits(a: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+class _Arrays:
+    """The simple graph of one group in memory. A vector is an array with a value for each node."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.nodes, at = np.unique(np.concatenate([pdf["s"], pdf["d"]]), return_inverse=True)
+        self.n, self.s, self.d = len(self.nodes), at[: len(pdf)], at[len(pdf) :]
+
+    def undirected(self) -> _Arrays:
+        out = object.__new__(_Arrays)
+        pairs = np.unique(np.concatenate([self.s * self.n + self.d, self.d * self.n + self.s]))
+        out.nodes, out.n, out.s, out.d = self.nodes, self.n, pairs // self.n, pairs % self.n
+        return out
+
+    def full(self, value: float) -> np.ndarray:
+        return np.full(self.n, value)
+
+    def along(self, x: np.ndarray) -> np.ndarray:
+        """Of each node, the sum of x over the sources of its edges."""
+        return np.bincount(self.d, x[self.s], self.n)
+
+    def against(self, x: np.ndarray) -> np.ndarray:
+        """Of each node, the sum of x over the targets of its edges."""
+        return np.bincount(self.s, x[self.d], self.n)
+
+    def mix(self, a: float, x: np.ndarray, b: float, y: np.ndarray) -> np.ndarray:
+        return a * x + b * y
+
+    def scale(self, a: float, x: np.ndarray) -> np.ndarray:
+        return a * x
+
+    def dot(self, x: np.ndarray, y: np.ndarray) -> float:
+        return float(x @ y)
+
+    def gap(self, x: np.ndarray, y: np.ndarray) -> float:
+        return float(np.abs(x - y).sum())
+
+    def total(self, x: np.ndarray) -> float:
+        return float(x.sum())
+
+    def peak(self, x: np.ndarray) -> float:
+        return float(x.max())
+
+    def solved_katz(self, alpha: float) -> np.ndarray | None:
+        """The dense solution of a small group (zeros where it has none), else None."""
+        if self.n > MATRIX_NODES:
+            return None
+        m = np.eye(self.n)
+        m[self.d, self.s] -= alpha
+        try:
+            return np.linalg.solve(m, np.ones(self.n))
+        except np.linalg.LinAlgError:
+            return np.zeros(self.n)
+
+    def coreness(self) -> np.ndarray:
+        """By peeling the undirected graph, least degree first; a self-loop anywhere makes the group's values zero."""
+        if (self.s == self.d).any():
+            return np.zeros(self.n)
+        u = self.undirected()
+        degree = np.bincount(u.s, minlength=self.n)
+        at, near, left = [0, *np.cumsum(degree).tolist()], u.d.tolist(), degree.tolist()
+        waiting: list[list[int]] = [[] for _ in range(max(left) + 1)]
+        for v, k in enumerate(left):
+            waiting[k].append(v)
+        core, k = [-1] * self.n, 0
+        while k < len(waiting):
+            if not waiting[k]:
+                k += 1
+                continue
+            v = waiting[k].pop()
+            if core[v] >= 0 or left[v] > k:
+                continue
+            core[v] = k
+            for w in near[at[v] : at[v + 1]]:
+                if core[w] < 0 and left[w] > k:
+                    left[w] -= 1
+                    waiting[left[w]].append(w)
+        return np.array(core, float)
+
+
+class _Tables:
+    """The same for a group that is never gathered. A vector is a table (node, x); each is saved, so no plan holds an earlier round."""
+
+    def __init__(self, e: DataFrame):
+        self.e = e.select("s", "d")
+        self.nodes = saved(_nodes(e).select("node"))
+        self.n = self.nodes.count()
+
+    def undirected(self) -> _Tables:
+        out = object.__new__(_Tables)
+        out.nodes, out.n, out.e = self.nodes, self.n, saved(self.e.union(self.e.select("d", "s")).distinct())
+        return out
+
+    def full(self, value: float) -> DataFrame:
+        return self.nodes.withColumn("x", F.lit(float(value)))
+
+    def _sums(self, x: DataFrame, near: str, far: str) -> DataFrame:
+        flow = self.e.join(x.withColumnRenamed("node", near), near).groupBy(F.col(far).alias("node")).agg(F.sum("x").alias("x"))
+        return saved(self.nodes.join(flow, "node", "left").select("node", F.coalesce("x", F.lit(0.0)).alias("x")))
+
+    def along(self, x: DataFrame) -> DataFrame:
+        return self._sums(x, "s", "d")
+
+    def against(self, x: DataFrame) -> DataFrame:
+        return self._sums(x, "d", "s")
+
+    def _both(self, x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y.withColumnRenamed("x", "y"), "node")
+
+    def mix(self, a: float, x: DataFrame, b: float, y: DataFrame) -> DataFrame:
+        return saved(self._both(x, y).select("node", (F.lit(a) * F.col("x") + F.lit(b) * F.col("y")).alias("x")))
+
+    def scale(self, a: float, x: DataFrame) -> DataFrame:
+        return saved(x.select("node", (F.lit(a) * F.col("x")).alias("x")))
+
+    def dot(self, x: DataFrame, y: DataFrame) -> float:
+        return self._both(x, y).agg(F.sum(F.col("x") * F.col("y"))).first()[0]
+
+    def gap(self, x: DataFrame, y: DataFrame) -> float:
+        return self._both(x, y).agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0]
+
+    def total(self, x: DataFrame) -> float:
+        return x.agg(F.sum("x")).first()[0]
+
+    def peak(self, x: DataFrame) -> float:
+        return x.agg(F.max("x")).first()[0]
+
+    def solved_katz(self, alpha: float) -> DataFrame | None:
+        return None
+
+    def coreness(self) -> DataFrame:
+        """Each round peels all nodes of at most the degree that is reached; a round ends on the nodes left over."""
+        if self.e.where("s = d").take(1):
+            return self.full(0.0)
+        left, k = self.undirected().e, 0
+        state = self.nodes.withColumn("x", F.lit(None).cast("double"))
+        while True:
+            degree = left.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("_n"))
+            state = saved(state.join(degree, "node", "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
+            least = state.where("x is null").agg(F.min("_n")).first()[0]
+            if least is None:
+                return state.select("node", "x")
+            k = max(k, least)
+            state = saved(state.select("node", F.coalesce("x", F.when(F.col("_n") <= k, F.lit(float(k)))).alias("x")))
+            alive = state.where("x is null").select("node")
+            left = saved(left.join(alive.withColumnRenamed("node", "s"), "s", "left_semi").join(alive.withColumnRenamed("node", "d"), "d", "left_semi").select("s", "d"))
+
+
+def _hits(g, rounds: int = 1000) -> tuple:
     """Power iteration from an even start; hubs and authorities each sum to 1."""
-    h = np.full(len(a), 1 / len(a))
+    h = g.full(1 / g.n)
     for _ in range(rounds):
         last = h
-        h = a @ (a.T @ h)
-        h = h / h.max() if h.max() > 0 else h
-        if np.abs(h - last).sum() < 1e-12:
+        h = g.against(g.along(h))
+        top = g.peak(h)
+        h = g.scale(1 / top, h) if top > 0 else h
+        if g.gap(h, last) < 1e-12:
             break
-    auth = a.T @ h
-    return h / max(h.sum(), 1e-300), auth / max(auth.sum(), 1e-300)
+    auth = g.along(h)
+    return g.scale(1 / max(g.total(h), 1e-300), h), g.scale(1 / max(g.total(auth), 1e-300), auth)
 
 
-def _eigenvector(a: np.ndarray) -> np.ndarray:
+def _eigenvector(g):
     """Of the undirected graph; A + I has the same leading vector and doesn't oscillate. Zeros under three nodes."""
-    if len(a) < 3:
-        return np.zeros(len(a))
-    u = np.maximum(a, a.T) + np.eye(len(a))
-    x = np.full(len(a), 1 / np.sqrt(len(a)))
+    if g.n < 3:
+        return g.full(0.0)
+    u = g.undirected()
+    x = u.full(1 / np.sqrt(u.n))
     for _ in range(10_000):
-        y = u @ x
-        y /= np.linalg.norm(y)
-        if np.abs(y - x).sum() < len(a) * 1e-12:
+        y = u.mix(1.0, x, 1.0, u.along(x))
+        y = u.scale(1 / np.sqrt(u.dot(y, y)), y)
+        if u.gap(y, x) < u.n * 1e-12:
             break
         x = y
     return y
 
 
-def _katz(a: np.ndarray, alpha: float = 0.1) -> np.ndarray:
-    try:
-        x = np.linalg.solve(np.eye(len(a)) - alpha * a.T, np.ones(len(a)))
-    except np.linalg.LinAlgError:
-        return np.zeros(len(a))
-    return x / np.linalg.norm(x)
-
-
-def _coreness(a: np.ndarray) -> np.ndarray:
-    """By peeling the undirected graph; a self-loop anywhere makes the group's values zero."""
-    if np.diag(a).any():
-        return np.zeros(len(a))
-    u, core, k = np.maximum(a, a.T) > 0, np.zeros(len(a)), 0
-    alive = np.ones(len(a), bool)
-    while alive.any():
-        degree = (u & alive).sum(axis=1)
-        k = max(k, int(degree[alive].min()))
-        out = alive & (degree <= k)
-        core[out] = k
-        alive &= ~out
-    return core
-
-
-def matrix_metrics(edges: DataFrame, names: Sequence[str] = ("hub", "authority", "eigenvector", "katz", "coreness"), limit: int = MATRIX_NODES) -> DataFrame:
-    """The named metrics of each node with their dense ranks. Groups of at most limit nodes are gathered, each in one task, for the
-    linear algebra; nodes of larger groups get zeros without being gathered."""
-    e = simple_edges(edges).select("g", "s", "d")
-    sizes = _nodes(e).groupBy("g").agg(F.count("*").alias("n"))
+def _katz_iterated(g, alpha: float, rounds: int = 1000, growing: int = 20):
+    """x = 1 + alpha A'x by its series, which ends where there are no cycles. Where its terms grow for so many rounds, or don't end, the
+    same equation is solved by conjugate gradients on its normal equations, which need no small radius; the last values count."""
+    ones, x, last, grown = g.full(1.0), g.full(1.0), np.inf, 0
+    for _ in range(rounds):
+        new = g.mix(1.0, ones, alpha, g.along(x))
+        change = g.gap(new, x)
+        x = new
+        if change <= 1e-13 * g.total(x):
+            return x
+        grown, last = grown + 1 if change > last else 0, change
+        if grown >= growing:
+            break
+    r, z = ones, g.mix(1.0, ones, -alpha, g.against(ones))
+    x, p, size = g.full(0.0), z, g.dot(z, z)
+    for _ in range(rounds):
+        w = g.mix(1.0, p, -alpha, g.along(p))
+        length = g.dot(w, w)
+        if not length or not size:
+            break
+        x, r = g.mix(1.0, x, size / length, p), g.mix(1.0, r, -size / length, w)
+        if g.dot(r, r) <= g.n * 1e-26:
+            break
+        z = g.mix(1.0, r, -alpha, g.against(r))
+        before, size = size, g.dot(z, z)
+        p = g.mix(1.0, z, size / before, p)
+    return x
+
+
+def _katz(g, alpha: float = 0.1):
+    x = g.solved_katz(alpha)
+    x = _katz_iterated(g, alpha) if x is None else x
+    return g.scale(1 / max(np.sqrt(g.dot(x, x)), 1e-300), x)
+
+
+def _metrics(g, names: Sequence[str]) -> dict:
+    hub, authority = _hits(g) if {"hub", "authority"} & set(names) else (None, None)
+    made = {"hub": lambda: hub, "authority": lambda: authority, "eigenvector": lambda: _eigenvector(g), "katz": lambda: _katz(g), "coreness": g.coreness}
+    return {k: made[k]() for k in names}
+
+
+def matrix_metrics(edges: DataFrame, names: Sequence[str] = ("hub", "authority", "eigenvector", "katz", "coreness"), limit: int | None = None, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """The named metrics of each node with their dense ranks. Groups of up to group_edges edges are each computed in one task; larger ones by
+    joins, one group after the other, never gathered. A limit, where one is given, sets the nodes of groups of more nodes to zero."""
     names = list(names)
+    e = saved(simple_edges(edges).select("g", "s", "d"))
+    zero = None
+    if limit is not None:
+        over = _nodes(e).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("g")
+        zero = _nodes(e.join(over, "g", "left_semi")).select("g", "node", *(F.lit(0.0).alias(k) for k in names))
+        e = saved(e.join(over, "g", "left_anti"))
+    sizes = saved(e.groupBy("g").agg(F.count("*").alias("n")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, a = _matrix(pdf)
-        hub, authority = _hits(a)
-        found = {"hub": hub, "authority": authority, "eigenvector": _eigenvector(a), "katz": _katz(a), "coreness": _coreness(a)}
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "node": nodes, **{k: found[k] for k in names}})
-
-    small = e.join(sizes.where(F.col("n") <= limit).select("g"), "g", "left_semi").groupBy("g").applyInPandas(run, "g long, node long, " + ", ".join(f"{k} double" for k in names))
-    large = _nodes(e).join(sizes.where(F.col("n") > limit).select("g"), "g", "left_semi").select("g", "node", *(F.lit(0.0).alias(k) for k in names))
-    out = small.union(large).withColumnRenamed("g", GROUP)
+        g = _Arrays(pdf)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "node": g.nodes, **_metrics(g, names)})
+
+    small = e.join(sizes.where(F.col("n") <= group_edges).select("g"), "g", "left_semi")
+    out = small.groupBy("g").applyInPandas(run, "g long, node long, " + ", ".join(f"{k} double" for k in names))
+    for row in sizes.where(F.col("n") > group_edges).select("g").toLocalIterator():
+        t = _Tables(saved(e.where(F.col("g") == row.g)))
+        table = t.nodes.select(F.lit(row.g).cast("long").alias("g"), "node")
+        for k, x in _metrics(t, names).items():
+            table = table.join(x.withColumnRenamed("x", k), "node")
+        out = out.union(saved(table.select("g", "node", *names)))
+    out = (out if zero is None else out.union(zero)).withColumnRenamed("g", GROUP)
     return out.withColumns({f"rank_{k}": dense_rank_known(F.col(k), [GROUP]) for k in names})
 
 
