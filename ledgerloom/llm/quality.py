@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched
-from .labelled import held_out, labelled_texts
+from .labelled import held_out, label_counts, labelled_texts
 from .textcore import NON_SPACE, Words, column_bytes, pieces
 
 BUCKETS = 1 << 15  # of hashed words
@@ -162,7 +162,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Machine:
     """A machine fitted to at most per_label rows of each class whose crc32(id) mod 5 isn't 0; see labelled.sample_ids. The executors
-    compute the features; only those of the sample reach the driver."""
+    compute the features; only those of the sample reach the driver. The bias is shifted from the log odds of the sample to those of all
+    training rows, so that a score means the same however many rows of a class are left out."""
     rows = labelled_texts(_with_length(docs), labels, "quality", per_label, 5, 0, ["text", "n_chars"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mac
     columns = [np.frombuffer(c, np.int32) for c in got["c"]]
     x = Features(np.concatenate([[0], np.cumsum([len(c) for c in columns])]).astype(np.int64), np.concatenate([*columns, np.empty(0, np.int32)]).astype(np.int64), np.concatenate([*(np.frombuffer(v, np.float32) for v in got["v"]), np.empty(0, np.float32)]).astype(np.float64))
     m = fit(x, got["label"].to_numpy(np.float64))
+    if 0 < (ones := int(got["label"].sum())) < len(got):
+        bad, good = label_counts(docs, labels, "quality", 5, 0)
+        m.bias += float(np.log(good / bad) - np.log(ones / (len(got) - ones)))
     return Machine(m.bias, m.weight.astype(np.float32), m.factor.astype(np.float32))
 
 
