@@ -543,29 +543,31 @@ def _training(w: Workspace) -> DataFrame:
 
 @query
 def rf_score(w: Workspace) -> DataFrame:
-    bundle = models.fit(_training(w), MODEL_COLUMNS, models.forest(20, 8), threshold=0.4, name="rf")
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.forest(), threshold=0.4, name="rf")
     return rounded(models.score(bundle, _labelled(w)).select("txId", "pred_model", "pred_proba", "pred_class"))
 
 
 @query
 def lr_score(w: Workspace) -> DataFrame:
-    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(100, 0.01, 0.5, weighted=True), threshold=0.5, name="lr")
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(reg=0.01, l1_ratio=0.5, weighted=True), threshold=0.5, name="lr")
     return rounded(models.score(bundle, _labelled(w)).select("txId", "pred_model", "pred_proba", "pred_class"))
 
 
 def _windows(w: Workspace) -> list[tuple[int, int]]:
     n = _training(w).count()
-    return features.fold_windows(n, min(30_000, n // 2), 2)
+    return features.fold_windows(n, min(30_000, n // 2), 10)
 
 
 @query
 def cv_summary(w: Workspace) -> DataFrame:
-    return rounded(models.cross_validate(_training(w), MODEL_COLUMNS, lambda: models.logistic(50, weighted=True), _windows(w))[0])
+    return rounded(models.cross_validate(_training(w), MODEL_COLUMNS, lambda: models.logistic(weighted=True), _windows(w))[0])
 
 
 def _search(w: Workspace) -> list[dict]:
-    grid = [{"reg": r, "l1_ratio": a} for r in (0.001, 0.1) for a in (0.0, 0.5)]
-    return models.successive_halving(_training(w), MODEL_COLUMNS, grid, lambda n, reg, l1_ratio: models.logistic(n, reg, l1_ratio, True), [5, 20], factor=2, splits=2)
+    """The reference's grid of C and l1_ratio; C is a regParam of 1 / (C * rows) over all training rows."""
+    n = max(1, _training(w).count())
+    grid = [{"reg": 1 / (c * n), "l1_ratio": a} for c in (0.03, 0.1, 0.3, 1.0) for a in (0.0, 0.5, 1.0)]
+    return models.successive_halving(_training(w), MODEL_COLUMNS, grid, lambda n, reg, l1_ratio: models.logistic(n, reg, l1_ratio, True), [200, 400, 800, 1600], factor=2, splits=3)
 
 
 @query
@@ -580,13 +582,13 @@ def tuning_params(w: Workspace) -> DataFrame:
 
 @query
 def perm_importance(w: Workspace) -> DataFrame:
-    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(30, weighted=True), threshold=0.5)
-    return rounded(models.importance_ranks(models.permutation_importance(bundle, _training(w), 1), models.model_importance(bundle, w.spark)))
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(weighted=True), threshold=0.5)
+    return rounded(models.importance_ranks(models.permutation_importance(bundle, _training(w)), models.model_importance(bundle, w.spark)))
 
 
 @query
 def coef_importance(w: Workspace) -> DataFrame:
-    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(30, weighted=True), threshold=0.5)
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(weighted=True), threshold=0.5)
     return rounded(models.model_importance(bundle, w.spark))
 
 
