@@ -43,15 +43,6 @@ def pct_rank_within(value: str, keys: Sequence[str]) -> Column:
     return F.when(v.isNotNull(), (place + (ties - 1) / 2) / F.count(v).over(Window.partitionBy(*keys)))
 
 
-def with_global_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Percentile rank over the whole table. Only one row for each distinct value passes through a single task."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    places = counts.select("_v", ((F.sum("_n").over(upto) - (F.col("_n") - 1) / 2) / F.sum("_n").over(everything)).alias(out))
-    return df.join(places, F.col(value) == F.col("_v"), "left").drop("_v")
-
-
 def cut(value: Column, edges: Sequence[float], labels: Sequence, right: bool = False, lowest: bool = True) -> Column:
     """The label of the interval of edges that holds value: [a, b), or (a, b] with right, then the least edge belongs to the first
     interval if lowest. Null outside."""
@@ -72,7 +63,3 @@ def parse_address_list(value: Column) -> Column:
     listed = F.from_json(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^\(", "["), r"\)$", "]"), "'", '"'), "array<string>")
     parts = F.when(text.rlike(r"^[\[(]"), F.coalesce(listed, F.split(text, r"[;,|]+"))).otherwise(F.split(text, r"[;,|]+"))
     return F.coalesce(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
-
-
-def vector_of(columns: Sequence[str]) -> Column:
-    return F.array(*(F.col(c).cast("double") for c in columns))

@@ -28,19 +28,24 @@ def seed_txns(edges: DataFrame) -> DataFrame:
     return a.union(edges.where("min_dst_hop = 0").select(GROUP, F.col("dst_txn_id").alias("node"))).distinct()
 
 
-def address_metrics(ranks: DataFrame, edges: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, agg: str = "sum", low: float = 100.0, high: float = 900.0, top_n: int = 10, other: float = 60.0) -> DataFrame:
+def address_metrics(ranks: DataFrame, edges: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, agg: str = "sum", low: float = 100.0, high: float = 900.0, top_n: int = 10, other: float = 60.0, uniform: bool = False) -> DataFrame:
     """Of each address of a group's projection: final_rank (least composite rank of its transactions), is_seed, pagerank (sum, mean or max over
-    its transactions), strength (weighted in- and out-degree), size: scaled pagerank for the group's top_n addresses, other for the rest."""
+    its transactions), strength (weighted in- and out-degree), size: scaled pagerank for the group's top_n addresses, other for the rest. Ranks
+    without a pagerank column are sized by strength; uniform gives every address the size other."""
     txns = addr_txn.select(F.col("input_address").alias("address"), "txId").union(txn_addr.select(F.col("output_address").alias("address"), "txId")).distinct()
-    r = ranks.select(GROUP, F.col("node").alias("txId"), "composite_rank", F.round("pagerank", 9).alias("pagerank"))
+    known = "pagerank" in ranks.columns
+    r = ranks.select(GROUP, F.col("node").alias("txId"), "composite_rank", (F.round("pagerank", 9) if known else F.lit(None).cast("double")).alias("pagerank"))
     seeds = seed_txns(edges).select(GROUP, F.col("node").alias("txId"), F.lit(True).alias("s"))
     how = {"sum": F.sum, "mean": F.avg, "max": F.max}[agg]
     own = r.join(txns, "txId").join(seeds, [GROUP, "txId"], "left").groupBy(GROUP, "address").agg(F.min("composite_rank").alias("final_rank"), F.max(F.coalesce("s", F.lit(False))).alias("is_seed"), F.round(F.coalesce(how("pagerank"), F.lit(0.0)), 9).alias("pagerank"))
     p = projection(ranks, addr_txn, txn_addr)
     strength = p.select(GROUP, F.col("input_address").alias("address"), "weight").union(p.select(GROUP, F.col("output_address").alias("address"), "weight")).groupBy(GROUP, "address").agg(F.sum("weight").alias("strength"))
     out = strength.join(own, [GROUP, "address"], "left")
-    place = F.row_number().over(Window.partitionBy(GROUP).orderBy(F.desc("pagerank"), "address"))
-    return out.withColumn("scaled", scaled("pagerank", low, high)).withColumn("size", F.when(place <= top_n, F.col("scaled")).otherwise(other)).drop("scaled")
+    by = "pagerank" if known else "strength"
+    if uniform:
+        return out.withColumn("size", F.lit(float(other)))
+    place = F.row_number().over(Window.partitionBy(GROUP).orderBy(F.desc(by), "address"))
+    return out.withColumn("scaled", scaled(by, low, high)).withColumn("size", F.when(place <= top_n, F.col("scaled")).otherwise(other)).drop("scaled")
 
 
 def txn_summary(ranks: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, join_text: bool = True, sep: str = "; ") -> DataFrame:
@@ -59,16 +64,38 @@ def txn_summary(ranks: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, join
     )
 
 
-def viz_nodes(ranks: DataFrame, edges: DataFrame, size_by: str = "composite_raw", low: float = 100.0, high: float = 900.0) -> DataFrame:
-    """Nodes of the drawn graph (the ends of edges) with is_seed and size."""
+def _first_of(ranks: DataFrame, *names: str) -> str | None:
+    return next((n for n in names if n in ranks.columns), None)
+
+
+def viz_edges(edges: DataFrame) -> DataFrame:
+    """Distinct edges of the drawn graph with the seed flags of both ends; rows with a null end are left out."""
+    seeds = seed_txns(edges)
+    a = seeds.select(GROUP, F.col("node").alias("src_txn_id"), F.lit(True).alias("src_is_seed"))
+    b = seeds.select(GROUP, F.col("node").alias("dst_txn_id"), F.lit(True).alias("dst_is_seed"))
+    rows = edges.where("src_txn_id is not null and dst_txn_id is not null").select(GROUP, "src_txn_id", "dst_txn_id").distinct()
+    rows = rows.join(a, [GROUP, "src_txn_id"], "left").join(b, [GROUP, "dst_txn_id"], "left")
+    return rows.select(GROUP, "src_txn_id", "dst_txn_id", F.coalesce("src_is_seed", F.lit(False)).alias("src_is_seed"), F.coalesce("dst_is_seed", F.lit(False)).alias("dst_is_seed"))
+
+
+def viz_nodes(ranks: DataFrame, edges: DataFrame, size_by: str | None = None, low: float = 100.0, high: float = 900.0) -> DataFrame:
+    """Nodes of the drawn graph (the ends of edges) with is_seed and size. Size follows size_by, or the first that ranks has of composite_raw, pagerank
+    and node_score; without any all sizes are the middle."""
+    size_by = size_by or _first_of(ranks, "composite_raw", "pagerank", "node_score")
+    if size_by is None:
+        size_by, ranks = "_none", ranks.withColumn("_none", F.lit(0.0))
     ends = edges.select(GROUP, F.col("src_txn_id").alias("node")).union(edges.select(GROUP, F.col("dst_txn_id").alias("node"))).distinct()
     seeds = seed_txns(edges).withColumn("is_seed", F.lit(True))
     rows = ends.join(ranks.select(GROUP, "node", F.round(size_by, 9).alias(size_by)), [GROUP, "node"], "left").join(seeds, [GROUP, "node"], "left")
     return rows.select(GROUP, "node", F.coalesce("is_seed", F.lit(False)).alias("is_seed"), scaled(size_by, low, high).alias("size"))
 
 
-def top_labels(ranks: DataFrame, label_by: str = "composite_rank", n: int = 3) -> DataFrame:
-    """The n nodes of each group to label: ranks ascending with null last, other metrics descending with null as 0; ties by node."""
+def top_labels(ranks: DataFrame, label_by: str | None = None, n: int = 3) -> DataFrame:
+    """The n nodes of each group to label: ranks ascending with null last, other metrics descending with null as 0; ties by node. By label_by, or
+    the first that ranks has of composite_rank, pr_rank and pagerank; without any, by node."""
+    label_by = label_by or _first_of(ranks, "composite_rank", "pr_rank", "pagerank")
+    if label_by is None:
+        label_by, ranks = "_none", ranks.withColumn("_none", F.lit(0.0))
     order = F.col(label_by).asc_nulls_last() if "rank" in label_by else F.round(F.coalesce(F.col(label_by), F.lit(0.0)), 9).desc()
     return ranks.withColumn("label_place", F.row_number().over(Window.partitionBy(GROUP).orderBy(order, "node"))).where(F.col("label_place") <= n).select(GROUP, "node", F.col("label_place").cast("long").alias("label_place"))
 
@@ -93,5 +120,5 @@ def dashboard(summary: DataFrame, by_group: bool = False) -> DataFrame:
 
 
 def lookup(summary: DataFrame, subnetwork_id: int) -> DataFrame:
-    """The rows of one subnetwork; the filter reaches the scan."""
+    """The rows of one subnetwork. On a written summary the filter reaches its scan."""
     return summary.where(F.col("subnetwork_id") == subnetwork_id)

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div, with_global_pct_rank
-from ..sources.tables import ILLICIT, LICIT, UNKNOWN
+from ..functions.exprs import safe_div
+from ..functions.places import quantiles, running_total, with_global_pct_rank
+from ..sources.tables import ILLICIT, LICIT, saved
 
-CODES = {1: ILLICIT, 2: LICIT, 3: UNKNOWN}
 HIGH_FEE_QUANTILE, MICRO_TXN = 0.95, 0.001
 
 
@@ -20,9 +20,9 @@ def flag(known, condition):
 
 
 def with_high_fees(df: DataFrame, quantile: float = HIGH_FEE_QUANTILE) -> DataFrame:
-    """high_fees_flag: fees above their exact quantile over the table. The quantile is one row, so it is broadcast."""
-    limit = df.agg(F.percentile("fees", F.lit(quantile)).alias("_limit"))
-    return df.crossJoin(F.broadcast(limit)).withColumn("high_fees_flag", flag(F.col("fees").isNotNull(), F.col("fees") > F.col("_limit"))).drop("_limit")
+    """high_fees_flag: fees above their exact quantile over the table."""
+    limit = quantiles(df, {"fees": [quantile]})["fees"][0]
+    return df.withColumn("high_fees_flag", flag(F.col("fees").isNotNull(), F.col("fees") > F.lit(limit).cast("double")))
 
 
 def clean_features(features: DataFrame, classes: DataFrame) -> DataFrame:
@@ -61,9 +61,8 @@ def columns_without_prefix(df: DataFrame, drop: Sequence[str] = (), prefixes: Se
 def impute_median(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Nulls of numeric columns become the column's exact median over the table."""
     columns = numeric_columns(df, ignore)
-    medians = df.agg(*(F.median(c).alias(f"_m_{c}") for c in columns))
-    filled = [F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns]
-    return df.crossJoin(F.broadcast(medians)).select(*filled)
+    medians = quantiles(df, {c: [0.5] for c in columns}) if columns else {}
+    return df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0]).cast("double")).alias(c) if c in medians else F.col(c) for c in df.columns))
 
 
 def split_labels(df: DataFrame, label_col: str = "class_label") -> tuple[DataFrame, DataFrame]:
@@ -72,10 +71,17 @@ def split_labels(df: DataFrame, label_col: str = "class_label") -> tuple[DataFra
     return coded.where("class is not null"), coded.where("class is null")
 
 
-def with_data_split(df: DataFrame, train_val: DataFrame | None = None, label_col: str = "class_label") -> DataFrame:
-    """data_split: Train/Val for labelled rows, Test for the others, Unlabeled for rows without a label."""
-    known = F.col(label_col).isin(ILLICIT, LICIT)
-    return df.withColumn("data_split", F.when(known, "Train/Val").when(F.col(label_col).isNotNull(), "Test").otherwise("Unlabeled"))
+def with_data_split(df: DataFrame, train_val: DataFrame | None = None, test: DataFrame | None = None, label_col: str = "class_label", id_col: str = "txId") -> DataFrame:
+    """data_split: Train/Val, Test or Unlabeled. By two tables of ids (an id in both counts as Test), or without them by the label: Train/Val for
+    Illicit and Licit, Test for other labels, Unlabeled without one."""
+    if train_val is None and test is None:
+        known = F.col(label_col).isin(ILLICIT, LICIT)
+        return df.withColumn("data_split", F.when(known, "Train/Val").when(F.col(label_col).isNotNull(), "Test").otherwise("Unlabeled"))
+    out = df
+    for ids, name in ((train_val, "_a"), (test, "_b")):
+        found = (ids if ids is not None else df.limit(0)).select(F.col(id_col)).distinct().withColumn(name, F.lit(True))
+        out = out.join(found, id_col, "left")
+    return out.withColumn("data_split", F.when(F.col("_b"), "Test").when(F.col("_a"), "Train/Val").otherwise("Unlabeled")).drop("_a", "_b")
 
 
 def fold_windows(n: int, size: int, folds: int, offsets: Sequence[int] | None = None, seed: int = 42) -> list[tuple[int, int]]:
@@ -125,31 +131,37 @@ def standardize(df: DataFrame, columns: Sequence[str], fit_on) -> DataFrame:
     return df.crossJoin(F.broadcast(fit)).select(*scaled)
 
 
-def prepare(df: DataFrame, label: str, drop: Sequence[str], target: str = "class", split_col: str = "training_label") -> tuple[DataFrame, DataFrame]:
-    """(features, target) of the rows with this split label; ValueError where a column is missing."""
+def prepare(df: DataFrame, label: str, drop: Sequence[str], target: str = "class", split_col: str = "training_label", id_col: str = "txId") -> tuple[DataFrame, DataFrame]:
+    """(features, id and target) of the rows with this split label; ValueError where a column is missing."""
     if target not in df.columns or split_col not in df.columns:
         raise ValueError(f"{target} and {split_col} are needed")
     rows = df.where(F.col(split_col) == label)
-    return rows.drop(*drop, target, split_col), rows.select(target)
+    return rows.drop(*drop, target, split_col), rows.select(id_col, target)
 
 
 def feature_shape(df: DataFrame, columns: Sequence[str], target: str = "class", bins: int = 16) -> DataFrame:
     """feature, n, pearson, spearman, r2, mutual_info (of histogram bins, natural log) and relation of each column against target; columns
-    with fewer than five complete rows are left out. One pass over an unpivoted table for all columns."""
-    long = df.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("y"), F.stack(F.lit(len(columns)), *[z for c in columns for z in (F.lit(c), F.col(c).cast("double"))]).alias("feature", "x")).where("x is not null")
-    # average ranks from value counts, so that no task holds a whole column
-    vx = long.groupBy("feature", "x").agg(F.count("*").alias("n"))
-    vy = long.groupBy("feature", "y").agg(F.count("*").alias("n"))
-    upto = lambda c: Window.partitionBy("feature").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    rx = vx.select("feature", "x", (F.sum("n").over(upto("x")) - (F.col("n") - 1) / 2).alias("rx"))
-    ry = vy.select("feature", "y", (F.sum("n").over(upto("y")) - (F.col("n") - 1) / 2).alias("ry"))
-    ranked = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    stats = ranked.groupBy("feature").agg(F.count("*").alias("n"), r("x", "y").alias("pearson"), r("rx", "ry").alias("spearman"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 5")
-    b = F.least(F.floor(safe_div(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    cells = long.join(stats.select("feature", "lo", "hi"), "feature").groupBy("feature", F.coalesce(b, F.lit(0)).alias("b"), "y").agg(F.count("*").alias("c"))
+    with fewer than five complete rows are left out. One scan counts the distinct (feature, x, y) of all columns; all else comes from those."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns)))
+    long = df.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("y"), cells.alias("z")).select("z.feature", "z.x", "y").where("x is not null")
+    per = saved(long.groupBy("feature", "x", "y").agg(F.count("*").alias("n")))
+
+    def ranks(c: str) -> DataFrame:
+        upto = running_total(per.groupBy("feature", c).agg(F.sum("n").alias("k")), ["feature", c], F.col("k"), "upto")
+        before = upto.groupBy("feature").agg(F.min(F.col("upto") - F.col("k")).alias("before"))
+        return upto.join(F.broadcast(before), "feature").select("feature", c, (F.col("upto") - F.col("before") - (F.col("k") - 1) / 2).alias(f"r{c}"))
+
+    ranked = saved(per.join(ranks("x"), ["feature", "x"]).join(F.broadcast(ranks("y")), ["feature", "y"]))
+    n, names = F.col("n"), ("x", "y", "rx", "ry")
+    means = ranked.groupBy("feature").agg(F.sum("n").alias("_all"), F.min("x").alias("lo"), F.max("x").alias("hi"), *((F.sum(n * F.col(c)) / F.sum("n")).alias(f"m_{c}") for c in names)).where("_all >= 5")
+    off = {c: F.col(c) - F.col(f"m_{c}") for c in names}
+    r = lambda a, b: F.try_divide(F.sum(n * off[a] * off[b]), F.sqrt(F.sum(n * off[a] * off[a]) * F.sum(n * off[b] * off[b])))
+    rows = ranked.join(F.broadcast(means), "feature")
+    stats = rows.groupBy("feature").agg(F.sum("n").alias("n"), r("x", "y").alias("pearson"), r("rx", "ry").alias("spearman"))
+    b = F.coalesce(F.least(F.floor(safe_div(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)), F.lit(0))
+    held = rows.groupBy("feature", b.alias("b"), "y").agg(F.sum("n").alias("c"))
     total = lambda *k: F.sum("c").over(Window.partitionBy("feature", *k))
-    info = cells.select("feature", (F.col("c") / total() * F.log(F.col("c") * total() / (total("b") * total("y")))).alias("i")).groupBy("feature").agg(F.sum("i").alias("mutual_info"))
+    info = held.select("feature", (F.col("c") / total() * F.log(F.col("c") * total() / (total("b") * total("y")))).alias("i")).groupBy("feature").agg(F.sum("i").alias("mutual_info"))
     out = stats.join(info, "feature").withColumn("r2", F.col("pearson") ** 2)
     p, s = F.abs(F.col("pearson")), F.abs(F.col("spearman"))
     relation = F.when((p > 0.5) & (F.col("r2") > 0.3), "linear").when((p < 0.3) & ((s > 0.5) | (F.col("mutual_info") > 0.1)), "nonlinear").otherwise("weak")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import require_columns, safe_div
+from ..functions.places import numbered
+from ..sources.tables import saved
 from . import features as feats
 from . import reports
 
@@ -96,7 +98,8 @@ def score(bundle: Bundle, df: DataFrame, drop_nulls: bool = True) -> DataFrame:
 def cross_validate(df: DataFrame, columns: Sequence[str], make, windows: Sequence[tuple[int, int]], train_ratio: float = 0.5, threshold: float = 0.5) -> tuple[DataFrame, list[Bundle]]:
     """Fits a fresh estimator on the training half of each window of rows in time order, scores the whole window, and evaluates it; returns the
     evaluation (a row for each fold) and the bundles. Each fold is one distributed fit."""
-    folds = feats.temporal_split(feats.take_folds(df, windows), train_ratio, keys=["fold"]).cache()
+    folds = feats.temporal_split(feats.take_folds(df, windows), train_ratio, keys=["fold"])
+    folds = saved(folds)
     bundles, scored = [], []
     for i in range(len(windows)):
         own = folds.where(F.col("fold") == i + 1)
@@ -114,9 +117,10 @@ def best_bundle(evaluation: DataFrame, bundles: Sequence[Bundle]) -> Bundle:
 
 def successive_halving(df: DataFrame, columns: Sequence[str], grid: Sequence[dict], make, resources: Sequence[int], factor: int = 3, splits: int = 3, seed: int = 42) -> list[dict]:
     """Successive halving over parameter sets: all at the least resource (trees or iterations), the best 1/factor of them at the next, and so on.
-    Quality is recall on the next time block, averaged over growing training blocks. Returns a record for each fit round."""
-    place = feats.with_time_order(df).cache()
-    n = place.count()
+    Quality is recall on the next time block, averaged over growing training blocks. Returns a record for each candidate and round, with its
+    mean, deviation and each split's recall. The loop is over fits, each a distributed job; the blocks are written once."""
+    placed = saved(numbered(df, ["time_step", "txId"], "_place"))
+    n = placed.count()
     rng, alive, records = random.Random(seed), list(range(len(grid))), []
     rng.shuffle(alive)
     for round_no, resource in enumerate(resources):
@@ -124,40 +128,65 @@ def successive_halving(df: DataFrame, columns: Sequence[str], grid: Sequence[dic
             recalls = []
             for i in range(1, splits + 1):
                 a, b = n * i // (splits + 1), n * (i + 1) // (splits + 1)
-                bundle = fit(place.where(F.col("_place") < a), columns, make(resource, **grid[k]), threshold=0.5)
-                got = score(bundle, place.where((F.col("_place") >= a) & (F.col("_place") < b))).agg(safe_div(F.count_if(F.expr("class = 1 and pred_class = 1")), F.count_if(F.expr("class = 1"))).alias("r")).first()
+                bundle = fit(placed.where(F.col("_place") < a), columns, make(resource, **grid[k]), threshold=0.5)
+                got = score(bundle, placed.where((F.col("_place") >= a) & (F.col("_place") < b))).agg(safe_div(F.count_if(F.expr("class = 1 and pred_class = 1")), F.count_if(F.expr("class = 1"))).alias("r")).first()
                 recalls.append(got.r or 0.0)
-            records.append({"round": round_no, "resource": resource, "candidate": k, "recall": sum(recalls) / len(recalls), **grid[k]})
+            mean = sum(recalls) / len(recalls)
+            records.append({"round": round_no, "resource": resource, "candidate": k, "recall": mean, "recall_std": (sum((r - mean) ** 2 for r in recalls) / len(recalls)) ** 0.5, "splits": recalls, **grid[k]})
         ranked = sorted((r for r in records if r["round"] == round_no), key=lambda r: (-r["recall"], r["candidate"]))
         alive = [r["candidate"] for r in ranked[: max(1, len(alive) // factor)]]
     return records
 
 
-def tuning_report(records: Sequence[dict]) -> list[dict]:
-    """The records with best marked: the best recall of the last round."""
-    last = max((r["round"] for r in records), default=0)
-    best = max((r for r in records if r["round"] == last), key=lambda r: (r["recall"], -r["candidate"]), default=None)
-    return [{**r, "best": r is best} for r in records]
+def best_record(records: Sequence[dict]) -> dict:
+    """The record of the best recall in the last round; of equal ones the least candidate."""
+    last = max(r["round"] for r in records)
+    return max((r for r in records if r["round"] == last), key=lambda r: (r["recall"], -r["candidate"]))
+
+
+def tuning_report(spark: SparkSession, records: Sequence[dict], params: Sequence[str], fold: str = "fold_1", factor: int = 3, method: str = "SuccessiveHalving", scoring: str = "recall", blocks: str = "TimeBlocks") -> DataFrame:
+    """One row on a search: method, scoring, kind and number of splits, the best score with its deviation and each split's, the candidates tested, the
+    tuned parameters (tuned__ and used__), and the schedule of resources and candidates. Without records the scores are null."""
+    rounds = sorted({r["round"] for r in records})
+    best = best_record(records) if records else {"recall": None, "recall_std": None, "splits": []}
+    resources = [next(r["resource"] for r in records if r["round"] == k) for k in rounds]
+    row = {
+        "fold": fold, "tuning_method": method if records else "None", "inner_cv_scoring": scoring if records else None, "inner_cv_class": blocks if records else None, "inner_cv_n_splits": len(best["splits"]) if records else None,
+        "best_score": best["recall"], "best_score_std": best["recall_std"], "n_candidates_tested": len(records) if records else None,
+        **{f"best_split{i}_score": x for i, x in enumerate(best["splits"])},
+        **{f"{kind}__{k}": best.get(k) for k in params for kind in ("used", "tuned")},
+        "halving__min_resources": resources[0] if resources else None, "halving__max_resources": resources[-1] if resources else None, "halving__factor": factor, "halving__n_iterations": len(rounds),
+        "halving__resources_schedule": ";".join(map(str, resources)), "halving__candidates_schedule": ";".join(str(sum(r["round"] == k for r in records)) for k in rounds),
+    }
+    text = ("fold", "tuning_method", "inner_cv_scoring", "inner_cv_class", "halving__resources_schedule", "halving__candidates_schedule")
+    count = ("inner_cv_n_splits", "n_candidates_tested", "halving__min_resources", "halving__max_resources", "halving__factor", "halving__n_iterations")
+    types = {k: "string" if k in text else "int" if k in count else "double" for k in row}
+    return spark.createDataFrame([tuple(None if v is None else float(v) if types[k] == "double" else v for k, v in row.items())], ", ".join(f"`{k}` {t}" for k, t in types.items()))
 
 
 def permutation_importance(bundle: Bundle, df: DataFrame, repeats: int = 10, seed: int = 42, metric: str = "f1") -> DataFrame:
-    """feature, importance (mean loss of the metric when the column is shuffled), index (0 to 100) and rank. All columns and repeats are scored in
-    one plan: a column is shuffled by matching rows to the rows at the same place in a seeded order."""
+    """feature, importance (mean loss of the metric when the column is shuffled), importance_std, importance_index (0 to 100) and rank.
+
+    One plan scores all columns and repeats. A repeat orders the rows at random (by seeded hash) and pairs each row with the one at its place in
+    that order; each column in turn then takes the paired row's value. So rows are shuffled once a repeat, not once a column."""
     base = df.na.drop(subset=bundle.columns).select("txId", "class", *bundle.columns)
-    n_parts = [(c, r) for c in bundle.columns for r in range(repeats)]
-    value = lambda d: score(bundle, d).agg(*(v.alias(k) for k, v in reports.confusion(F.col("class"), F.col("pred_class")).items())).select(reports.metrics(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn"))[metric].alias("m")).first().m
-    whole = value(base)
-    placed = feats.with_time_order(base.withColumn("time_step", F.pmod(F.xxhash64("txId"), F.lit(1024)))).cache()
-    n, losses = placed.count(), {c: [] for c in bundle.columns}
-    rng = random.Random(seed)
-    for c, _ in n_parts:
-        shift = rng.randrange(1, max(2, n))
-        other = placed.select(F.pmod(F.col("_place") + shift, F.lit(n)).alias("_place"), F.col(c).alias("_other"))
-        losses[c].append(whole - value(placed.join(other, "_place").withColumn(c, F.col("_other")).drop("_other")))
-    mean = {c: sum(x) / len(x) for c, x in losses.items()}
+    placed = saved(numbered(base, ["txId"], "_place"))
+    n = placed.count()
+    many = placed.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"), "*")
+    drawn = many.select("_r", F.xxhash64(F.lit(seed), "_r", "txId").alias("_h"), F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(bundle.columns))).alias("_other"))
+    drawn = numbered(drawn, ["_r", "_h"], "_at").select("_r", (F.col("_at") - F.col("_r") * n).alias("_place"), "_other")
+    pairs = many.join(drawn, ["_r", "_place"])
+    pairs = pairs.select("_r", F.explode(F.sequence(F.lit(-1), F.lit(len(bundle.columns) - 1))).alias("_c"), "*")
+    swapped = pairs.select("_r", "_c", "class", *(F.when(F.col("_c") == i, F.col(f"_other.v{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(bundle.columns)))
+    counts = score(bundle, swapped).groupBy("_r", "_c").agg(*(v.alias(k) for k, v in reports.confusion(F.col("class"), F.col("pred_class")).items()))
+    got = counts.select("_r", "_c", reports.metrics(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn"))[metric].alias("m")).collect()  # a row for each column and repeat
+    whole = {r["_r"]: r.m for r in got if r["_c"] < 0}
+    losses = {c: [(whole[r["_r"]] or 0.0) - (r.m or 0.0) for r in got if r["_c"] == i] for i, c in enumerate(bundle.columns)}
+    mean = {c: sum(x) / len(x) if x else 0.0 for c, x in losses.items()}
+    std = {c: (sum((v - mean[c]) ** 2 for v in x) / len(x)) ** 0.5 if x else 0.0 for c, x in losses.items()}
     top = max(mean.values(), default=0) or 1.0
-    rows = sorted(mean.items(), key=lambda kv: -kv[1])
-    return df.sparkSession.createDataFrame([(c, float(v), float(max(0.0, v) / top * 100), i + 1) for i, (c, v) in enumerate(rows)], "feature string, importance double, importance_index double, rank long")
+    rows = sorted(mean.items(), key=lambda kv: (-kv[1], kv[0]))
+    return df.sparkSession.createDataFrame([(c, float(v), float(std[c]), float(max(0.0, v) / top * 100), i + 1) for i, (c, v) in enumerate(rows)], "feature string, importance double, importance_std double, importance_index double, rank long")
 
 
 def model_importance(bundle: Bundle, spark) -> DataFrame:
@@ -169,5 +198,5 @@ def model_importance(bundle: Bundle, spark) -> DataFrame:
 
 def importance_ranks(permutation: DataFrame, model: DataFrame) -> DataFrame:
     """Both importances side by side (full join), each with its rank."""
-    a, b = permutation.select("feature", F.col("importance").alias("permutation"), F.col("rank").alias("rank_permutation")), model.select("feature", F.col("importance").alias("model"))
+    a, b = permutation.select("feature", F.col("importance").alias("permutation"), F.col("importance_std").alias("permutation_std"), F.col("rank").alias("rank_permutation")), model.select("feature", F.col("importance").alias("model"))
     return a.join(b.withColumn("rank_model", F.rank().over(Window.orderBy(F.desc("model"))).cast("long")), "feature", "full")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dense_rank_known, pct_rank_within, require_columns
+from ..functions.exprs import require_columns
+from ..functions.places import GROUP_ROWS, large_groups, with_dense_ranks, with_pct_ranks
 from ..sources.tables import saved
 
 GROUP = "merged_subnetwork_id"
@@ -31,6 +32,17 @@ def _nodes(e: DataFrame) -> DataFrame:
 GROUP_EDGES = 500_000
 
 
+def _each_group(e: DataFrame, run, schema: str, call_edges: int = 50_000) -> DataFrame:
+    """run on the edges of each group (e: g, n = edges of the group, ...). Groups of up to call_edges edges share a Python call with others."""
+    calls = max(1, (e.agg(F.count("*").alias("k")).first().k or 0) // call_edges, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    call = F.when(F.col("n") > call_edges, F.xxhash64("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(calls)))
+
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(own) for _, own in pdf.groupby("g", sort=False)])
+
+    return e.withColumn("_call", call).groupBy("_call").applyInPandas(many, schema)
+
+
 def _pagerank_small(alpha: float, max_iter: int, tol: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, at = np.unique(np.concatenate([pdf["s"], pdf["d"]]), return_inverse=True)
@@ -72,12 +84,13 @@ def pagerank(edges: DataFrame, weight: str | None = None, alpha: float = 0.85, m
     each iterated in one task; larger ones by joins, never gathered."""
     e = saved(simple_edges(edges, weight))
     sizes = e.groupBy("g").agg(F.count("*").alias("n"))
-    small = e.join(sizes.where(F.col("n") <= group_edges).select("g"), "g", "left_semi")
-    state = small.groupBy("g").applyInPandas(_pagerank_small(alpha, max_iter, tol), "g long, node long, pr double, done boolean")
-    large = sizes.where(F.col("n") > group_edges).select("g")
-    if large.take(1):
-        state = state.union(_pagerank_large(e.join(large, "g", "left_semi"), alpha, max_iter, tol))
-    return state.select(F.col("g").alias(GROUP), "node", F.col("pr").alias("pagerank"), dense_rank_known(F.col("pr"), ["g"]).alias("pr_rank"), F.col("done").alias("converged"))
+    small = e.join(sizes.where(F.col("n") <= group_edges), "g")
+    state = _each_group(small, _pagerank_small(alpha, max_iter, tol), "g long, node long, pr double, done boolean")
+    large = sizes.where(F.col("n") > group_edges).select(F.col("g").alias(GROUP))
+    if any_large := bool(large.take(1)):
+        state = state.union(_pagerank_large(e.join(large.withColumnRenamed(GROUP, "g"), "g", "left_semi"), alpha, max_iter, tol))
+    named = state.select(F.col("g").alias(GROUP), "node", F.col("pr").alias("pagerank"), F.col("done").alias("converged"))
+    return with_dense_ranks(named, [GROUP], {"pr_rank": ("pagerank", False)}, large if any_large else None).select(GROUP, "node", "pagerank", "pr_rank", "converged")
 
 
 def complete_pagerank(pr: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,12 +100,13 @@ def complete_pagerank(pr: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.join(pr.select(GROUP, "node", "pagerank"), [GROUP, "node"], "left").select(GROUP, "node", F.coalesce("pagerank", 1 / F.col("_n")).alias("pagerank"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
+def degrees(edges: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """in_degree, out_degree, rank_inDeg (largest first) and rank_outDeg (smallest first) on the simple graph."""
-    e = simple_edges(edges)
+    e = saved(simple_edges(edges))
     o, i = e.groupBy("g", F.col("s").alias("node")).agg(F.count("*").alias("o")), e.groupBy("g", F.col("d").alias("node")).agg(F.count("*").alias("i"))
     both = o.join(i, ["g", "node"], "full").select(F.col("g").alias(GROUP), "node", F.coalesce("i", F.lit(0)).alias("in_degree"), F.coalesce("o", F.lit(0)).alias("out_degree"))
-    return both.withColumns({"rank_inDeg": dense_rank_known(F.col("in_degree"), [GROUP]), "rank_outDeg": dense_rank_known(F.col("out_degree"), [GROUP], ascending=True)})
+    large = large_groups(e.select(F.col("g").alias(GROUP)), [GROUP], group_rows)
+    return with_dense_ranks(both, [GROUP], {"rank_inDeg": ("in_degree", False), "rank_outDeg": ("out_degree", True)}, large)
 
 
 def min_hops(edges: DataFrame) -> DataFrame:
@@ -102,46 +116,91 @@ def min_hops(edges: DataFrame) -> DataFrame:
     return a.union(b).groupBy(GROUP, "node").agg(F.min("h").alias("min_hop"))
 
 
-def distances(edges: DataFrame, limit: int) -> DataFrame:
-    """(g, s, t, hop, paths) between the nodes of each group of at most limit nodes, s = t with hop 0 included."""
-    e = saved(simple_edges(edges).select("g", "s", "d"))
-    sized = _nodes(e).withColumn("n", F.count("*").over(Window.partitionBy("g"))).where(F.col("n") <= limit)
-    layer = saved(sized.select("g", F.col("node").alias("s"), F.col("node").alias("t"), F.lit(0).alias("hop"), F.lit(1).cast("long").alias("paths")))
-    links, known, layers, hop = e.select("g", F.col("s").alias("t"), "d"), layer.select("g", "s", "t"), [layer], 0
-    while True:
-        hop += 1
-        step = layer.join(links, ["g", "t"]).groupBy("g", "s", F.col("d").alias("t")).agg(F.sum("paths").alias("paths"))
-        layer = saved(step.join(known, ["g", "s", "t"], "left_anti").select("g", "s", "t", F.lit(hop).alias("hop"), "paths"))
-        if not layer.take(1):
+def _paths(pdf: pd.DataFrame, sources: np.ndarray, between: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, harmonic, through) of one group from some of its sources at once: for each node the sum of 1/distance from the sources, and with
+    between the sum of the shares of their shortest paths that pass it. All sources advance together, a layer a round, over flat (source, node)
+    places; shares are gathered backwards, layer by layer, so work is sources x edges."""
+    nodes, at = np.unique(np.concatenate([pdf["s"], pdf["d"]]), return_inverse=True)
+    n, s, d = len(nodes), at[: len(pdf)], at[len(pdf) :]
+    order = np.argsort(s, kind="stable")
+    far, first = d[order], np.searchsorted(s[order], np.arange(n + 1))
+    k = len(sources)
+    hop, paths = np.full(k * n, -1, np.int32), np.zeros(k * n)
+    front = np.arange(k) * n + np.searchsorted(nodes, sources)
+    hop[front], paths[front] = 0, 1.0
+    harmonic, layers, h = np.zeros(n), [], 0
+    while len(front):
+        h += 1
+        v = front % n
+        count = first[v + 1] - first[v]
+        total = int(count.sum())
+        if not total:
+            break
+        a = np.repeat(front, count)
+        edge = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[v], count)
+        b = a - a % n + far[edge]
+        new = hop[b] < 0
+        a, b = a[new], b[new]
+        if not len(b):
             break
-        layers.append(layer)
-        known = known.union(layer.select("g", "s", "t"))
-    out = layers[0]
-    for more in layers[1:]:
-        out = out.union(more)
-    return saved(out)
+        front, place = np.unique(b, return_inverse=True)
+        paths[front] = np.bincount(place, paths[a], len(front))
+        hop[front] = h
+        harmonic += np.bincount(front % n, minlength=n) / h
+        if between:
+            layers.append((a, b))
+    through = np.zeros(n)
+    if between:
+        share = np.zeros(k * n)
+        for a, b in reversed(layers):
+            up, place = np.unique(a, return_inverse=True)
+            share[up] += np.bincount(place, paths[a] / paths[b] * (1 + share[b]), len(up))
+        share[np.arange(k) * n + np.searchsorted(nodes, sources)] = 0.0
+        through = share.reshape(k, n).sum(axis=0)
+    return nodes, harmonic, through
+
+
+#: Places (source, node) and (source, edge) that one task holds at once.
+PATH_CELLS = 4_000_000
+
+
+def _path_sums(edges: DataFrame, limit: int, between: bool, cells: int = PATH_CELLS) -> DataFrame:
+    """(g, node, h): path values of the groups of at most limit nodes. The sources of a group are dealt into blocks that fit in memory; each block
+    is one task's work over the group's edges, and the blocks' sums are added up."""
+    e = saved(simple_edges(edges).select("g", "s", "d"))
+    nodes = saved(_nodes(e))
+    sizes = nodes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= limit).join(e.groupBy("g").agg(F.count("*").alias("m")), "g")
+    each = F.greatest(F.lit(1), F.floor(F.lit(cells) / (F.col("n") + F.col("m"))))
+    blocks = saved(sizes.select("g", F.greatest(F.lit(1), F.ceil(F.col("n") / each)).cast("long").alias("blocks")))
+    sources = nodes.join(blocks, "g").groupBy(F.col("g").alias("sg"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("sb")).agg(F.collect_list("node").alias("sources"))
+    dealt = e.join(blocks, "g").select("g", "s", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"g": [], "node": [], "h": []}).astype({"g": "int64", "node": "int64"})
+        found, harmonic, through = _paths(left, np.array(right["sources"].iloc[0]), between)
+        return pd.DataFrame({"g": left["g"].iloc[0], "node": found, "h": through if between else harmonic})
+
+    parts = dealt.groupBy("g", "block").cogroup(sources.groupBy("sg", "sb")).applyInPandas(run, "g long, node long, h double")
+    return parts.groupBy("g", "node").agg(F.sum("h").alias("h"))
 
 
 def harmonic(edges: DataFrame, limit: int = 10_000) -> DataFrame:
     """Sum of 1/distance from the other nodes of the group; 0 in groups over the limit."""
-    d = distances(edges, limit).where("hop > 0").groupBy("g", F.col("t").alias("node")).agg(F.sum(1 / F.col("hop")).alias("h"))
-    return _with_all(edges, d, "harmonic")
+    return _with_all(edges, _path_sums(edges, limit, False), "harmonic")
 
 
 def betweenness(edges: DataFrame, limit: int = 5_000) -> DataFrame:
     """Share of shortest paths between two others that pass a node, normalised by (N-1)(N-2); 0 in groups over the limit."""
-    d = distances(edges, limit)
-    a = d.where("hop > 0").select("g", "s", F.col("t").alias("v"), F.col("hop").alias("h1"), F.col("paths").alias("p1"))
-    b = d.where("hop > 0").select("g", F.col("s").alias("v"), "t", F.col("hop").alias("h2"), F.col("paths").alias("p2"))
-    through = a.join(b, ["g", "v"]).where("s != t").join(d, ["g", "s", "t"]).where("h1 + h2 = hop")
-    total = through.groupBy("g", F.col("v").alias("node")).agg(F.sum(F.col("p1") * F.col("p2") / F.col("paths")).alias("h"))
+    total = _path_sums(edges, limit, True)
     n = _nodes(simple_edges(edges)).groupBy("g").agg(F.count("*").alias("n"))
     return _with_all(edges, total.join(n, "g").select("g", "node", (F.col("h") / F.nullif((F.col("n") - 1) * (F.col("n") - 2), F.lit(0))).alias("h")), "betweenness")
 
 
 def _with_all(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    out = _nodes(simple_edges(edges)).join(values, ["g", "node"], "left").select(F.col("g").alias(GROUP), "node", F.coalesce("h", F.lit(0.0)).alias(name))
-    return out.withColumn(f"rank_{name}", dense_rank_known(F.col(name), [GROUP]))
+    out = saved(_nodes(simple_edges(edges))).join(values, ["g", "node"], "left").select(F.col("g").alias(GROUP), "node", F.coalesce("h", F.lit(0.0)).alias(name))
+    large = large_groups(out.select(GROUP), [GROUP])
+    return with_dense_ranks(out, [GROUP], {f"rank_{name}": (name, False)}, large)
 
 
 #: Nodes of a group up to which Katz is solved as a dense matrix (32 MB); larger groups iterate.
@@ -356,7 +415,8 @@ def _katz_iterated(g, alpha: float, rounds: int = 1000, growing: int = 20):
 def _katz(g, alpha: float = 0.1):
     x = g.solved_katz(alpha)
     x = _katz_iterated(g, alpha) if x is None else x
-    return g.scale(1 / max(np.sqrt(g.dot(x, x)), 1e-300), x)
+    sign = -1.0 if g.total(x) < 0 else 1.0
+    return g.scale(sign / max(np.sqrt(g.dot(x, x)), 1e-300), x)
 
 
 def _metrics(g, names: Sequence[str]) -> dict:
@@ -381,21 +441,22 @@ def matrix_metrics(edges: DataFrame, names: Sequence[str] = ("hub", "authority",
         g = _Arrays(pdf)
         return pd.DataFrame({"g": pdf["g"].iloc[0], "node": g.nodes, **_metrics(g, names)})
 
-    small = e.join(sizes.where(F.col("n") <= group_edges).select("g"), "g", "left_semi")
-    out = small.groupBy("g").applyInPandas(run, "g long, node long, " + ", ".join(f"{k} double" for k in names))
-    for row in sizes.where(F.col("n") > group_edges).select("g").toLocalIterator():
+    small = e.join(sizes.where(F.col("n") <= group_edges), "g")
+    out = _each_group(small, run, "g long, node long, " + ", ".join(f"{k} double" for k in names))
+    for row in sizes.where(F.col("n") > group_edges).select("g").collect():
         t = _Tables(saved(e.where(F.col("g") == row.g)))
         table = t.nodes.select(F.lit(row.g).cast("long").alias("g"), "node")
         for k, x in _metrics(t, names).items():
             table = table.join(x.withColumnRenamed("x", k), "node")
         out = out.union(saved(table.select("g", "node", *names)))
     out = (out if zero is None else out.union(zero)).withColumnRenamed("g", GROUP)
-    return out.withColumns({f"rank_{k}": dense_rank_known(F.col(k), [GROUP]) for k in names})
+    large = sizes.where(F.col("n") > group_edges).select(F.col("g").alias(GROUP))
+    return with_dense_ranks(out, [GROUP], {f"rank_{k}": (k, False) for k in names}, large if large.take(1) else None)
 
 
-def composite(features: DataFrame, pr: DataFrame, nodes: DataFrame, weights: dict | None = None, invert_out_degree: bool = True, extra: Sequence[str] = ()) -> DataFrame:
+def composite(features: DataFrame, pr: DataFrame, nodes: DataFrame, weights: dict | None = None, invert_out_degree: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The composite score of each node of its group. features: txId, in_BTC_total, in_txs_degree, out_txs_degree. A transaction in several
-    groups counts in the one of least id. Columns in extra divide nodes further (for several weight sets in one plan).
+    groups counts in the one of least id.
 
     Within a group: percentiles of pagerank, value and degrees (out-degree inverted), weighted and summed; a missing pagerank adds 0."""
     w = weights or WEIGHTS
@@ -406,14 +467,19 @@ def composite(features: DataFrame, pr: DataFrame, nodes: DataFrame, weights: dic
     f = features.select(F.col("txId").alias("node"), "in_BTC_total", "in_txs_degree", "out_txs_degree")
     df = one.join(f, "node", "left").join(pr.select(GROUP, "node", "pagerank"), [GROUP, "node"], "left")
     c, keys = F.col, [GROUP]
+    large = large_groups(one, keys, group_rows)
     df = df.withColumn("pagerank_missing", c("pagerank").isNull()).na.fill(0, ["in_BTC_total", "in_txs_degree", "out_txs_degree"])
-    df = df.withColumns({"pr_pct": pct_rank_within("pagerank", keys), "btc_pct": pct_rank_within("in_BTC_total", keys), "in_deg_pct": pct_rank_within("in_txs_degree", keys), "out_deg_pct": pct_rank_within("out_txs_degree", keys)})
-    total = F.sum("in_BTC_total").over(Window.partitionBy(*keys).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = df.withColumns({"out_deg_pct_inv": (1 - c("out_deg_pct")) if invert_out_degree else c("out_deg_pct"), "in_btc_share": c("in_BTC_total") / (total + EPS)})
-    parts = {"pr_contrib": ("pr_pct", "pr"), "btc_contrib": ("btc_pct", "val"), "in_deg_contrib": ("in_deg_pct", "in"), "out_deg_contrib": ("out_deg_pct_inv", "out")}
-    df = df.withColumns({k: F.lit(float(w[x])) * F.coalesce(c(p), F.lit(0.0)) for k, (p, x) in parts.items()})
-    df = df.withColumn("composite_raw", c("pr_contrib") + c("btc_contrib") + c("in_deg_contrib") + c("out_deg_contrib"))
-    return df.withColumns({"composite_pct": pct_rank_within("composite_raw", keys), "composite_rank": dense_rank_known(c("composite_raw"), keys)})
+    df = with_pct_ranks(df, keys, {"pagerank_pct": "pagerank", "in_btc_pct": "in_BTC_total", "in_deg_pct": "in_txs_degree", "out_deg_pct": "out_txs_degree"}, large)
+    # whole cents add up exactly, so the order of summation can't matter
+    cents = df.groupBy(GROUP).agg((F.sum(F.round(c("in_BTC_total") * 100).cast("long")) / F.lit(100.0)).alias("_total"))
+    df = df.join(cents, GROUP).withColumns({"out_deg_pct_inv": (1 - c("out_deg_pct")) if invert_out_degree else c("out_deg_pct"), "in_btc_share": c("in_BTC_total") / (c("_total") + EPS)}).drop("_total")
+    df = df.withColumn("pagerank_pct_filled_for_contrib", F.coalesce(c("pagerank_pct"), F.lit(0.0)))
+    df = df.withColumns({f"{k}_weight": F.lit(float(w[k])) for k in ("pr", "val", "in", "out")})
+    parts = {"pr_contrib": ("pagerank_pct_filled_for_contrib", "pr"), "val_contrib": ("in_btc_pct", "val"), "in_deg_contrib": ("in_deg_pct", "in"), "out_deg_contrib": ("out_deg_pct_inv", "out")}
+    df = df.withColumns({k: c(f"{x}_weight") * F.coalesce(c(p), F.lit(0.0)) for k, (p, x) in parts.items()})
+    df = df.withColumn("composite_raw", c("pr_contrib") + c("val_contrib") + c("in_deg_contrib") + c("out_deg_contrib"))
+    df = saved(df) if large is not None else df
+    return with_dense_ranks(with_pct_ranks(df, keys, {"composite_pct": "composite_raw"}, large), keys, {"composite_rank": ("composite_raw", False)}, large)
 
 
 # The weight sets that are compared.
@@ -440,39 +506,83 @@ def compare_weights(scored: DataFrame, sets: dict | None = None, top_frac: float
     table = scored.sparkSession.createDataFrame([(i, k, *(float(v[x]) for x in ("pr", "val", "in", "out"))) for i, (k, v) in enumerate(sets.items())], "set_no int, name string, w1 double, w2 double, w3 double, w4 double")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     rows = scored.withColumn("_n", F.count("*").over(Window.partitionBy(GROUP))).where(F.col("_n") >= min_nodes).crossJoin(F.broadcast(table))
-    raw = F.round(F.col("w1") * zero("pr_pct") + F.col("w2") * zero("btc_pct") + F.col("w3") * zero("in_deg_pct") + F.col("w4") * zero("out_deg_pct_inv"), 9)
+    raw = F.round(F.col("w1") * zero("pagerank_pct") + F.col("w2") * zero("in_btc_pct") + F.col("w3") * zero("in_deg_pct") + F.col("w4") * zero("out_deg_pct_inv"), 9)
     rows = rows.withColumn("_raw", raw)
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("set_no", GROUP).orderBy(F.desc("_raw"), "node")))
     top = F.col("_place") <= F.greatest(F.lit(1), F.ceil(F.lit(top_frac) * F.col("_n")))
     value = F.round(F.col("in_BTC_total") * 100).cast("long")
-    per = rows.groupBy("set_no", "name", GROUP).agg(F.sum(F.when(top, value).otherwise(0)).alias("_t"), F.sum(value).alias("_s"), (F.median(F.when(top, zero("pr_pct"))) * 100).alias("pr_percentile_med"))
+    per = rows.groupBy("set_no", "name", GROUP).agg(F.sum(F.when(top, value).otherwise(0)).alias("_t"), F.sum(value).alias("_s"), (F.median(F.when(top, zero("pagerank_pct"))) * 100).alias("pr_percentile_med"))
     per = per.select("set_no", "name", GROUP, F.when(F.col("_s") > 0, F.col("_t") / F.col("_s")).otherwise(0.0).alias("btc_share"), "pr_percentile_med")
     if details:
         return per
     return per.groupBy("set_no", "name").agg(F.median("btc_share").alias("median_btc_share"), F.median("pr_percentile_med").alias("median_pr_percentile"), F.count("*").alias("groups")).orderBy(F.desc("median_pr_percentile"), "set_no")
 
 
-def rank_correlations(ranks: DataFrame, columns: Sequence[str], method: str = "spearman", min_nodes: int = 2) -> DataFrame:
+def _tau(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's tau-b from a sorted merge: n log n. NaN without variance."""
+    order = np.lexsort((y, x))
+    x, y = x[order], np.unique(y[order], return_inverse=True)[1]
+    n = len(x)
+    pairs = lambda k: float((k * (k - 1) // 2).sum())
+    tied_x = pairs(np.unique(x, return_counts=True)[1])
+    tied_y = pairs(np.bincount(y)) if n else 0.0
+    tied_both = pairs(np.unique(np.stack([np.unique(x, return_inverse=True)[1], y]), axis=1, return_counts=True)[1])
+    against, width, rows = 0, 1, y.astype(np.int64)
+    while width < n:  # bottom-up merge sort; an element of a right half passes the greater ones of its left half
+        block = np.arange(n) // (2 * width)
+        right = np.arange(n) // width % 2 == 1
+        top = int(rows.max()) + 1
+        keyed = block * top + rows
+        lefts = keyed[~right]
+        ends = np.searchsorted(lefts, (block[right] + 1) * top)
+        against += int((ends - np.searchsorted(lefts, keyed[right], "right")).sum())
+        rows = rows[np.argsort(keyed, kind="stable")]
+        width *= 2
+    every = n * (n - 1) / 2
+    spread = np.sqrt((every - tied_x) * (every - tied_y))
+    return (every - tied_x - tied_y + tied_both - 2 * against) / spread if spread else np.nan
+
+
+def _kendall(whole: DataFrame, keys: list[str], group_rows: int) -> DataFrame:
+    """(keys, corr). Groups of up to group_rows rows are each merged in one task; larger ones compare pairs of distinct (x, y) with their counts."""
+    large = large_groups(whole, keys, group_rows)
+    types = ", ".join(f"{k} {whole.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "corr": [_tau(pdf["x"].to_numpy(), pdf["y"].to_numpy())]})
+
+    small = whole if large is None else whole.join(F.broadcast(large), keys, "left_anti")
+    out = small.select(*keys, "x", "y").groupBy(*keys).applyInPandas(run, f"{types}, corr double").withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+    if large is None:
+        return out
+    per = saved(whole.join(F.broadcast(large), keys, "left_semi").groupBy(*keys, "x", "y").agg(F.count("*").cast("double").alias("n")))
+    a, b = per.alias("a"), per.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    two = a.join(b, [*same, F.struct("a.x", "a.y") < F.struct("b.x", "b.y")]).select(*(F.col(f"a.{k}") for k in keys), (F.col("a.n") * F.col("b.n")).alias("n"), F.signum(F.col("a.x") - F.col("b.x")).alias("dx"), F.signum(F.col("a.y") - F.col("b.y")).alias("dy"))
+    return out.unionByName(two.groupBy(*keys).agg(F.try_divide(F.sum(F.expr("n * dx * dy")), F.sqrt(F.sum(F.expr("n * abs(dx)")) * F.sum(F.expr("n * abs(dy)")))).alias("corr")))
+
+
+def rank_correlations(ranks: DataFrame, columns: Sequence[str], method: str = "spearman", min_nodes: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(group, metric_a, metric_b, corr) between negated ranks, over the rows that have both; null in groups under min_nodes or without
-    variance. Pearson, Spearman (average ranks among the complete rows) or Kendall (tau-b)."""
-    sized = ranks.withColumn("_n", F.count("*").over(Window.partitionBy(GROUP)))
-    pairs = [(a, b) for a in columns for b in columns]
-    long = sized.select(GROUP, "node", "_n", F.stack(F.lit(len(pairs)), *[z for a, b in pairs for z in (F.lit(a), F.lit(b), -F.col(a).cast("double"), -F.col(b).cast("double"))]).alias("metric_a", "metric_b", "x", "y"))
+    variance. Pearson, Spearman (average ranks among the complete rows) or Kendall (tau-b). Each unordered pair of metrics is computed once
+    and given in both orders."""
+    sizes = saved(ranks.groupBy(GROUP).agg(F.count("*").alias("_n")))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), (-F.col(a).cast("double")).alias("x"), (-F.col(b).cast("double")).alias("y")) for a, b in pairs)))
+    wanted = sizes.where(F.col("_n") >= min_nodes).select(GROUP)
+    whole = ranks.join(wanted, GROUP, "left_semi").select(GROUP, cells.alias("z")).select(GROUP, "z.*").where("x is not null and y is not null")
     keys = [GROUP, "metric_a", "metric_b"]
-    groups = long.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    whole = long.where("x is not null and y is not null")
     r = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     if method == "kendall":
-        a, b = whole.alias("a"), whole.alias("b")
-        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-        two = a.join(b, [*same, F.col("a.node") < F.col("b.node")]).select(*(F.col(f"a.{k}") for k in keys), F.signum(F.col("a.x") - F.col("b.x")).alias("dx"), F.signum(F.col("a.y") - F.col("b.y")).alias("dy"))
-        corr = two.groupBy(*keys).agg(F.try_divide(F.sum(F.col("dx") * F.col("dy")), F.sqrt(F.sum(F.abs("dx")) * F.sum(F.abs("dy")))).alias("corr"))
+        corr = _kendall(whole, keys, group_rows)
     elif method == "spearman":
-        place = lambda v: F.rank().over(Window.partitionBy(*keys).orderBy(v)) + (F.count("*").over(Window.partitionBy(*keys, v)) - 1) / 2
-        corr = whole.select(*keys, place("x").alias("rx"), place("y").alias("ry")).groupBy(*keys).agg(r("rx", "ry").alias("corr"))
+        ranked = with_pct_ranks(whole, keys, {"rx": "x", "ry": "y"}, large_groups(whole, keys, group_rows))
+        corr = ranked.groupBy(*keys).agg(r("rx", "ry").alias("corr"))
     else:
         corr = whole.groupBy(*keys).agg(r("x", "y").alias("corr"))
-    return groups.join(corr, keys, "left").select(*keys, F.when(F.col("_n") >= min_nodes, F.col("corr")).alias("corr"))
+    both = corr.union(corr.where("metric_a != metric_b").select(GROUP, F.col("metric_b").alias("metric_a"), F.col("metric_a").alias("metric_b"), "corr"))
+    every = sizes.select(GROUP, "_n", F.explode(F.array(*(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b")) for a in columns for b in columns))).alias("z")).select(GROUP, "_n", "z.*")
+    return every.join(both, keys, "left").select(*keys, "corr")
 
 
 def average_correlations(corr: DataFrame, summary: DataFrame, min_nodes: int = 5) -> DataFrame:

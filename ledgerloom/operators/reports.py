@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cut, safe_div
+from ..functions.places import quantiles, running_total
 from ..sources.tables import ILLICIT, LICIT
 
 
@@ -17,6 +18,11 @@ def threshold_predictions(scores: DataFrame, threshold: float = 0.4, model: str
     return scores.withColumns({"pred_model": F.lit(model), "pred_model_threshold": F.lit(float(threshold)), "pred_class": pred, "pred_class_label": F.when(pred == 1, ILLICIT).otherwise(LICIT)})
 
 
+def counts_by_step(df: DataFrame, values: Sequence[str], label_col: str = "class_label", time_col: str = "time_step") -> DataFrame:
+    """Rows of each label by time step, 0 where there are none."""
+    return df.groupBy(time_col).pivot(label_col, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))
+
+
 def final_labels(pred: DataFrame) -> DataFrame:
     """final_class and its label: the actual one where it is Illicit or Licit, else the predicted one."""
     known = F.coalesce(F.col("class_label").isin(ILLICIT, LICIT), F.lit(False))
@@ -39,7 +45,7 @@ def cross_counts(df: DataFrame, row: str, column: str, values: Sequence[str], pe
     return out
 
 
-def _bins(low: float, width_raw: Column, n: Column, span: Column, ok: Column) -> list[Column]:
+def _bins(width_raw: Column, span: Column, ok: Column) -> list[Column]:
     width = F.when(ok, F.bround(width_raw, 3))
     bins = F.when(ok & (width > 0), F.greatest(F.lit(1), F.floor(F.try_divide(span, width)).cast("long"))).otherwise(F.lit(10).cast("long"))
     return [bins.alias("num_bins"), width.alias("bin_width")]
@@ -48,13 +54,14 @@ def _bins(low: float, width_raw: Column, n: Column, span: Column, ok: Column) ->
 def scott_bins(df: DataFrame, value: str) -> DataFrame:
     """num_bins and bin_width by Scott's rule; 10 and null without spread."""
     s, n = F.stddev_pop(value), F.count(value)
-    return df.agg(*_bins(0, 3.49 * s / F.pow(n, F.lit(1 / 3)), n, F.max(value) - F.min(value), (n >= 2) & (s > 0)))
+    return df.agg(*_bins(3.49 * s / F.pow(n, F.lit(1 / 3)), F.max(value) - F.min(value), (n >= 2) & (s > 0)))
 
 
 def freedman_bins(df: DataFrame, value: str) -> DataFrame:
     """num_bins and bin_width by the Freedman-Diaconis rule; 10 and null without spread between the quartiles."""
-    iqr, n = F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25)), F.count(value)
-    return df.agg(*_bins(0, 2 * iqr * F.pow(n, F.lit(-1 / 3)), n, F.max(value) - F.min(value), iqr > 0))
+    low, high = quantiles(df, {value: [0.25, 0.75]})[value]
+    iqr, n = F.lit(None if low is None else high - low).cast("double"), F.count(value)
+    return df.agg(*_bins(2 * iqr * F.pow(n, F.lit(-1 / 3)), F.max(value) - F.min(value), iqr > 0))
 
 
 def edges_by_width(low: float, high: float, width: float) -> list[float]:
@@ -123,8 +130,17 @@ def metrics(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[str, Column]
     return {"accuracy": safe_div(tp + tn, tp + tn + fp + fn), "precision": precision, "recall": recall, "f1": zero(safe_div(2 * precision * recall, precision + recall))}
 
 
+# How the report writes each metric.
+FORMULAS = {
+    "accuracy": "((TP + TN) / (TP + TN + FP + FN))",
+    "precision": "(TP / (TP + FP))",
+    "recall": "(TP / (TP + FN))",
+    "f1": "2 * (Precision * Recall) / (Precision + Recall)",
+}
+
+
 def threshold_report(df: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """For each threshold (a column of few values): confusion counts, the four metrics at two decimals. One row for each distinct score is
+    """For each threshold (a column of few values): confusion counts, the four metrics at two decimals, and each as a formula. One row for each distinct score is
     counted first, so the small cross join doesn't multiply the rows."""
     c = F.col
     per = df.where("class is not null").groupBy("pred_proba", "class").agg(F.count("*").alias("n"))
@@ -132,7 +148,7 @@ def threshold_report(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     hit = lambda y, p: F.sum(F.when((c("class") == y) & (c("p") == p), c("n")).otherwise(0))
     counts = rows.groupBy("threshold").agg(hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
     m = metrics(c("tp"), c("tn"), c("fp"), c("fn"))
-    return counts.select("threshold", *(F.bround(v, 2).alias(k) for k, v in m.items()), F.concat(F.format_string("%.4f", m["precision"]), F.lit(" = (TP / (TP + FP))")).alias("precision_formula"), "tp", "tn", "fp", "fn", (c("tp") + c("tn") + c("fp") + c("fn")).alias("total"))
+    return counts.select("threshold", *(F.bround(v, 2).alias(k) for k, v in m.items()), *(F.concat(F.format_string("%.4f", m[k]), F.lit(f" = {text}")).alias(f"{k}_formula") for k, text in FORMULAS.items()), "tp", "tn", "fp", "fn", (c("tp") + c("tn") + c("fp") + c("fn")).alias("total"))
 
 
 def final_evaluation(df: DataFrame, label: str, pred: str = "pred_class") -> DataFrame:
@@ -144,13 +160,14 @@ def final_evaluation(df: DataFrame, label: str, pred: str = "pred_class") -> Dat
 
 
 def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "pred_proba") -> DataFrame:
-    """auc and gini of each key, exact: pairs of a positive and a negative, ties half. Counted by distinct score, so a single task sees only
-    those. Null with one class."""
-    per = df.where("class is not null").groupBy(*keys, score).agg(F.sum("class").alias("p"), F.count("*").alias("c"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = per.withColumn("n", F.col("c") - F.col("p")).withColumn("w", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
-    a = safe_div(F.sum("w"), F.sum("p") * F.sum("n"))
-    return won.groupBy(*keys).agg(a.alias("auc"), (2 * a - 1).alias("gini"))
+    """auc and gini of each key, exact: pairs of a positive and a negative, ties half. Distinct scores are counted and summed by ranges, so no
+    task sees all of them. Null with one class."""
+    per = df.where("class is not null").groupBy(*keys, score).agg(F.sum("class").alias("p"), F.sum(1 - F.col("class")).alias("n"))
+    upto = running_total(per, [*keys, score], F.col("n"), "upto")
+    p, n, below = F.col("p").cast("double"), F.col("n").cast("double"), (F.col("upto") - F.col("n")).cast("double")
+    won = F.sum(p * (below + n / 2)) - F.min(below) * F.sum(p)
+    a = safe_div(won, F.sum(p) * F.sum(n))
+    return upto.groupBy(*keys).agg(a.alias("auc"), (2 * a - 1).alias("gini"))
 
 
 def fold_evaluation(df: DataFrame, threshold: float = 0.5, val_only: bool = False, time_col: str = "time_step") -> DataFrame:
@@ -193,6 +210,7 @@ def _distribution(df: DataFrame, value: str, labels: Sequence[str], name: str, r
     return rows.unionByName(total)
 
 
+# Fixed values in the next functions: the labels of the report's bins.
 def node_count_bins(summary: DataFrame) -> DataFrame:
     return _distribution(summary, "node_count", ["1", "2", "3", "4", "5", "5+"], "node_group", False)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.places import numbered
 from ..sources.tables import ILLICIT, saved
 
 
@@ -16,14 +17,9 @@ def allowed_edges(edges: DataFrame, labels: DataFrame, label_col: str = "class_l
 
 
 def number_seeds(labels: DataFrame, label_col: str = "class_label", value: str = ILLICIT, id_col: str = "txId") -> DataFrame:
-    """(subnetwork_id, seed_txn): seeds in order of id, from 0. Ids are ranges of a sort, so numbering is one pass over range counts
-    and no task sees all seeds."""
+    """(subnetwork_id, seed_txn): seeds in order of id, from 0."""
     ids = labels.where(F.col(label_col) == value).select(F.col(id_col).alias("seed_txn"))
-    ranged = saved(ids.repartitionByRange("seed_txn").sortWithinPartitions("seed_txn").select("seed_txn", F.monotonically_increasing_id().alias("_m")))
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.withColumn("_p", part).join(before, "_p").select((F.col("_b") + place).alias("subnetwork_id"), "seed_txn")
+    return numbered(ids, ["seed_txn"], "subnetwork_id").select("subnetwork_id", "seed_txn")
 
 
 def reach(seeds: DataFrame, allowed: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -46,6 +42,26 @@ def reach(seeds: DataFrame, allowed: DataFrame, max_hops: int | None = None) ->
     return saved(out)
 
 
+def kept_seeds(seeds: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The seeds whose subnetworks dedup keeps where there is no hop limit and every node of allowed is a seed: the least of each strong
+    component that no other one leads to. Seeds without a predecessor are such components; whatever they lead to is inside a
+    larger subnetwork, which one search from all of them at once finds; only what is then left over (cycles that nothing leads to) is
+    traversed seed by seed."""
+    e = saved(allowed.where("src != dst"))
+    heads = seeds.join(e.select(F.col("dst").alias("seed_txn")).distinct(), "seed_txn", "left_anti").select("subnetwork_id", "seed_txn")
+    layer = saved(heads.select(F.col("seed_txn").alias("node")))
+    found = layer
+    while layer.take(1):
+        layer = saved(e.join(layer, e["src"] == layer["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"))
+        found = found.union(layer)
+    rest = saved(seeds.join(found, seeds["seed_txn"] == found["node"], "left_anti").select("subnetwork_id", "seed_txn"))
+    if not rest.take(1):
+        return saved(heads)
+    inside = e.join(rest, e["src"] == rest["seed_txn"], "left_semi")
+    report = dedup_report(subnet_nodes(reach(rest, inside)))
+    return saved(heads.union(report.where("status = 'kept'").select("id", "seed")))
+
+
 def subnet_nodes(reached: DataFrame) -> DataFrame:
     return reached.select(F.col("node").alias("txn_id"), "hop", "subnetwork_id", "seed_txn")
 
@@ -88,9 +104,8 @@ def dedup_report(nodes: DataFrame, by_reach: bool = True) -> DataFrame:
 
 
 def relabel(report: DataFrame, order: str = "id") -> DataFrame:
-    """(old_id, new_id) of the kept ones, counted from 0 by id. Numbering is by ranges, as in number_seeds."""
-    ids = number_seeds(report.where("status = 'kept'").select(F.col(order).alias("k"), F.lit("x").alias("l")), "l", "x", "k")
-    return ids.select(F.col("seed_txn").alias("old_id"), F.col("subnetwork_id").alias("new_id"))
+    """(old_id, new_id) of the kept ones, counted from 0 by id."""
+    return numbered(report.where("status = 'kept'").select(F.col(order).alias("old_id")), ["old_id"], "new_id").select("old_id", "new_id")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -127,8 +142,16 @@ def retag(df: DataFrame, merged: DataFrame) -> DataFrame:
     return df.join(merged, "subnetwork_id")
 
 
+def group_seeds(retagged: DataFrame) -> DataFrame:
+    """Distinct (group, seed_txn): the long form of seeds_in_group. A subnetwork has one row of its seed, so few rows are shuffled."""
+    return retagged.where("txn_id = seed_txn").select("merged_subnetwork_id", "seed_txn").distinct()
+
+
 def collapse_nodes(retagged: DataFrame) -> DataFrame:
-    return retagged.groupBy("merged_subnetwork_id", "txn_id").agg(F.min("hop").alias("min_hop"), F.array_sort(F.collect_set("seed_txn")).alias("seeds_in_group"))
+    """(group, txn_id, min_hop, seeds_in_group): the sorted distinct seeds of the whole merged group, the same list on each of its nodes."""
+    seeds = group_seeds(retagged).groupBy("merged_subnetwork_id").agg(F.array_sort(F.collect_list("seed_txn")).alias("seeds_in_group"))
+    least = retagged.groupBy("merged_subnetwork_id", "txn_id").agg(F.min("hop").alias("min_hop"))
+    return least.join(seeds, "merged_subnetwork_id")
 
 
 def collapse_edges(retagged: DataFrame) -> DataFrame:
@@ -145,15 +168,19 @@ def size_report(nodes: DataFrame, edges: DataFrame, min_nodes: int = 2, min_edge
     return n.join(e, id_col, "left").select(id_col, "node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"), F.when(ok, "kept").otherwise("dropped_small").alias("status"), F.when(ok, F.col(id_col)).alias("kept_as"))
 
 
-def filter_small(df: DataFrame, report: DataFrame, id_col: str = "merged_subnetwork_id") -> DataFrame:
-    return df.join(report.where("status = 'kept'").select(id_col), id_col, "left_semi")
+def filter_small(df: DataFrame, report: DataFrame, id_col: str = "merged_subnetwork_id", new_ids: DataFrame | None = None) -> DataFrame:
+    """Rows of the kept groups; new_ids (old_id, new_id, see relabel) renumbers them."""
+    if new_ids is None:
+        return df.join(report.where("status = 'kept'").select(id_col), id_col, "left_semi")
+    names = [F.col("new_id").alias(c) if c == id_col else F.col(c) for c in df.columns]
+    return df.join(new_ids, df[id_col] == new_ids["old_id"]).select(*names)
 
 
 def summarise(nodes: DataFrame, edges: DataFrame, id_col: str = "merged_subnetwork_id") -> DataFrame:
     """Of each group: txn_ids, node_count, edge_count (rows), depth, seeds, seed_count, linked_txn_count. Takes retagged rows (seed_txn, hop) or
     collapsed ones (seeds_in_group, min_hop)."""
     flat = "seeds_in_group" in nodes.columns
-    seeds = F.array_sort(F.array_distinct(F.flatten(F.collect_set("seeds_in_group")))) if flat else F.array_sort(F.collect_set("seed_txn"))
+    seeds = F.first("seeds_in_group") if flat else F.array_sort(F.collect_set(F.when(F.col("txn_id") == F.col("seed_txn"), F.col("seed_txn"))))
     n = nodes.groupBy(id_col).agg(F.array_sort(F.collect_set("txn_id")).alias("txn_ids"), F.max("min_hop" if flat else "hop").alias("depth"), seeds.alias("seeds"))
     e = edges.groupBy(id_col).agg(F.count("*").alias("edge_count"))
     return n.join(e, id_col, "left").select(

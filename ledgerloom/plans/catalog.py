@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import parse_address_list, with_global_pct_rank
+from ..functions.exprs import parse_address_list
+from ..functions.places import numbered, with_global_pct_rank
 from ..operators import addresses, features, models, ranking, reports, subnetworks
 from ..sources import tables
-from .workspace import Workspace, workspace
+from ..sources.tables import saved, shared_folder
+from .workspace import Settings, Workspace, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 GROUP = ranking.GROUP
 THRESHOLDS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
-OFFSETS = [0, 500, 1000, 1700]
 RANK_COLUMNS = ["pr_rank", "rank_inDeg", "rank_outDeg", "composite_rank"]
 
 
@@ -71,7 +74,7 @@ def impute_median(w: Workspace) -> DataFrame:
 @query
 def feature_shape(w: Workspace) -> DataFrame:
     df = w.features.join(w.scores.where("class is not null").select("txId", "class"), "txId")
-    return rounded(features.feature_shape(df, ["fees", "size", "in_BTC_total", "num_input_addresses", "out_txs_degree"]).select("feature", "n", "pearson", "spearman", "r2"))
+    return rounded(features.feature_shape(df, ["fees", "size", "in_BTC_total", "num_input_addresses", "out_txs_degree"]).select("feature", "n", "pearson", "spearman", "r2", "mutual_info", "relation"))
 
 
 @query
@@ -93,17 +96,56 @@ def utc_timestamps(w: Workspace) -> DataFrame:
 # --- splits
 
 
+@query
+def class_counts_by_step(w: Workspace) -> DataFrame:
+    return reports.counts_by_step(w.classes, [tables.ILLICIT, tables.LICIT, tables.UNKNOWN])
+
+
+@query
+def io_round_trip(w: Workspace) -> DataFrame:
+    """Class counts through the sinks: written twice over each other, appended once, read back by a query with a parameter."""
+    path = posixpath.join(shared_folder(w.spark), f"round-trip-{uuid.uuid4().hex}")
+    counts = w.classes.groupBy("class_label").agg(F.count("*").alias("n"))
+    tables.write_table(counts, path)
+    tables.write_table(counts, path)
+    tables.write_table(counts, path, overwrite=False)
+    tables.write_table(counts, path, dry_run=True)
+    return tables.query(w.spark, "SELECT class_label, sum(n) AS n, count(*) AS times FROM {t} WHERE class_label != :skip GROUP BY class_label", {"skip": tables.UNKNOWN}, t=w.spark.read.parquet(path))
+
+
+@query
+def labelled_split(w: Workspace) -> DataFrame:
+    """Labelled rows with their class, and the others without one."""
+    known, rest = features.split_labels(w.classes.drop("class"))
+    return known.select("txId", "class", F.lit("labelled").alias("part")).union(rest.select("txId", "class", F.lit("test").alias("part")))
+
+
+@query
+def data_split_by_ids(w: Workspace) -> DataFrame:
+    known, rest = features.split_labels(w.classes.drop("class"))
+    return features.with_data_split(w.classes, known.select("txId"), rest.select("txId")).select("txId", "data_split")
+
+
+@query
+def prepared_rows(w: Workspace) -> DataFrame:
+    """The validation half: features without the id and the time step, next to the target."""
+    rows = features.temporal_split(w.scores.join(w.features.select("txId", "fees", "size"), "txId").where("class is not null"), 0.7)
+    x, y = features.prepare(rows, "Val", ["time_step", "class_label"])
+    chosen = features.columns_without_prefix(x, ["txId"], ("pred_",))
+    return x.select("txId", *chosen).join(y, "txId")
+
+
 @query
 def data_split_counts(w: Workspace) -> DataFrame:
     return features.with_data_split(w.classes).groupBy("data_split", "class_label").agg(F.count("*").alias("n"))
 
 
-def _folds(w: Workspace) -> DataFrame:
-    """Four folds with fixed offsets over labelled rows, half of each fold's time steps for training."""
+def _folds(w: Workspace, folds: int = 4) -> DataFrame:
+    """Folds of half of the labelled rows each, evenly spread from the first to the last in time order; half of each fold's time steps for training."""
     rows = w.scores.where("class is not null")
-    windows = features.fold_windows(rows.count(), 5000, len(OFFSETS), OFFSETS)
-    if not windows:
-        windows = features.fold_windows(rows.count(), 500, len(OFFSETS), OFFSETS)
+    n = rows.count()
+    size = n // 2
+    windows = features.fold_windows(n, size, folds, [i * (n - size) // (folds - 1) for i in range(folds)])
     return features.temporal_split(features.take_folds(rows, windows), 0.5, keys=["fold"])
 
 
@@ -231,7 +273,7 @@ def illicit_edges(w: Workspace) -> DataFrame:
 
 @query
 def seed_edge_peek(w: Workspace) -> DataFrame:
-    return subnetworks.seed_edges(w.edgelist, w.classes, w.seeds.where("subnetwork_id < 20"))
+    return subnetworks.seed_edges(w.edgelist, w.classes, w.seeds)
 
 
 @query
@@ -322,6 +364,34 @@ def subnet_summary_collapsed(w: Workspace) -> DataFrame:
 # --- ranking
 
 
+def _predicted(w: Workspace) -> Workspace:
+    """The same tables with predicted labels for seeds and edges, as a production run takes them. The threshold is a setting: at 0.4 the stand-in
+    scores mark a third of all transactions, and most seeds would reach most of those."""
+    return Workspace(w.spark, w.dir, Settings(label_col="pred_class_label", threshold=0.55))
+
+
+@query
+def subnet_nodes_predicted(w: Workspace) -> DataFrame:
+    return _predicted(w).nodes
+
+
+@query
+def merged_nodes_predicted(w: Workspace) -> DataFrame:
+    return texts(_predicted(w).nodes_final, "seeds_in_group")
+
+
+@query
+def merged_group_seeds(w: Workspace) -> DataFrame:
+    return subnetworks.group_seeds(w.nodes_retagged)
+
+
+@query
+def min_size_relabelled(w: Workspace) -> DataFrame:
+    report = subnetworks.size_report(w.nodes_final, w.edges_final, 2)
+    kept = report.where("status = 'kept'").select(F.col(GROUP).alias("id"), "status")
+    return subnetworks.filter_small(w.nodes_final, report, new_ids=subnetworks.relabel(kept)).select(GROUP, "txn_id", "min_hop")
+
+
 @query
 def degrees(w: Workspace) -> DataFrame:
     return ranking.degrees(w.edges_final)
@@ -353,21 +423,14 @@ def composite_rank(w: Workspace) -> DataFrame:
     return rounded(w.composite)
 
 
-def _wide(w: Workspace) -> DataFrame:
-    """The composite of a weaker label rule's larger groups: the scores, over all transactions, by time step as group."""
-    nodes = w.classes.select(F.col("time_step").cast("long").alias(GROUP), F.col("txId").alias("txn_id"))
-    pr = w.scores.select(F.col("time_step").cast("long").alias(GROUP), F.col("txId").alias("node"), F.col("pred_proba").alias("pagerank"))
-    return ranking.composite(w.features, pr, nodes)
-
-
 @query
 def weight_sensitivity(w: Workspace) -> DataFrame:
-    return rounded(ranking.compare_weights(_wide(w), top_frac=0.2))
+    return rounded(ranking.compare_weights(w.composite, top_frac=0.2))
 
 
 @query
 def weight_sensitivity_details(w: Workspace) -> DataFrame:
-    return rounded(ranking.compare_weights(_wide(w), top_frac=0.1, details=True))
+    return rounded(ranking.compare_weights(w.composite, top_frac=0.1, details=True))
 
 
 @query
@@ -402,7 +465,13 @@ def eigenvector(w: Workspace) -> DataFrame:
 
 def _all_ranks(w: Workspace) -> DataFrame:
     base = w.composite.select(GROUP, "node", "composite_raw", "composite_rank")
-    return ranking.join_metrics(base, w.pagerank.select(GROUP, "node", "pr_rank"), ranking.degrees(w.edges_final), ranking.min_hops(w.edges_final))
+    central = [ranking.matrix_metrics(w.edges_final), ranking.harmonic(w.edges_final), ranking.betweenness(w.edges_final)]
+    return ranking.join_metrics(base, w.pagerank.select(GROUP, "node", "pr_rank"), ranking.degrees(w.edges_final), *central, ranking.min_hops(w.edges_final))
+
+
+def _compared_ranks(w: Workspace) -> DataFrame:
+    base = w.composite.select(GROUP, "node", "composite_rank")
+    return ranking.join_metrics(base, w.pagerank.select(GROUP, "node", "pr_rank"), ranking.degrees(w.edges_final))
 
 
 @query
@@ -412,32 +481,38 @@ def rank_join_all(w: Workspace) -> DataFrame:
 
 @query
 def rank_scores(w: Workspace) -> DataFrame:
-    return ranking.rank_scores(_all_ranks(w).select(GROUP, "node", *RANK_COLUMNS), RANK_COLUMNS)
+    return ranking.rank_scores(_compared_ranks(w).select(GROUP, "node", *RANK_COLUMNS), RANK_COLUMNS)
 
 
 @query
 def rank_corr_pearson(w: Workspace) -> DataFrame:
-    return rounded(ranking.rank_correlations(_all_ranks(w), RANK_COLUMNS, "pearson", 5))
+    return rounded(ranking.rank_correlations(_compared_ranks(w), RANK_COLUMNS, "pearson", 5))
 
 
 @query
 def rank_corr_spearman(w: Workspace) -> DataFrame:
-    return rounded(ranking.rank_correlations(_all_ranks(w), RANK_COLUMNS, "spearman", 5))
+    return rounded(ranking.rank_correlations(_compared_ranks(w), RANK_COLUMNS, "spearman", 5))
 
 
 @query
 def rank_corr_kendall(w: Workspace) -> DataFrame:
-    return rounded(ranking.rank_correlations(_all_ranks(w), RANK_COLUMNS, "kendall", 5))
+    return rounded(ranking.rank_correlations(_compared_ranks(w), RANK_COLUMNS, "kendall", 5))
 
 
 @query
 def rank_corr_average(w: Workspace) -> DataFrame:
-    return rounded(ranking.average_correlations(ranking.rank_correlations(_all_ranks(w), RANK_COLUMNS, "pearson", 5), w.summary, 5))
+    return rounded(ranking.average_correlations(ranking.rank_correlations(_compared_ranks(w), RANK_COLUMNS, "pearson", 5), w.summary, 5))
 
 
 # --- structure
 
 
+@query
+def merged_nodes_sorted(w: Workspace) -> DataFrame:
+    """The report's order: group, least hop, node; each row with its place."""
+    return numbered(w.nodes_final.select(GROUP, "min_hop", "txn_id"), [GROUP, "min_hop", "txn_id"], "place")
+
+
 @query
 def node_count_dist(w: Workspace) -> DataFrame:
     return rounded(reports.node_count_distribution(w.summary), 2)
@@ -491,6 +566,16 @@ def viz_nodes(w: Workspace) -> DataFrame:
     return rounded(addresses.viz_nodes(w.ranked, w.edges_final))
 
 
+@query
+def viz_edges(w: Workspace) -> DataFrame:
+    return addresses.viz_edges(w.edges_final)
+
+
+@query
+def addr_metrics_by_strength(w: Workspace) -> DataFrame:
+    return rounded(addresses.address_metrics(w.ranked.drop("pagerank"), w.edges_final, w.addr_txn, w.txn_addr).drop("pagerank"))
+
+
 @query
 def top_label_nodes(w: Workspace) -> DataFrame:
     return addresses.top_labels(w.ranked)
@@ -533,12 +618,18 @@ MODEL_COLUMNS = ["fees", "size", "in_BTC_total", "out_BTC_max", "num_input_addre
 
 
 def _labelled(w: Workspace) -> DataFrame:
+    if not hasattr(w, "_model_rows"):
+        w._model_rows = saved(_model_rows(w))
+    return w._model_rows
+
+
+def _model_rows(w: Workspace) -> DataFrame:
     df = w.features.join(w.scores.select("txId", "class"), "txId").select("txId", "time_step", "class", *MODEL_COLUMNS)
     return features.impute_median(df, ["txId", "time_step", "class"])
 
 
 def _training(w: Workspace) -> DataFrame:
-    return _labelled(w).where("class is not null").cache()
+    return _labelled(w).where("class is not null")
 
 
 @query
@@ -577,7 +668,7 @@ def halving_search(w: Workspace) -> DataFrame:
 
 @query
 def tuning_params(w: Workspace) -> DataFrame:
-    return rounded(w.spark.createDataFrame([(r["round"], r["candidate"], r["recall"], r["best"]) for r in models.tuning_report(_search(w))], "round int, candidate int, recall double, best boolean"))
+    return rounded(models.tuning_report(w.spark, _search(w), ["reg", "l1_ratio"], factor=2))
 
 
 @query

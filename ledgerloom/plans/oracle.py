@@ -28,6 +28,8 @@ _PRED = _SCORE + """, pred AS (SELECT *, CAST(pred_proba >= 0.4::DOUBLE AS INTEG
 _ALLOWED = f"""{_CLS}, {_EDGE}, ill AS (SELECT "txId" AS id FROM cls WHERE class_label = 'Illicit'),
 ie AS (SELECT "txId1" AS src, "txId2" AS dst FROM edge WHERE "txId1" IN (SELECT id FROM ill) AND "txId2" IN (SELECT id FROM ill)),
 seeds AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS subnetwork_id, id AS seed_txn FROM ill)"""
+#: The same over predicted labels, as the batch run takes its seeds from the classifier.
+_ALLOWED_PREDICTED = _ALLOWED.replace(_CLS, _PRED.replace("0.4::DOUBLE", "0.55::DOUBLE")).replace("FROM cls WHERE class_label = 'Illicit'", "FROM pred WHERE pred_class_label = 'Illicit'")
 _REACH = (
     _ALLOWED
     + """, reach(seed, node, hop) USING KEY (seed, node) AS (SELECT id, id, 0 FROM ill
@@ -54,12 +56,11 @@ comp(node, lab) USING KEY (node) AS (SELECT DISTINCT subnetwork_id, subnetwork_i
   UNION SELECT sl.b, min(f.lab) FROM comp f JOIN sl ON sl.a = f.node JOIN recurring.comp r ON r.node = sl.b WHERE f.lab < r.lab GROUP BY sl.b),
 mid AS (SELECT node AS subnetwork_id, lab AS merged_subnetwork_id FROM comp),
 rn AS (SELECT kn.*, merged_subnetwork_id FROM kn JOIN mid USING (subnetwork_id)), re AS (SELECT ke.*, merged_subnetwork_id FROM ke JOIN mid USING (subnetwork_id)),
-fn AS (SELECT merged_subnetwork_id, txn_id, min(hop) AS min_hop, string_agg(DISTINCT CAST(seed_txn AS VARCHAR), ';' ORDER BY CAST(seed_txn AS VARCHAR)) AS bad_order, list_sort(list(DISTINCT seed_txn)) AS seeds_in_group FROM rn GROUP BY 1, 2),
+fn AS (SELECT merged_subnetwork_id, txn_id, min(hop) AS min_hop, seeds_in_group FROM rn JOIN (SELECT merged_subnetwork_id, list_sort(list(DISTINCT seed_txn)) AS seeds_in_group FROM rn GROUP BY 1) USING (merged_subnetwork_id) GROUP BY 1, 2, 4),
 fe AS (SELECT merged_subnetwork_id, src_txn_id, dst_txn_id, min(src_txn_hop) AS min_src_hop, min(dst_txn_hop) AS min_dst_hop FROM re GROUP BY 1, 2, 3),
 sm AS (SELECT n.*, coalesce(ec, 0) AS edge_count FROM (SELECT merged_subnetwork_id, list_sort(list(DISTINCT txn_id)) AS txns, count(DISTINCT txn_id) AS node_count, max(hop) AS depth, list_sort(list(DISTINCT seed_txn)) AS seeds, count(DISTINCT seed_txn) AS seed_count FROM rn GROUP BY 1) n
   LEFT JOIN (SELECT merged_subnetwork_id, count(*) AS ec FROM re GROUP BY 1) e USING (merged_subnetwork_id))"""
 )
-_MERGED = _MERGED.replace("string_agg(DISTINCT CAST(seed_txn AS VARCHAR), ';' ORDER BY CAST(seed_txn AS VARCHAR)) AS bad_order, ", "")
 #: Nodes of a group with edges, and 130 steps of PageRank; a group's values stop where its change falls below N * 1e-8.
 _PR = (
     _MERGED
@@ -72,7 +73,6 @@ pr(k, g, node, n, o, p, ch) AS (SELECT 0, g, node, n, o, 1.0::DOUBLE / n, 1e9::D
     WHERE pr.k < 100) WHERE ch >= n * 1e-8::DOUBLE),
 pagerank AS (SELECT g AS merged_subnetwork_id, node, arg_max(p, k) AS pagerank FROM pr GROUP BY 1, 2)"""
 )
-_PRC = _PR + """, prc AS (SELECT merged_subnetwork_id, txn_id AS node, coalesce(pagerank, 1.0::DOUBLE / count(*) OVER (PARTITION BY merged_subnetwork_id)) AS pagerank FROM fn LEFT JOIN pagerank p USING (merged_subnetwork_id) WHERE p.node = txn_id OR p.node IS NULL)"""
 _PRC = (
     _PR
     + """, prc AS (SELECT fn.merged_subnetwork_id, txn_id AS node, min_hop, coalesce(pagerank, 1.0::DOUBLE / count(*) OVER (PARTITION BY fn.merged_subnetwork_id)) AS pagerank FROM fn LEFT JOIN pagerank p ON p.merged_subnetwork_id = fn.merged_subnetwork_id AND p.node = txn_id)"""
@@ -87,16 +87,16 @@ def _pct(c: str, g: str = "merged_subnetwork_id") -> str:
 def _composite(base: str) -> str:
     """CTEs up to comps from base (merged_subnetwork_id, node, pagerank, in_BTC_total, in_txs_degree, out_txs_degree)."""
     return f""", cb AS (SELECT merged_subnetwork_id, node, coalesce("in_BTC_total", 0) AS "in_BTC_total", coalesce(in_txs_degree, 0) AS in_txs_degree, coalesce(out_txs_degree, 0) AS out_txs_degree, pagerank, pagerank IS NULL AS pagerank_missing FROM {base}),
-cp AS (SELECT *, {_pct("pagerank")} AS pr_pct, {_pct('"in_BTC_total"')} AS btc_pct, {_pct("in_txs_degree")} AS in_deg_pct, {_pct("out_txs_degree")} AS out_deg_pct FROM cb),
+cp AS (SELECT *, {_pct("pagerank")} AS pagerank_pct, {_pct('"in_BTC_total"')} AS in_btc_pct, {_pct("in_txs_degree")} AS in_deg_pct, {_pct("out_txs_degree")} AS out_deg_pct FROM cb),
 cq AS (SELECT *, 1 - out_deg_pct AS out_deg_pct_inv, "in_BTC_total" / (sum("in_BTC_total") OVER (PARTITION BY merged_subnetwork_id) + 1e-12::DOUBLE) AS in_btc_share FROM cp),
-cr AS (SELECT *, 0.6::DOUBLE * coalesce(pr_pct, 0) AS pr_contrib, 0.3::DOUBLE * btc_pct AS btc_contrib, 0.07::DOUBLE * in_deg_pct AS in_deg_contrib, 0.03::DOUBLE * out_deg_pct_inv AS out_deg_contrib FROM cq),
-cs AS (SELECT *, pr_contrib + btc_contrib + in_deg_contrib + out_deg_contrib AS composite_raw FROM cr),
+cr AS (SELECT *, 0.6::DOUBLE * coalesce(pagerank_pct, 0) AS pr_contrib, coalesce(pagerank_pct, 0) AS pagerank_pct_filled_for_contrib, 0.6::DOUBLE AS pr_weight, 0.3::DOUBLE AS val_weight, 0.07::DOUBLE AS in_weight, 0.03::DOUBLE AS out_weight, 0.3::DOUBLE * in_btc_pct AS val_contrib, 0.07::DOUBLE * in_deg_pct AS in_deg_contrib, 0.03::DOUBLE * out_deg_pct_inv AS out_deg_contrib FROM cq),
+cs AS (SELECT *, pr_contrib + val_contrib + in_deg_contrib + out_deg_contrib AS composite_raw FROM cr),
 comps AS (SELECT *, {_pct("composite_raw")} AS composite_pct, dense_rank() OVER (PARTITION BY merged_subnetwork_id ORDER BY round(composite_raw, 9) DESC) AS composite_rank FROM cs)"""
 
 
 _COMP = _PRC + ", " + _FEAT.replace(_EDGE + ", ", "") + """, cbase AS (SELECT prc.merged_subnetwork_id, node, pagerank, "in_BTC_total", in_txs_degree, out_txs_degree FROM prc LEFT JOIN feat ON feat."txId" = node)""" + _composite("cbase")
-_COMP_COLUMNS = """merged_subnetwork_id, node, round("in_BTC_total", 6) AS "in_BTC_total", in_txs_degree, out_txs_degree, round(pagerank, 6) AS pagerank, pagerank_missing, round(pr_pct, 6) AS pr_pct, round(btc_pct, 6) AS btc_pct, round(in_deg_pct, 6) AS in_deg_pct, round(out_deg_pct, 6) AS out_deg_pct,
-  round(out_deg_pct_inv, 6) AS out_deg_pct_inv, round(in_btc_share, 6) AS in_btc_share, round(pr_contrib, 6) AS pr_contrib, round(btc_contrib, 6) AS btc_contrib, round(in_deg_contrib, 6) AS in_deg_contrib, round(out_deg_contrib, 6) AS out_deg_contrib, round(composite_raw, 6) AS composite_raw, round(composite_pct, 6) AS composite_pct, composite_rank"""
+_COMP_COLUMNS = """merged_subnetwork_id, node, round("in_BTC_total", 6) AS "in_BTC_total", in_txs_degree, out_txs_degree, round(pagerank, 6) AS pagerank, pagerank_missing, round(pagerank_pct, 6) AS pagerank_pct, round(in_btc_pct, 6) AS in_btc_pct, round(in_deg_pct, 6) AS in_deg_pct, round(out_deg_pct, 6) AS out_deg_pct,
+  round(out_deg_pct_inv, 6) AS out_deg_pct_inv, round(in_btc_share, 6) AS in_btc_share, round(pagerank_pct_filled_for_contrib, 6) AS pagerank_pct_filled_for_contrib, pr_weight, val_weight, in_weight, out_weight, round(pr_contrib, 6) AS pr_contrib, round(val_contrib, 6) AS val_contrib, round(in_deg_contrib, 6) AS in_deg_contrib, round(out_deg_contrib, 6) AS out_deg_contrib, round(composite_raw, 6) AS composite_raw, round(composite_pct, 6) AS composite_pct, composite_rank"""
 _ADDR = """, ain AS (SELECT c_name AS input_address, o_orderkey AS "txId" FROM orders JOIN customer ON o_custkey = c_custkey), aout AS (SELECT DISTINCT l_orderkey AS "txId", s_name AS output_address FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 _SUMMARY = (
     _COMP
@@ -138,8 +138,8 @@ _MANUAL_EDGES = "([0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]:
 _BINS = _SCORE + f""", bin AS (SELECT i AS bin_no, {_MANUAL_EDGES}[i] AS lo, {_MANUAL_EDGES}[i + 1] AS hi, printf('%g-%g', {_MANUAL_EDGES}[i], {_MANUAL_EDGES}[i + 1]) AS lab FROM range(1, 12) r(i)), binned AS (SELECT score.*, lo, hi, lab FROM score LEFT JOIN bin ON pred_proba >= lo AND pred_proba < hi)"""
 _FOLDS = (
     _SCORE
-    + """, lab AS (SELECT *, row_number() OVER (ORDER BY time_step, "txId") - 1 AS place, count(*) OVER () AS total FROM score WHERE class IS NOT NULL), sized AS (SELECT *, CASE WHEN total > 5000 THEN 5000 ELSE 500 END AS w FROM lab),
-fl AS (SELECT CAST(f AS INTEGER) AS fold, s.* FROM sized s, (VALUES (1, 0), (2, 500), (3, 1000), (4, 1700)) o(f, a) WHERE place >= a % (total - w + 1) AND place < a % (total - w + 1) + w),
+    + """, lab AS (SELECT *, row_number() OVER (ORDER BY time_step, "txId") - 1 AS place, count(*) OVER () AS total, count(*) OVER () // 2 AS w FROM score WHERE class IS NOT NULL),
+fl AS (SELECT CAST(i + 1 AS INTEGER) AS fold, s.* FROM lab s, range(0, 4) o(i) WHERE place >= i * (total - w) // 3 AND place < i * (total - w) // 3 + w),
 steps AS (SELECT fold, time_step, row_number() OVER (PARTITION BY fold ORDER BY time_step) <= floor(count(*) OVER (PARTITION BY fold) * 0.5) AS tr FROM (SELECT DISTINCT fold, time_step FROM fl)),
 folds AS (SELECT fl.*, CASE WHEN tr THEN 'Train' ELSE 'Val' END AS training_label, CAST(pred_proba >= 0.5::DOUBLE AS INTEGER) AS p FROM fl JOIN steps USING (fold, time_step))"""
 )
@@ -181,17 +181,17 @@ def _bins(width: str, ok: str) -> str:
 SELECT CASE WHEN {ok} AND bin_width > 0 THEN greatest(1, CAST(floor(span / bin_width) AS BIGINT)) ELSE 10 END AS num_bins, bin_width FROM w"""
 
 
-_WIDE = f"{_FEAT}, {_SCORE}" + """, wb AS (SELECT CAST(score.time_step AS BIGINT) AS merged_subnetwork_id, score."txId" AS node, pred_proba AS pagerank, "in_BTC_total", in_txs_degree, out_txs_degree FROM score JOIN feat USING ("txId"))""" + _composite("wb")
 _SETS = "(VALUES (0, 'equal', 0.25, 0.25, 0.25, 0.25), (1, 'balanced', 0.5, 0.4, 0.07, 0.03), (2, 'current', 0.6, 0.3, 0.07, 0.03), (3, 'pr_heavy', 0.7, 0.2, 0.07, 0.03), (4, 'pr_extreme', 0.8, 0.15, 0.03, 0.02), (5, 'pr_mid', 0.55, 0.35, 0.07, 0.03), (6, 'val_heavy', 0.2, 0.7, 0.06, 0.04), (7, 'val_mid', 0.4, 0.5, 0.06, 0.04), (8, 'val_extreme', 0.1, 0.8, 0.05, 0.05), (9, 'deg_heavy', 0.4, 0.3, 0.2, 0.1), (10, 'deg_equal', 0.33, 0.33, 0.17, 0.17)) ws(set_no, name, w1, w2, w3, w4)"
 
 
 def _weights(frac: str) -> str:
-    return f"""WITH {_WIDE}, wr AS (SELECT *, count(*) OVER (PARTITION BY merged_subnetwork_id) AS n FROM comps),
-wx AS (SELECT CAST(set_no AS INTEGER) AS set_no, name, merged_subnetwork_id, node, n, pr_pct, CAST(round("in_BTC_total" * 100) AS BIGINT) AS v, round(w1::DOUBLE * coalesce(pr_pct, 0) + w2::DOUBLE * btc_pct + w3::DOUBLE * in_deg_pct + w4::DOUBLE * out_deg_pct_inv, 9) AS raw FROM wr, {_SETS} WHERE n >= 5),
+    return f"""WITH RECURSIVE {_COMP}, wr AS (SELECT *, count(*) OVER (PARTITION BY merged_subnetwork_id) AS n FROM comps),
+wx AS (SELECT CAST(set_no AS INTEGER) AS set_no, name, merged_subnetwork_id, node, n, pagerank_pct, CAST(round("in_BTC_total" * 100) AS BIGINT) AS v, round(w1::DOUBLE * coalesce(pagerank_pct, 0) + w2::DOUBLE * in_btc_pct + w3::DOUBLE * in_deg_pct + w4::DOUBLE * out_deg_pct_inv, 9) AS raw FROM wr, {_SETS} WHERE n >= 5),
 wt AS (SELECT *, row_number() OVER (PARTITION BY set_no, merged_subnetwork_id ORDER BY raw DESC, node) <= greatest(1, ceil({frac}::DOUBLE * n)) AS top FROM wx),
-wd AS (SELECT set_no, name, merged_subnetwork_id, CASE WHEN sum(v) > 0 THEN coalesce(CAST(sum(v) FILTER (top) AS DOUBLE), 0) / CAST(sum(v) AS DOUBLE) ELSE 0 END AS btc_share, median(coalesce(pr_pct, 0)) FILTER (top) * 100 AS pr_percentile_med FROM wt GROUP BY 1, 2, 3)"""
+wd AS (SELECT set_no, name, merged_subnetwork_id, CASE WHEN sum(v) > 0 THEN coalesce(CAST(sum(v) FILTER (top) AS DOUBLE), 0) / CAST(sum(v) AS DOUBLE) ELSE 0 END AS btc_share, median(coalesce(pagerank_pct, 0)) FILTER (top) * 100 AS pr_percentile_med FROM wt GROUP BY 1, 2, 3)"""
 
 
+_FORMULAS = {"accuracy": "((TP + TN) / (TP + TN + FP + FN))", "precision": "(TP / (TP + FP))", "recall": "(TP / (TP + FN))", "f1": "2 * (Precision * Recall) / (Precision + Recall)"}
 _PARSED = """CASE c_custkey % 4 WHEN 0 THEN [c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR), c_name] WHEN 1 THEN [c_name, c_mktsegment] ELSE [] END"""
 
 SQL: dict[str, str] = {
@@ -211,8 +211,13 @@ FROM feat JOIN cls USING ("txId") CROSS JOIN lim LEFT JOIN pin ON pin."txId" = f
     "pct_rank_global": f"""WITH {_FEAT} SELECT "txId", num_input_addresses, round(CASE WHEN num_input_addresses IS NOT NULL THEN (rank() OVER (ORDER BY num_input_addresses NULLS LAST) + (count(*) OVER (PARTITION BY num_input_addresses) - 1) / 2.0::DOUBLE) / count(num_input_addresses) OVER () END, 6) AS pct FROM feat""",
     "impute_median": f"""WITH {_FEAT}, m AS (SELECT median(fees) AS a, median(size) AS b, median("in_BTC_total") AS c, median(in_txs_degree) AS d FROM feat) SELECT "txId", round(coalesce(fees, a), 6) AS fees, coalesce(size, b) AS size, round(coalesce("in_BTC_total", c), 6) AS "in_BTC_total", CAST(coalesce(in_txs_degree, d) AS DOUBLE) AS in_txs_degree FROM feat, m""",
     "feature_shape": f"""WITH {_FEAT}, {_SCORE}, fs AS (SELECT feature, CAST(v AS DOUBLE) AS x, CAST(class AS DOUBLE) AS y FROM feat JOIN score USING ("txId"), LATERAL (VALUES ('fees', fees), ('size', size), ('in_BTC_total', "in_BTC_total"), ('num_input_addresses', num_input_addresses), ('out_txs_degree', out_txs_degree)) t(feature, v) WHERE class IS NOT NULL AND v IS NOT NULL),
-fr AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0::DOUBLE AS ry FROM fs)
-SELECT feature, count(*) AS n, round({_PEARSON}, 6) AS pearson, round({_PEARSON.replace("x", "rx").replace("y)", "ry)").replace("marx", "max")}, 6) AS spearman, round(({_PEARSON}) ** 2, 6) AS r2 FROM fr GROUP BY 1 HAVING count(*) >= 5""",
+fr AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0::DOUBLE AS ry FROM fs),
+fq AS (SELECT feature, count(*) AS n, {_PEARSON} AS p, {_PEARSON.replace("x", "rx").replace("y)", "ry)").replace("marx", "max")} AS s, min(x) AS lo, max(x) AS hi FROM fr GROUP BY 1 HAVING count(*) >= 5),
+fc AS (SELECT feature, coalesce(least(floor((x - lo) / nullif(hi - lo, 0) * 16), 15), 0) AS b, y, count(*) AS c FROM fs JOIN fq USING (feature) GROUP BY 1, 2, 3),
+fi AS (SELECT feature, c, sum(c) OVER (PARTITION BY feature) AS t, sum(c) OVER (PARTITION BY feature, b) AS tb, sum(c) OVER (PARTITION BY feature, y) AS ty FROM fc),
+fm AS (SELECT feature, sum(c / CAST(t AS DOUBLE) * ln(CAST(c AS DOUBLE) * t / (CAST(tb AS DOUBLE) * ty))) AS mi FROM fi GROUP BY 1)
+SELECT feature, n, round(p, 6) AS pearson, round(s, 6) AS spearman, round(p ** 2, 6) AS r2, round(mi, 6) + 0.0::DOUBLE AS mutual_info,
+  CASE WHEN abs(p) > 0.5 AND p ** 2 > 0.3 THEN 'linear' WHEN abs(p) < 0.3 AND (abs(s) > 0.5 OR mi > 0.1) THEN 'nonlinear' ELSE 'weak' END AS relation FROM fq JOIN fm USING (feature)""",
     "projected_cast_scan": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, o_totalprice FROM orders",
     "null_row_drop": f'WITH {_FEAT} SELECT "txId", fees, in_txs_degree, out_txs_degree FROM feat WHERE fees IS NOT NULL AND in_txs_degree IS NOT NULL AND out_txs_degree IS NOT NULL',
     "data_split_counts": f"WITH {_CLS} SELECT CASE WHEN class_label IN ('Illicit', 'Licit') THEN 'Train/Val' ELSE 'Test' END AS data_split, class_label, count(*) AS n FROM cls GROUP BY 1, 2",
@@ -238,7 +243,7 @@ SELECT round(lo, 6) AS "pred_bin_LOWERB", round(hi, 6) AS "pred_bin_UPPERB", cou
 SELECT * FROM p UNION ALL BY NAME SELECT 'Total' AS pred_bin, NULL::DOUBLE AS "pred_bin_LOWERB", CAST(sum("Illicit") AS BIGINT) AS "Illicit", CAST(sum("Licit") AS BIGINT) AS "Licit", CAST(sum("TOTAL") AS BIGINT) AS "TOTAL", {", ".join(f'round(sum("{n}_PCT"), 3) AS "{n}_PCT", 1.0::DOUBLE AS "{n}_CUMPCT"' for n in ("Illicit", "Licit", "TOTAL"))},
   round(CAST(sum("Illicit") AS DOUBLE) / CAST(sum("Licit") AS DOUBLE), 3) AS "Illicit_Licit_ODDS", round(CAST(sum("Illicit") AS DOUBLE) / CAST(sum("TOTAL") AS DOUBLE), 3) AS "Illicit_CONVERSION" FROM p""",
     "cm_threshold_report": f"""WITH {_SCORE}, c AS (SELECT t AS threshold, count(*) FILTER (class = 1 AND pred_proba >= t) AS tp, count(*) FILTER (class = 0 AND pred_proba < t) AS tn, count(*) FILTER (class = 0 AND pred_proba >= t) AS fp, count(*) FILTER (class = 1 AND pred_proba < t) AS fn FROM score, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS t) WHERE class IS NOT NULL GROUP BY t)
-SELECT threshold, {", ".join(f"round_even({v}, 2) AS {k}" for k, v in _metrics().items())}, printf('%.4f', {_metrics()["precision"]}) || ' = (TP / (TP + FP))' AS precision_formula, tp, tn, fp, fn, tp + tn + fp + fn AS total FROM c""",
+SELECT threshold, {", ".join(f"round_even({v}, 2) AS {k}" for k, v in _metrics().items())}, {", ".join(f"printf('%.4f', {_metrics()[k]}) || ' = {t}' AS {k}_formula" for k, t in _FORMULAS.items())}, tp, tn, fp, fn, tp + tn + fp + fn AS total FROM c""",
     "final_model_eval": f"""WITH {_PRED}, c AS (SELECT count(*) AS total_size, {_CONFUSION} FROM (SELECT class, pred_class AS p FROM pred) WHERE class IS NOT NULL), a AS (SELECT *, (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 AS auc FROM c)
 SELECT 'final' AS label, total_size, {_METRICS6}, round(auc, 6) AS auc_hard, round(2 * auc - 1, 6) AS gini_hard, tp, tn, fp, fn FROM a""",
     "auc_gini": f"""WITH {_SCORE}, r AS (SELECT class, rank() OVER (ORDER BY pred_proba) + (count(*) OVER (PARTITION BY pred_proba) - 1) / 2.0::DOUBLE AS r FROM score WHERE class IS NOT NULL), a AS (SELECT CAST(sum(class) AS DOUBLE) AS n1, CAST(count(*) - sum(class) AS DOUBLE) AS n0, sum(r) FILTER (class = 1) AS s FROM r)
@@ -248,7 +253,7 @@ SELECT round((s - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc, round(2 * (s - n1 *
     "best_fold": f"WITH {_FOLDS}, {_fold_eval()} SELECT fold, gini, recall, accuracy FROM res ORDER BY gini DESC NULLS LAST, recall DESC, accuracy DESC, fold LIMIT 2",
     "fold_class_counts": f"WITH {_FOLDS} SELECT fold, " + ", ".join(f"count(*) FILTER (training_label = '{s.title()}' AND class = {k}) AS {s}_{k}" for s in ("train", "val") for k in (0, 1)) + " FROM folds GROUP BY fold",
     "illicit_edges": f"WITH {_ALLOWED} SELECT src, dst FROM ie",
-    "seed_edge_peek": f"""WITH {_ALLOWED} SELECT "txId1", "txId2", a.class_label AS src_label, b.class_label AS dst_label, a.class_label = 'Illicit' AND b.class_label = 'Illicit' AS both_illicit FROM edge JOIN cls a ON a."txId" = "txId1" JOIN cls b ON b."txId" = "txId2" WHERE "txId1" IN (SELECT seed_txn FROM seeds WHERE subnetwork_id < 20)""",
+    "seed_edge_peek": f"""WITH {_ALLOWED} SELECT "txId1", "txId2", a.class_label AS src_label, b.class_label AS dst_label, a.class_label = 'Illicit' AND b.class_label = 'Illicit' AS both_illicit FROM edge JOIN cls a ON a."txId" = "txId1" JOIN cls b ON b."txId" = "txId2" WHERE "txId1" IN (SELECT seed_txn FROM seeds)""",
     "subnet_nodes": f"WITH RECURSIVE {_FULL} SELECT * FROM nd",
     "subnet_edges": f"WITH RECURSIVE {_FULL} SELECT * FROM ed",
     "subnet_nodes_maxhop2": f"WITH RECURSIVE {_HOP2} SELECT * FROM nd",
@@ -316,3 +321,47 @@ SQL |= {
     "betweenness": f"""WITH RECURSIVE {_PR}{_DIST}, b AS (SELECT a.g, a.t AS node, sum(a.paths * b.paths / CAST(d.paths AS DOUBLE)) AS v FROM dist a JOIN dist b ON b.g = a.g AND b.s = a.t JOIN dist d ON d.g = a.g AND d.s = a.s AND d.t = b.t WHERE a.hop > 0 AND b.hop > 0 AND a.s <> b.t AND a.hop + b.hop = d.hop GROUP BY 1, 2),
 r AS (SELECT gs.g AS merged_subnetwork_id, gs.node, coalesce(v / nullif(CAST((n - 1) * (n - 2) AS DOUBLE), 0), 0) AS v FROM gs LEFT JOIN b ON b.g = gs.g AND b.node = gs.node) SELECT merged_subnetwork_id, node, round(v, 6) AS betweenness, dense_rank() OVER (PARTITION BY merged_subnetwork_id ORDER BY round(v, 9) DESC) AS rank_betweenness FROM r""",
 }
+
+_ROUND = lambda c: f"round({c}, 6) + 0.0::DOUBLE AS {c}"
+_RANK = lambda c: f"dense_rank() OVER (PARTITION BY g ORDER BY round({c}, 9) DESC) AS rank_{c}"
+#: Hubs: 300 rounds of h = A A' h from an even start; authorities from the last hubs. Every group here has an edge.
+_HITS = """, hm AS (SELECT a.merged_subnetwork_id AS g, a.src_txn_id AS u, b.src_txn_id AS v, count(*) AS m FROM fe a JOIN fe b ON a.merged_subnetwork_id = b.merged_subnetwork_id AND a.dst_txn_id = b.dst_txn_id GROUP BY 1, 2, 3),
+hz(k, g, node, h) AS (SELECT 0, g, node, 1.0::DOUBLE FROM gs UNION ALL SELECT k + 1, g, node, q / max(q) OVER (PARTITION BY g) FROM (SELECT z.k, z.g, z.node, coalesce(f.s, 0) AS q FROM hz z
+  LEFT JOIN (SELECT hm.g, hm.u AS node, sum(hm.m * y.h) AS s FROM hz y JOIN hm ON hm.g = y.g AND hm.v = y.node GROUP BY 1, 2) f ON f.g = z.g AND f.node = z.node WHERE z.k < 300)),
+hl AS (SELECT g, node, h FROM hz WHERE k = 300), hv AS (SELECT l.g, l.node, l.h, coalesce(sum(s.h), 0) AS a FROM hl l LEFT JOIN fe e ON e.merged_subnetwork_id = l.g AND e.dst_txn_id = l.node LEFT JOIN hl s ON s.g = l.g AND s.node = e.src_txn_id GROUP BY 1, 2, 3),
+hits AS (SELECT g, node, h / sum(h) OVER (PARTITION BY g) AS hub, a / sum(a) OVER (PARTITION BY g) AS authority FROM hv)"""
+_UND = """, und AS (SELECT merged_subnetwork_id AS g, src_txn_id AS u, dst_txn_id AS v FROM fe UNION SELECT merged_subnetwork_id, dst_txn_id, src_txn_id FROM fe)"""
+#: The leading vector of the undirected graph by 2,000 rounds of A + I; zeros under three nodes.
+_EIGEN = """, ez(k, g, node, n, x) AS (SELECT 0, g, node, n, 1 / sqrt(CAST(n AS DOUBLE)) FROM gs UNION ALL SELECT k + 1, g, node, n, q / sqrt(sum(q * q) OVER (PARTITION BY g)) FROM (SELECT z.k, z.g, z.node, z.n, z.x + coalesce(f.s, 0) AS q FROM ez z
+  LEFT JOIN (SELECT und.g, und.v AS node, sum(y.x) AS s FROM ez y JOIN und ON und.g = y.g AND und.u = y.node GROUP BY 1, 2) f ON f.g = z.g AND f.node = z.node WHERE z.k < 2000)),
+eig AS (SELECT g, node, CASE WHEN n < 3 THEN 0 ELSE x END AS eigenvector FROM ez WHERE k = 2000)"""
+#: Each node's value becomes the h-index of its neighbours' values, from the degree down; that ends on the core numbers.
+_CORE = """, cz(k, g, node, c) AS (SELECT 0, g, u, count(*) FROM und WHERE u <> v GROUP BY 1, 2, 3 UNION ALL SELECT k + 1, g, node, max(least(r, c)) FROM (
+  SELECT z.k, z.g, und.v AS node, z.c, row_number() OVER (PARTITION BY z.g, und.v ORDER BY z.c DESC) AS r FROM cz z JOIN und ON und.g = z.g AND und.u = z.node AND und.u <> und.v WHERE z.k < 60) GROUP BY 1, 2, 3),
+core AS (SELECT gs.g, gs.node, CASE WHEN gs.g IN (SELECT g FROM und WHERE u = v) THEN 0 ELSE CAST(c AS DOUBLE) END AS coreness FROM gs JOIN cz ON cz.g = gs.g AND cz.node = gs.node AND k = 60)"""
+_KATZ = """, kz(k, g, node, x) AS (SELECT 0, g, node, 1.0::DOUBLE FROM gs UNION ALL SELECT kz.k + 1, kz.g, kz.node, 1 + 0.1::DOUBLE * coalesce(f.s, 0) FROM kz LEFT JOIN (SELECT s.g, e.dst_txn_id AS node, sum(s.x) AS s FROM kz s JOIN fe e ON e.merged_subnetwork_id = s.g AND e.src_txn_id = s.node GROUP BY 1, 2) f ON f.g = kz.g AND f.node = kz.node WHERE kz.k < 40),
+ktz AS (SELECT g, node, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS katz FROM kz WHERE k = 40)"""
+_PATHS = """, hrm AS (SELECT gn.g, gn.node, coalesce(sum(1.0::DOUBLE / hop), 0) AS harmonic FROM gn LEFT JOIN dist ON dist.g = gn.g AND dist.t = gn.node AND hop > 0 GROUP BY 1, 2),
+btp AS (SELECT a.g, a.t AS node, sum(a.paths * b.paths / CAST(d.paths AS DOUBLE)) AS v FROM dist a JOIN dist b ON b.g = a.g AND b.s = a.t JOIN dist d ON d.g = a.g AND d.s = a.s AND d.t = b.t WHERE a.hop > 0 AND b.hop > 0 AND a.s <> b.t AND a.hop + b.hop = d.hop GROUP BY 1, 2),
+btw AS (SELECT gs.g, gs.node, coalesce(v / nullif(CAST((n - 1) * (n - 2) AS DOUBLE), 0), 0) AS betweenness FROM gs LEFT JOIN btp ON btp.g = gs.g AND btp.node = gs.node)"""
+_CENTRAL = ["hub", "authority", "eigenvector", "katz", "coreness", "harmonic", "betweenness"]
+_PREDICTED = _MERGED.replace(_ALLOWED, _ALLOWED_PREDICTED)
+SQL |= {
+    "hits": f"WITH RECURSIVE {_PR}{_HITS} SELECT g AS merged_subnetwork_id, node, {_ROUND('hub')}, {_ROUND('authority')}, {_RANK('hub')}, {_RANK('authority')} FROM hits",
+    "eigenvector": f"WITH RECURSIVE {_PR}{_UND}{_EIGEN} SELECT g AS merged_subnetwork_id, node, {_ROUND('eigenvector')}, {_RANK('eigenvector')} FROM eig",
+    "coreness": f"WITH RECURSIVE {_PR}{_UND}{_CORE} SELECT g AS merged_subnetwork_id, node, coreness, {_RANK('coreness')} FROM core",
+    "rank_join_all": f"WITH RECURSIVE {_RANKS}{_HITS}{_UND}{_EIGEN}{_CORE}{_KATZ}{_DIST}{_PATHS}, cen AS (SELECT g AS merged_subnetwork_id, node, {', '.join(f'{_ROUND(c)}, {_RANK(c)}' for c in _CENTRAL)} FROM hits JOIN eig USING (g, node) JOIN ktz USING (g, node) JOIN core USING (g, node) JOIN hrm USING (g, node) JOIN btw USING (g, node)) SELECT ranks.* REPLACE (round(composite_raw, 6) AS composite_raw), cen.* EXCLUDE (merged_subnetwork_id, node) FROM ranks LEFT JOIN cen ON cen.merged_subnetwork_id = ranks.merged_subnetwork_id AND cen.node = ranks.node",
+    "subnet_nodes_predicted": f"WITH RECURSIVE {_FULL.replace(_ALLOWED, _ALLOWED_PREDICTED)} SELECT * FROM nd",
+    "merged_nodes_predicted": f"WITH RECURSIVE {_PREDICTED} SELECT merged_subnetwork_id, txn_id, min_hop, array_to_string(seeds_in_group, ';') AS seeds_in_group FROM fn",
+    "merged_group_seeds": f"WITH RECURSIVE {_MERGED} SELECT DISTINCT merged_subnetwork_id, seed_txn FROM rn",
+    "min_size_relabelled": f"WITH RECURSIVE {_MERGED} SELECT CAST(dense_rank() OVER (ORDER BY merged_subnetwork_id) - 1 AS BIGINT) AS merged_subnetwork_id, txn_id, min_hop FROM fn WHERE merged_subnetwork_id IN (SELECT merged_subnetwork_id FROM fn GROUP BY 1 HAVING count(*) >= 2)",
+    "merged_nodes_sorted": f"WITH RECURSIVE {_MERGED} SELECT merged_subnetwork_id, min_hop, txn_id, row_number() OVER (ORDER BY merged_subnetwork_id, min_hop, txn_id) - 1 AS place FROM fn",
+    "viz_edges": f"WITH RECURSIVE {_MERGED}, sd AS (SELECT merged_subnetwork_id AS g, src_txn_id AS node FROM fe WHERE min_src_hop = 0 UNION SELECT merged_subnetwork_id, dst_txn_id FROM fe WHERE min_dst_hop = 0) SELECT merged_subnetwork_id, src_txn_id, dst_txn_id, (merged_subnetwork_id, src_txn_id) IN (SELECT (g, node) FROM sd) AS src_is_seed, (merged_subnetwork_id, dst_txn_id) IN (SELECT (g, node) FROM sd) AS dst_is_seed FROM fe",
+    "addr_metrics_by_strength": SQL["addr_metrics"].replace("(pagerank - min(pagerank) OVER g) * 800 / nullif(max(pagerank) OVER g - min(pagerank) OVER g, 0)", "(strength - min(strength) OVER g) * 800 / nullif(CAST(max(strength) OVER g - min(strength) OVER g AS DOUBLE), 0)").replace("ORDER BY pagerank DESC, address", "ORDER BY strength DESC, address").replace("round(pagerank, 6) AS pagerank, ", ""),
+    "class_counts_by_step": f"""WITH {_CLS} SELECT time_step, {", ".join(f"count(*) FILTER (class_label = '{c}') AS \"{c}\"" for c in ("Illicit", "Licit", "Unknown"))} FROM cls GROUP BY 1""",
+    "io_round_trip": f"WITH {_CLS} SELECT class_label, CAST(2 * count(*) AS BIGINT) AS n, 2::BIGINT AS times FROM cls WHERE class_label <> 'Unknown' GROUP BY 1",
+    "labelled_split": f"""WITH {_CLS} SELECT "txId", CAST(CASE class_label WHEN 'Illicit' THEN 1 WHEN 'Licit' THEN 0 END AS INTEGER) AS class, CASE WHEN class_label = 'Unknown' THEN 'test' ELSE 'labelled' END AS part FROM cls""",
+    "data_split_by_ids": f"""WITH {_CLS} SELECT "txId", CASE WHEN class_label = 'Unknown' THEN 'Test' ELSE 'Train/Val' END AS data_split FROM cls""",
+    "prepared_rows": f"""WITH {_FEAT}, {_SCORE}, r AS (SELECT score."txId", score.time_step, class, fees, size FROM score JOIN feat USING ("txId") WHERE class IS NOT NULL), st AS (SELECT time_step, row_number() OVER (ORDER BY time_step) <= floor(count(*) OVER () * 0.7::DOUBLE) AS tr FROM (SELECT DISTINCT time_step FROM r)) SELECT "txId", fees, size, class FROM r JOIN st USING (time_step) WHERE NOT tr""",
+    "utc_timestamps": "SELECT o_orderkey, strftime(timezone('UTC', timezone('Australia/Melbourne', CAST(o_orderdate AS TIMESTAMP))), '%Y-%m-%d %H:%M:%S') AS utc_text FROM orders",
+}

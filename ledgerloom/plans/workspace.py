@@ -8,14 +8,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import addresses, features, ranking, reports, subnetworks
+from ..operators import addresses, features, models, ranking, reports, subnetworks
 from ..sources import tables
 from ..sources.tables import saved
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the batch run."""
+    """Parameters of the batch run. label_col names the labels that seeds and edges follow: class_label (actual), pred_class_label (predicted) or
+    final_class_label (actual where known, else predicted)."""
 
     label_col: str = "class_label"
     threshold: float = 0.4
@@ -33,12 +34,13 @@ class Settings:
 class Workspace:
     """Score, grow subnetworks, merge, rank, summarise. Shared steps are written to the checkpoint folder; the rest stay plans."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings | None = None):
-        self.spark, self.dir, self.s = spark, sf_dir, settings or Settings()
+    def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings | None = None, bundle: models.Bundle | None = None):
+        """bundle: the fitted model that scores the transactions; without one the test tables' stand-in scores serve."""
+        self.spark, self.dir, self.s, self.bundle = spark, sf_dir, settings or Settings(), bundle
 
     @cached_property
     def features(self) -> DataFrame:
-        return tables.txn_features(self.spark, self.dir)
+        return saved(tables.txn_features(self.spark, self.dir, self.edgelist))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -46,7 +48,11 @@ class Workspace:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return tables.scores(self.spark, self.dir)
+        if self.bundle is None:
+            return tables.scores(self.spark, self.dir)
+        known = self.classes.select("txId", "class_label", F.when(F.col("class_label") == tables.ILLICIT, 1).when(F.col("class_label") == tables.LICIT, 0).alias("class"))
+        found = models.score(self.bundle, self.features.join(known, "txId"))
+        return saved(found.select("txId", "time_step", "class_label", "class", "pred_proba"))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -56,17 +62,22 @@ class Workspace:
     def predictions(self) -> DataFrame:
         return reports.final_labels(reports.threshold_predictions(self.scores, self.s.threshold))
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """txId and the label column of the settings."""
+        return self.classes if self.s.label_col in self.classes.columns else self.predictions
+
     @cached_property
     def edgelist(self) -> DataFrame:
-        return tables.txn_edgelist(self.spark, self.dir)
+        return saved(tables.txn_edgelist(self.spark, self.dir))
 
     @cached_property
     def allowed(self) -> DataFrame:
-        return saved(subnetworks.allowed_edges(self.edgelist, self.classes, self.s.label_col))
+        return saved(subnetworks.allowed_edges(self.edgelist, self.labels, self.s.label_col))
 
     @cached_property
     def seeds(self) -> DataFrame:
-        return saved(subnetworks.number_seeds(self.classes, self.s.label_col))
+        return saved(subnetworks.number_seeds(self.labels, self.s.label_col))
 
     @cached_property
     def reached(self) -> DataFrame:
@@ -84,13 +95,21 @@ class Workspace:
     def report(self) -> DataFrame:
         return saved(subnetworks.dedup_report(self.nodes, by_reach=self.s.max_hops is None))
 
+    @cached_property
+    def kept_reached(self) -> DataFrame:
+        """What the subnetworks that dedup keeps reach. Without a hop limit those are known before any traversal, so the subnetworks that dedup would
+        drop are never grown."""
+        if self.s.max_hops is None:
+            return subnetworks.reach(subnetworks.kept_seeds(self.seeds, self.allowed), self.allowed)
+        return saved(self.reached.join(self.report.where("status = 'kept'").select(F.col("id").alias("subnetwork_id")), "subnetwork_id", "left_semi"))
+
     @cached_property
     def kept_nodes(self) -> DataFrame:
-        return self.nodes.join(self.report.where("status = 'kept'").select(F.col("id").alias("subnetwork_id")), "subnetwork_id", "left_semi")
+        return subnetworks.subnet_nodes(self.kept_reached)
 
     @cached_property
     def kept_edges(self) -> DataFrame:
-        return self.edges.join(self.report.where("status = 'kept'").select(F.col("id").alias("subnetwork_id")), "subnetwork_id", "left_semi")
+        return subnetworks.subnet_edges(self.kept_reached, self.allowed, self.s.max_hops)
 
     @cached_property
     def merged_ids(self) -> DataFrame:
@@ -150,9 +169,10 @@ _last: tuple[tuple, Workspace] | None = None
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The workspace of the last directory asked for in this application, so that queries over the same tables share their steps."""
+    """The workspace of the last directory asked for in this application, so that queries over the same tables share their steps, as long as the
+    tables stay as they are: it is built anew when a table's size, number of files or time of change differs."""
     global _last
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tables.state(spark, sf_dir))
     if _last is None or _last[0] != key:
         _last = (key, Workspace(spark, sf_dir))
     return _last[1]
@@ -163,13 +183,18 @@ def forget() -> None:
     _last = None
 
 
-def run_batch(spark: SparkSession, sf_dir: str, out: str, settings: Settings | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
-    """The whole batch: predictions, subnetwork tables, ranks and summary, each written below out unless dry_run. A run without seeds writes
-    its predictions only and leaves older tables as they are."""
-    w = Workspace(spark, sf_dir, settings)
+def run_batch(spark: SparkSession, sf_dir: str, out: str, settings: Settings | None = None, dry_run: bool = False, bundle: models.Bundle | str | None = None, write_pagerank: bool = True) -> dict[str, DataFrame]:
+    """The whole batch: classify (with bundle, a fitted model or the folder it was saved in), grow and merge subnetworks, rank, summarise. Each table
+    is written below out unless dry_run; df_rank_pr only with write_pagerank. A run without seeds writes its predictions only and leaves
+    older tables as they are."""
+    if isinstance(bundle, str):
+        bundle = models.Bundle.load(spark, bundle)
+    w = Workspace(spark, sf_dir, settings, bundle)
     result = {"df_txn_pred": w.predictions}
     if w.seeds.take(1):
-        result |= {"df_nw_txn_final": w.nodes_final, "df_network_edges": w.edges_final, "network_summary": w.summary, "df_rank_pr": w.pagerank, "df_rank_composite": w.composite, "df_subnetwork_summary": w.txn_summary}
+        result |= {"df_nw_txn_final": w.nodes_final, "df_network_edges": w.edges_final, "network_summary": w.summary, "df_rank_composite": w.composite, "df_subnetwork_summary": w.txn_summary}
+        if write_pagerank:
+            result["df_rank_pr"] = w.pagerank
     for name, df in result.items():
         tables.write_table(df, f"{out}/{name}", dry_run=dry_run)
     return result

@@ -7,13 +7,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import code_label
+
 ILLICIT, LICIT, UNKNOWN = "Illicit", "Licit", "Unknown"
+CODES = {1: ILLICIT, 2: LICIT, 3: UNKNOWN}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, time of change, number of files and bytes of each table of a folder, from the file system alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for f in fs.listStatus(path):
+        held = fs.getContentSummary(f.getPath())
+        found.append((f.getPath().getName(), f.getModificationTime(), held.getFileCount(), held.getLength()))
+    return tuple(sorted(found))
+
+
 def read_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Projected and cast scan: {column: type}; values that can't be cast become null."""
     return df.select(*(F.col(c).try_cast(t).alias(c) for c, t in columns.items()))
@@ -37,19 +51,29 @@ def write_table(df: DataFrame, path: str, overwrite: bool = True, dry_run: bool
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df kept in the folder of spark.checkpoint.dir, which all executors share (a temporary folder only where that is unset)."""
+    """df kept in the folder of spark.checkpoint.dir, which all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one on a single machine; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints")
+
+
 def txn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txId, time_step, class (1 Illicit, 2 Licit, 3 Unknown), class_label."""
     o = read_table(spark, sf_dir, "orders")
-    label = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), ILLICIT).when(F.col("o_orderpriority") == "5-LOW", UNKNOWN).otherwise(LICIT)
-    code = F.when(label == ILLICIT, 1).when(label == UNKNOWN, 3).otherwise(2)
-    return o.select(F.col("o_orderkey").alias("txId"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("time_step"), code.alias("class"), label.alias("class_label"))
+    code = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), 1).when(F.col("o_orderpriority") == "5-LOW", 3).otherwise(2)
+    rows = o.select(F.col("o_orderkey").alias("txId"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("time_step"), code.alias("class"))
+    return rows.withColumn("class_label", code_label(F.col("class"), CODES))
 
 
 def txn_edgelist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +84,9 @@ def txn_edgelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b).where("txId2 is not null and txId1 != txId2").distinct()
 
 
-def txn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each transaction. Amounts are summed as integers (hundredths, ten-thousandths), so results don't depend on order."""
-    o, li, e = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem"), txn_edgelist(spark, sf_dir)
+def txn_features(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
+    """One row for each transaction; edges: its edge list, where that is at hand. Amounts are summed as integers (hundredths, ten-thousandths), so results don't depend on order."""
+    o, li, e = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem"), txn_edgelist(spark, sf_dir) if edges is None else edges
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     lines = li.select(
         "l_orderkey",
