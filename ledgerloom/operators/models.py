@@ -61,25 +61,36 @@ class Bundle:
 
 def balanced(df: DataFrame, label: str = "class") -> DataFrame:
     """_weight: n / (2 * rows of the label)."""
+    return _weighted(df, label)[0]
+
+
+def _weighted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     n = df.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
-    return df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(n.n / (2 * max(1, n.p)))).otherwise(F.lit(n.n / (2 * max(1, n.n - n.p)))))
+    out = df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(n.n / (2 * max(1, n.p)))).otherwise(F.lit(n.n / (2 * max(1, n.n - n.p)))))
+    return out, n.n
 
 
 def forest(trees: int = 200, depth: int = 30, seed: int = 42, weighted: bool = True) -> RandomForestClassifier:
-    out = RandomForestClassifier(featuresCol="_features", labelCol="class", numTrees=trees, maxDepth=depth, seed=seed)
+    out = RandomForestClassifier(featuresCol="_features", labelCol="class", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
     return out.setWeightCol("_weight") if weighted else out
 
 
 def logistic(max_iter: int = 1000, reg: float = 0.0, l1_ratio: float = 0.0, weighted: bool = False) -> LogisticRegression:
-    out = LogisticRegression(featuresCol="_features", labelCol="class", maxIter=max_iter, regParam=reg, elasticNetParam=l1_ratio, standardization=False)
+    out = LogisticRegression(featuresCol="_features", labelCol="class", maxIter=max_iter, regParam=reg, elasticNetParam=l1_ratio, standardization=False, tol=1e-4)
     return out.setWeightCol("_weight") if weighted else out
 
 
+#: Bytes of feature values that a partition of a linear fit holds, about.
+FIT_BYTES = 32 << 20
+
+
 def fit(df: DataFrame, columns: Sequence[str], estimator, to_scale: Sequence[str] | None = None, threshold: float = 0.4, name: str = "model") -> Bundle:
     """Fits on rows with class 0 or 1; the scaler is fitted on the same rows."""
     require_columns(df, [*columns, "class"])
     scaler = Scaler.fit(df, list(columns if to_scale is None else to_scale))
-    data = balanced(scaler.transform(df))
+    data, rows = _weighted(scaler.transform(df), "class")
+    if isinstance(estimator, LogisticRegression):  # each iteration is a job over all partitions, so there are as few as FIT_BYTES allows
+        data = data.coalesce(max(1, 8 * rows * len(columns) // FIT_BYTES))
     model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="error"), estimator]).fit(data)
     return Bundle(model, list(columns), scaler, threshold, name)
 

@@ -656,9 +656,12 @@ def cv_summary(w: Workspace) -> DataFrame:
 
 def _search(w: Workspace) -> list[dict]:
     """The reference's grid of C and l1_ratio; C is a regParam of 1 / (C * rows) over all training rows."""
+    if hasattr(w, "_found"):
+        return w._found
     n = max(1, _training(w).count())
     grid = [{"reg": 1 / (c * n), "l1_ratio": a} for c in (0.03, 0.1, 0.3, 1.0) for a in (0.0, 0.5, 1.0)]
-    return models.successive_halving(_training(w), MODEL_COLUMNS, grid, lambda n, reg, l1_ratio: models.logistic(n, reg, l1_ratio, True), [200, 400, 800, 1600], factor=2, splits=3)
+    w._found = models.successive_halving(_training(w), MODEL_COLUMNS, grid, lambda n, reg, l1_ratio: models.logistic(n, reg, l1_ratio, True), [200, 400, 800, 1600], factor=2, splits=3)
+    return w._found
 
 
 @query
