@@ -26,7 +26,7 @@ class Fingerprints:
     k: int
     words: np.ndarray  # word hashes of all items, end to end
     item_at: np.ndarray
-    ids: list[str]
+    ids: list[list[str]]  # of each item text, the ids of all items with that text
     fp: np.ndarray  # sorted
     fp_item: np.ndarray
     fp_pos: np.ndarray
@@ -48,7 +48,7 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return taken
 
 
-def fingerprints(ids: list, texts: list, span: int, k: int) -> Fingerprints:
+def fingerprints(ids: list[list[str]], texts: list, span: int, k: int) -> Fingerprints:
     w = Words(as_bytes(texts), ALNUM)
     fps, items, places = [], [], []
     short: dict[int, list[tuple[int, int]]] = {}
@@ -68,7 +68,7 @@ def fingerprints(ids: list, texts: list, span: int, k: int) -> Fingerprints:
     for m, pairs in short.items():
         pairs.sort()
         packed[m] = (np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs]))
-    return Fingerprints(span, k, w.hash, w.doc_at, [str(i) for i in ids], fp[order], (np.concatenate(items) if items else none)[order], (np.concatenate(places) if places else none)[order], packed)
+    return Fingerprints(span, k, w.hash, w.doc_at, ids, fp[order], (np.concatenate(items) if items else none)[order], (np.concatenate(places) if places else none)[order], packed)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -141,14 +141,15 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, span: int, k: int, block_bytes: int) -> tuple[int, Iterator[Broadcast]]:
-    """The number of blocks, and the broadcast fingerprints of one block at a time."""
+    """The number of blocks, and the broadcast fingerprints of one block at a time. Items of equal text are matched as one."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    items = saved(items.groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids")))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + F.aggregate("ids", F.lit(0), lambda n, x: n + F.octet_length(x)))).first()[0] or 0) // block_bytes))
 
     def sent() -> Iterator[Broadcast]:
         for block in range(blocks):
-            rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-            yield benchmark.sparkSession.sparkContext.broadcast(fingerprints([r.id for r in rows], [r.text for r in rows], span, k))
+            rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("text").collect()
+            yield benchmark.sparkSession.sparkContext.broadcast(fingerprints([r.ids for r in rows], [r.text for r in rows], span, k))
 
     return blocks, sent()
 
@@ -169,14 +170,16 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     What is sent to the executors is bounded: items are dealt into blocks of about block_bytes of text, and a benchmark of more
     blocks is matched block after block, the marks saved in between. Only one block is on the driver at a time.
 
-    Null texts have no words. Null items count as empty and match nothing; null item ids appear as "null". Repeated rows are marked
-    alike, each on its own. Other columns of either table are ignored, whatever their names. Empty tables give no rows or no marks.
+    Null texts have no words; texts of any length are matched whole, in pieces of bounded size. Null items count as empty and match nothing; null item ids appear
+    as "null". Repeated rows are marked alike, each on its own; repeated items count once. Other columns of either table are ignored, whatever their names. Empty tables give no rows or no marks.
     """
     blocks, sent = _blocks(benchmark, item_id, item_text, span, k, block_bytes)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:long,b:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block, known in enumerate(sent):
 
-        def mark(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        last = block + 1 == blocks
+
+        def mark(batches: Iterator[pa.RecordBatch], known=known, last=last) -> Iterator[pa.RecordBatch]:
             f = known.value
             for batch in batches:
                 raw, n_words = column_bytes(batch, "text"), []
@@ -187,19 +190,23 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                     for doc, (new, found) in match(w, f).items():
                         before = [(s["a"], s["b"]) for s in spans[a + doc]]
                         spans[a + doc] = [{"a": x, "b": y} for x, y in covered(before + new)]
-                        items[a + doc] = sorted({*items[a + doc], *(f.ids[i] for i in found)})
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], ["id", "text", "n_words", "spans", "items"])
-
-        out = batched(out).mapInArrow(mark, out.schema)
-        if block + 1 < blocks:
+                        items[a + doc] = sorted({*items[a + doc], *(x for i in found for x in f.ids[i])})
+                made = {"id": batch.column("id"), "text": batch.column("text"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _ITEMS)}
+                if last:  # the text has served
+                    del made["text"]
+                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+        schema = (out.drop("text") if last else out).schema
+        out = batched(out).mapInArrow(mark, schema)
+        if not last:
             out = saved(out)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 (of the comma-joined ids), contaminated; see mark_contaminated."""
+    """id, n_words, n_hit, n_items, items_sha256 (of the comma-joined ids), contaminated; see mark_contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return mark_contaminated(docs, benchmark, **options).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    return mark_contaminated(docs, benchmark, **options).select(options.get("id_col", "doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:

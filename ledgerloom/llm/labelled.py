@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_remainder
@@ -33,8 +33,25 @@ def sample_ids(labels: DataFrame, label_col: str, per_label: int, modulus: int,
     return parts[0].union(parts[1])
 
 
+#: Bytes of text of a label that a sample holds at most.
+SAMPLE_BYTES = 32 << 20
+
+
+def bounded(rows: DataFrame, key: str, order: Column, most: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows (key, text, ...) of a sample, in order within each key, as long as their texts add up to most bytes; a longer text is passed over
+    whole, never cut. For samples of few rows only."""
+    window = Window.partitionBy(key).orderBy(order, "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.octet_length("text")
+    fits = rows.where(size <= most // 16)
+    return fits.withColumn("_held", F.sum(size).over(window)).where(F.col("_held") <= most).drop("_held")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, modulus: int, remainder: int, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """(id, label, columns) of the sampled rows, one for each id. The sample has at most 2 * per_label rows, so it is broadcast."""
+    """(id, label, columns) of the sampled rows; columns starts with text. The sample has at most 2 * per_label ids, so these are broadcast. Rows of one id
+    become one on the executors, that of the least text; texts together have at most SAMPLE_BYTES for each label, and one of over a sixteenth of
+    that doesn't teach."""
     ids = sample_ids(labels, label_col, per_label, modulus, remainder, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), *(F.col(c) for c in columns)).join(F.broadcast(ids), F.col("id") == F.col("_id"))
-    return rows.select("id", F.col("_label").alias("label"), *columns)
+    kept = F.struct(F.coalesce(F.col(columns[0]), F.lit("")).alias(columns[0]), *(F.col(c) for c in columns[1:]))
+    rows = docs.select(F.col(id_col).alias("id"), kept.alias("row")).join(F.broadcast(ids), F.col("id") == F.col("_id"))
+    one = rows.groupBy("id", F.col("_label").alias("label")).agg(F.min("row").alias("row")).select("id", "label", "row.*")
+    return bounded(one, "label", F.xxhash64("id"))

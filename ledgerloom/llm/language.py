@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched
-from .labelled import held_out
+from .labelled import bounded, held_out
 from .textcore import LETTERS, Words, column_bytes, mix, pieces
 
 PER_LANG = 400  # documents of each language that the fit takes, about
@@ -120,15 +120,16 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of about per_lang documents of each language (those whose id hashes least) whose crc32(id) mod 3 isn't 1. Each language's
-    share is known from a count over all rows; the sample reaches the driver."""
+    share is known from a count over all rows; the sample reaches the driver, repeated rows once and with at most SAMPLE_BYTES of text a language."""
     own = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", 3, 1)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], Table(np.empty(0, np.uint64), np.zeros((0, 0), np.float32)), [])
     fine = 1 << 30
     below = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(fine, fine * per_lang // n))))
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(fine)) < below[F.col("lang")]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
-    got = chosen.toPandas().sort_values(["doc_id", "lang", "text"])
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(fine))
+    chosen = own.where(place < below[F.col("lang")]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", place.alias("place")).distinct()
+    got = bounded(chosen, "lang", F.col("place")).toPandas().sort_values(["doc_id", "lang", "text"])
     return fit([t.encode("utf-8", "surrogatepass") for t in got["text"]], got["lang"].tolist())
 
 

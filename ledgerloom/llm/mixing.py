@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_parts
+from .common import join_groups, repeated, saved, shuffle_parts
 from .textcore import by_key
 
 BLOCK = 4096  # units that a task balances together
@@ -146,7 +146,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     The cube method draws that: the flight moves probabilities in blocks of about BLOCK units of a source, keeping the source's
     total of documents and of words exactly; the two units or fewer that each block leaves open are gathered and fly again,
     level by level, until one block holds a source's last ones and lands them (see landing).
-    Draws depend on seed and units alone.
+    Draws depend on seed and units alone, ties in size are ordered by hash and id. Nulls, repeated rows and very long texts as in mix_report; an empty
+    table has an empty plan. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(text).alias("_crc"))
@@ -173,16 +174,20 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of each row of docs.
 
     Size is the number of runs of characters other than white space; null texts have 0. A null source is a source of its own. Repeated rows
-    (same id, source and text) are taken alike. Null ids are ids. Other columns are ignored. An empty table gives no rows.
+    (same id, source and text) are taken alike. Null ids are ids. Very long texts count whole. Other columns are ignored. An empty table gives no rows.
     """
-    plan = mix_plan(docs, **options)
-    return plan.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    plan = mix_plan(docs, **options).select("_id", "m", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return repeated(plan, "m").select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as the plan takes it, with its own columns; rules as in mix_report."""
-    plan = mix_plan(docs, **options).where("copies > 0").select(F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("_crc").alias("_c"), F.col("copies").cast("int").alias("_copies"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(plan["_i"]) & keyed["source"].cast("string").eqNullSafe(plan["_s"]) & (keyed["_text_hash"] == plan["_c"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.join(plan, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*names)
+    """The mix itself: each row of docs as often as the plan takes it, with its own columns, whatever their names; rules as in mix_report. Units that
+    stand for a large share of all rows are joined by broadcast."""
+    plan = saved(mix_plan(docs, **options).select("_id", "source", "_crc", "m", F.col("copies").cast("int").alias("copies")))
+    total = plan.agg(F.sum("m")).first()[0] or 0
+    known = lambda c: F.struct(c.isNull().alias("null"), F.coalesce(c.cast("string"), F.lit("")).alias("value"))
+    units = plan.select(known(F.col("_id")).alias("i"), known(F.col("source")).alias("s"), F.col("_crc").alias("c"), "m", "copies")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(known(F.col("doc_id")).alias("i"), known(F.col("source").cast("string")).alias("s"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("c"), whole.alias("row"))
+    taken = join_groups(rows, units, ["i", "s", "c"], "m", total).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

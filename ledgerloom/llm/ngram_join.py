@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, saved, shuffle_parts
+from .common import batched, join_groups, saved, shuffle_parts
 from .components import components
 from .textcore import NON_SPACE, Words, by_key, column_bytes, kgrams, mix, pieces
 
@@ -30,6 +30,7 @@ CELLS = 1 << 17  # of the frequency sketch
 MARKS = 1 << 23  # bits of the prefilter for texts that are read again
 TILE_NODES, TILE_SHINGLES = 512, 1 << 20
 MAX_BITS = 1 << 14
+CUT_TILES = 100_000  # cut tiles whose list is broadcast (2 MB)
 
 
 def shingle_sets(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -139,7 +140,7 @@ def _sketch(digests: DataFrame) -> np.ndarray:
 
 
 def _digests(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, hi, lo) of each row; each partition adds a row with only its shingle counts by cell."""
+    """(id, h, n, hi, lo) of each row; each partition adds a row with only its shingle counts by cell."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
@@ -156,12 +157,12 @@ def _digests(rows: DataFrame, k: int) -> DataFrame:
                     held = []
             if held:
                 cells += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.nulls(len(n), pa.binary())], ["id", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column("h"), pa.array(n, pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.nulls(len(n), pa.binary())], ["id", "h", "n", "hi", "lo", "sketch"])
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()),) * 3, pa.array([cells.tobytes()])], ["id", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()),) * 4, pa.array([cells.tobytes()])], ["id", "h", "n", "hi", "lo", "sketch"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return batched(rows).mapInArrow(digest, f"id {kind}, n long, hi long, lo long, sketch binary")
+    return batched(rows).mapInArrow(digest, f"id {kind}, h long, n long, hi long, lo long, sketch binary")
 
 
 def _prefixes(rows: DataFrame, k: int, threshold: int, order: np.ndarray) -> DataFrame:
@@ -255,19 +256,12 @@ def _cuts(large: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     return one.select(columns).union(two.select(columns))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id that links reach, its own included) of each row of docs.
-
-    Words are runs of bytes other than white space after lower-casing A-Z. Two rows link when 100 * intersection >= threshold *
-    union of their sets of shingles. A text of fewer than words words has one shingle, a null text or one without words none, and
-    then links with nothing. Rows of equal sets link with each other. Null ids count as larger than all others: a component of
-    null ids only has a null component_id. Repeated rows are each returned. Other columns are ignored, whatever their names.
-    An empty table gives no rows.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    digests = saved(_digests(rows, words))
+def _components(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(hi, lo, n, id, h, copies, component, component_id) of each row (id, text): the key of its set, the hash of its text, a number for its component (null without
+    words), and the component's smallest id; see ngram_components."""
+    digests = saved(_digests(rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text"), words))
     keys = digests.where("sketch is null").drop("sketch")
-    nodes = saved(keys.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = saved(keys.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     prefixes = _prefixes(rows, words, threshold, _sketch(digests))
     p, q = prefixes.alias("p"), nodes.alias("q")
     same = (F.col("p.hi") == F.col("q.hi")) & (F.col("p.lo") == F.col("q.lo")) & (F.col("p.n") == F.col("q.n")) & F.col("p.id").eqNullSafe(F.col("q.id"))
@@ -277,10 +271,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = tokens.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("token", "center")
     members = saved(tokens.join(shared, "token").groupBy("center", "node").agg(F.first("n").alias("n")))
     size = members.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / TILE_NODES, F.sum("n") / TILE_SHINGLES)).alias("cuts"))
-    members = members.join(size, "center")
+    cut = saved(size.where("cuts > 1"))
+    # only the tiles that are cut are looked up; their list is broadcast where it is short
+    few = F.broadcast if cut.count() <= CUT_TILES else lambda x: x
     zero = F.lit(0).cast("long")
 
-    small = members.where("cuts = 1").select("center", zero.alias("x"), zero.alias("y"), "node", "n")
+    small = members.join(few(cut.select("center")), "center", "left_anti").select("center", zero.alias("x"), zero.alias("y"), "node", "n")
     bitmaps = prefixes.select("node", "bits").dropDuplicates(["node"])
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +284,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield group.loc[_near(group, threshold), ["center", "x", "y", "node", "n"]]
 
     kept = _tiled(small.join(bitmaps, "node")).mapInPandas(near, "center long, x long, y long, node long, n long")
-    large = saved(members.where("cuts > 1"))
+    large = saved(members.join(few(cut), "center"))
     spread = large.where("node != center").select("center", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("x"), zero.alias("y"), "node", "n")
     centers = large.where("node = center").select("center", F.explode(F.sequence(zero, F.col("cuts") - 1)).alias("x"), zero.alias("y"), "node", "n")
     tiles = saved(kept.union(spread).union(centers).withColumn("label", F.col("node")))
@@ -303,13 +299,35 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             labels = components(links.union(more))
 
     least = labels.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
-    of_node = nodes.join(labels, "node", "left").join(least, "root", "left").select("hi", "lo", "n", F.coalesce("least", "id").alias("component_id"))
-    return keys.join(of_node, ["hi", "lo", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of_node = nodes.join(labels, "node", "left").join(least, "root", "left").select("hi", "lo", "n", "copies", F.coalesce("root", "node").alias("component"), F.coalesce("least", "id").alias("component_id"))
+    found = join_groups(keys.where("n > 0"), of_node, ["hi", "lo", "n"], "copies", keys.count())
+    alone = keys.where("n = 0").withColumns({"copies": F.lit(1).cast("long"), "component": F.lit(None).cast("long"), "component_id": F.col("id")})
+    return found.unionByName(alone.select(*found.columns))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id that links reach, its own included) of each row of docs.
+
+    Words are runs of bytes other than white space after lower-casing A-Z. Two rows link when 100 * intersection >= threshold *
+    union of their sets of shingles. A text of fewer than words words has one shingle, a null text or one without words none, and
+    then links with nothing. Rows of equal sets link with each other. Null ids count as larger than all others: a component of
+    null ids only has a null component_id. Repeated rows are each returned. Very long texts are shingled whole, in pieces of bounded size. Other
+    columns are ignored, whatever their names. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _components(rows, words, threshold).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, with all their columns; rules as in ngram_components. Of repeated
-    rows with that id all stay. Rows with a null id go, unless one of them has no other id in its component: then all of them stay."""
-    found = ngram_components(docs, id_col, text_col, words, threshold)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["_first"]), "left_semi")
+    """One row of docs of each component, with all its columns, whatever their names: the one of the smallest id (a null id is larger than all others);
+    of several rows with that id the one whose text hashes least, and of rows of the same id and text any one. Rows without words belong to no
+    component and all stay. Rules as in ngram_components."""
+    found = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, threshold)
+    known = lambda c: (c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("i"))
+    first = found.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
+    first = first.select(*known(F.col("best.id")), F.col("best.h").alias("h"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).select(*known(F.col(id_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), whole.alias("row"))
+    kept = rows.join(first, ["none", "i", "h"], "left_semi").dropDuplicates(["none", "i", "h"])
+    return kept.select("row.*").union(docs.where(~worded))

@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mac
             cut = [slice(a, b) for a, b in zip(x.row_at[:-1], x.row_at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label").cast(pa.int32()), pa.array([x.column[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([x.value[c].astype(np.float32).tobytes() for c in cut], pa.binary())], ["id", "label", "c", "v"])
 
-    got = batched(rows).mapInArrow(features, "id string, label int, c binary, v binary").toPandas().sort_values(["id", "c", "v"]).drop_duplicates("id")
+    got = batched(rows).mapInArrow(features, "id string, label int, c binary, v binary").toPandas().sort_values("id")
     columns = [np.frombuffer(c, np.int32) for c in got["c"]]
     x = Features(np.concatenate([[0], np.cumsum([len(c) for c in columns])]).astype(np.int64), np.concatenate([*columns, np.empty(0, np.int32)]).astype(np.int64), np.concatenate([*(np.frombuffer(v, np.float32) for v in got["v"]), np.empty(0, np.float32)]).astype(np.float64))
     m = fit(x, got["label"].to_numpy(np.float64))

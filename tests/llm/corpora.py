@@ -28,6 +28,6 @@ def awkward(seed=5, n=40):
 def frame(spark, rows=None, clash=True):
     df = spark.createDataFrame(awkward() if rows is None else rows, SCHEMA).repartition(3)
     if clash:
-        for c in ("id", "node", "n", "size", "token", "shard", "target", "keep_id", "score", "label", "held_out", "_id", "_text", "spans", "items", "c", "hi"):
+        for c in ("id", "node", "n", "size", "token", "shard", "target", "keep_id", "score", "label", "held_out", "_id", "_text", "spans", "items", "c", "hi", "_s", "_i", "_copies", "_copy", "_text_hash", "h", "row", "i", "slot", "law", "text_crc32", "grown_shard", "id_", "md5", "sha", "copies", "_part", "_crc", "_size", "_with", "none"):
             df = df.withColumn(c, F.lit("clash"))
     return df

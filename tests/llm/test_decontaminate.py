@@ -20,14 +20,16 @@ def brute(docs, items):
         if w:
             m = min(10, len(w))
             windows += [(item, tuple(w[i : i + m])) for i in range(len(w) - m + 1)]
-    out = []
+    out, of = [], {}
+    for item, g in windows:
+        of.setdefault(g, []).append(item)
     for doc, text in docs:
         w = tokens(text)
         hit, found = set(), set()
-        for item, g in windows:
-            for i in range(len(w) - len(g) + 1):
-                if tuple(w[i : i + len(g)]) == g:
-                    hit.update(range(i, i + len(g)))
+        for m in {len(g) for _, g in windows}:
+            for i in range(len(w) - m + 1):
+                for item in of.get(tuple(w[i : i + m]), ()):
+                    hit.update(range(i, i + m))
                     found.add("null" if item is None else str(item))
         out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
@@ -36,7 +38,8 @@ def brute(docs, items):
 def case(seed=4):
     rng = random.Random(seed)
     items = [(i, words(rng, rng.choice((3, 9, 10, 11, 40)), 60)) for i in range(25)] + [(90, None), (91, ""), (None, words(rng, 12))]
-    docs = [r[:2] for r in awkward() if r[0] != 303]
+    items += [(95 + i, items[4][1]) for i in range(3)] + [items[6]]
+    docs = [r[:2] for r in awkward()]
     for i in range(40):
         w = tokens(rng.choice(items)[1])
         a = rng.randrange(max(1, len(w)))
@@ -60,6 +63,13 @@ def test_a_large_benchmark_goes_block_by_block(spark):
     assert run(spark, docs, items, block_bytes=1000) == brute(docs, items)
 
 
+def test_another_id_column(spark):
+    docs, items = case()
+    a = frame(spark, [(d, t, None, None, None) for d, t in docs], clash=False).withColumnRenamed("doc_id", "key")
+    got = decontaminate.contamination(a, spark.createDataFrame(items, "item_id long, text string"), id_col="key")
+    assert got.columns[0] == "key" and got.where("contaminated").count() == sum(r[5] for r in brute(docs, items))
+
+
 def test_empty_tables(spark):
     docs, items = case()
     assert run(spark, [], items) == []

@@ -78,5 +78,13 @@ def test_mix_repeats_rows_as_the_plan_says(spark):
     assert all(seen.get(k, 0) == n for k, n in plan.items())
 
 
+def test_a_row_repeated_very_often(spark):
+    df = spark.range(20_000).selectExpr("7L as doc_id", "'a b c' as text", "'s' as source", "'x' as _s").union(spark.createDataFrame([(i, f"w{i} " * i, "s", "y") for i in range(20, 60)], "doc_id long, text string, source string, _s string"))
+    got = mixing.mix_report(df)
+    assert got.where("doc_id = 7").count() == 20_000 and got.where("doc_id = 7").select("taken").distinct().count() == 1
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.where("doc_id = 7").count() == 20_000 * (got.where("doc_id = 7").first().taken // 3)
+
+
 def test_empty_table(spark):
     assert mixing.mix_report(frame(spark, [])).collect() == []

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import ngram_join
 
@@ -77,6 +78,25 @@ def test_empty_table(spark):
     assert ngram_join.ngram_components(frame(spark, [])).collect() == []
 
 
+def test_drop_keeps_one_row_of_each_component(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, text)] * 4 + [(2, text + " x"), (1, other), (5, other), (None, "n1 n2 n3 n4 n5 n6"), (None, "n1 n2 n3 n4 n5 n6"), (8, ""), (8, None), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
+    kept = ngram_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sort((r.doc_id, r.text) for r in kept.collect()) == sort([(1, text), (1, other), (None, "n1 n2 n3 n4 n5 n6"), (8, ""), (8, None), (9, " ")])
+
+
+def test_one_shingle_common_to_thousands(spark):
+    """All texts share a passage, so one tile has all nodes; its cuts are compared and links between them found."""
+    rng = random.Random(3)
+    rows = [(i, "p q r s t " + words(rng, 12, 5000, f"z{i % 1200}x")) for i in range(2500)]
+    rows += [(5000 + i, rows[i][1]) for i in range(300)] + [(9000 + i, rows[i][1] + " end") for i in range(300)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(2500)) and all(got[5000 + i] == i and got[9000 + i] == i for i in range(300))
+
+
 def test_drop_keeps_one_of_each_group(spark):
     rows = corpus(7, 80)
     kept = [r.doc_id for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
