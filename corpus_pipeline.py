@@ -2,18 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; it is written as Parquet and read again as
 the next stage's docs. All stages but the last return the columns of documents.
+
+Nulls: a null text is judged by the quality classifier like an empty one, has no words and so no near copy and no leak, and has size 0 in the mix; a null id or source
+is a value of its own. Empty texts go the same way; very long ones are processed whole. Repeated rows are copies, of which one stays if it has words. Ties
+go to the smallest id, then to the text that hashes least. Extra columns are carried along whatever their names; in the last stage, one named like a column
+of the result gets doc_ in front. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, mixing, ngram_join, quality, sharding
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the smallest id."""
+    """One document of each group of near duplicates stays: the one of the smallest id. Documents without words all stay."""
     return ngram_join.drop_near_duplicates(docs)
 
 
@@ -49,14 +53,13 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: None: a trained classifier and seeded sampling have no SQL form. tests/llm compares the stages with brute force.
+#: None: a trained classifier and seeded sampling have no SQL form. tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What they return is kept below the folder in spark.checkpoint.dir (a temporary one if unset)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline")
-    folder = posixpath.join(base, f"pipeline-{uuid.uuid4().hex}")
+    """All stages over documents. What they return is kept below the folder in spark.checkpoint.dir."""
+    folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         path = posixpath.join(folder, str(number))
