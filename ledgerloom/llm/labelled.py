@@ -13,14 +13,15 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return doc_remainder(F.col(id_col), modulus) == remainder
 
 
-def _known(labels: DataFrame, label_col: str, modulus: int, remainder: int, id_col: str) -> DataFrame:
+def known_labels(labels: DataFrame, label_col: str, modulus: int, remainder: int, id_col: str = "doc_id") -> DataFrame:
+    """(_id, _label) of all rows that may teach, once for each id: not held out, label 0 or 1; an id with both counts as 1."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col, modulus, remainder))
     return known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
 
 
 def label_counts(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, remainder: int, id_col: str = "doc_id") -> tuple[int, int]:
     """How many ids of docs have label 0 and label 1 for training, none left out; see sample_ids."""
-    there = _known(labels, label_col, modulus, remainder, id_col).join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    there = known_labels(labels, label_col, modulus, remainder, id_col).join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     row = there.agg(F.count_if(F.col("_label") == 0), F.count_if(F.col("_label") == 1)).first()
     return row[0], row[1]
 
@@ -28,7 +29,7 @@ def label_counts(docs: DataFrame, labels: DataFrame, label_col: str, modulus: in
 def sample_ids(labels: DataFrame, label_col: str, per_label: int, modulus: int, remainder: int, id_col: str = "doc_id") -> DataFrame:
     """(id, label) of at most per_label rows for each of the labels 0 and 1: those whose id hashes least. Rows without id or label and
     held-out rows don't count; an id with both labels counts as 1."""
-    known = _known(labels, label_col, modulus, remainder, id_col)
+    known = known_labels(labels, label_col, modulus, remainder, id_col)
     parts = [known.where(F.col("_label") == x).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for x in (0, 1)]
     return parts[0].union(parts[1])
 

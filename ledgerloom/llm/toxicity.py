@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched
-from .labelled import held_out, labelled_texts
-from .textcore import ALNUM, Words, as_bytes, column_bytes, kgrams, mix, pieces
+from .common import batched, join_groups, saved
+from .labelled import held_out, known_labels, labelled_texts
+from .textcore import ALNUM, Words, as_bytes, column_bytes, kgrams, pieces
 
-PER_LABEL = 2000  # labelled rows of each class that the fit takes at most
+PER_LABEL = 2000  # labelled rows of each class that the fit of the four weights takes at most; the counts take all
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of a word that the backoff keeps, coarsest first
 DISCOUNT = 2.0
+PARTS = ("all", "one", "two")  # all labelled rows, and either half of them
+BROADCAST_KEYS = 1 << 20  # keys up to which the models are broadcast (25 MB); beyond, texts are joined with them
 
 
 def _left(h: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
@@ -35,17 +37,16 @@ def _pair(left: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Words of some texts: a row of keys for each backoff level (prefixes, then the word), the left neighbours, the texts' bounds."""
+    """Words of some texts: hash and first eight bytes, the left neighbours, the texts' bounds."""
 
-    keys: np.ndarray
+    word: np.ndarray
+    head: np.ndarray
     left: np.ndarray
     doc_at: np.ndarray
 
-    def texts(self, which: np.ndarray) -> Tokens:
-        n = np.diff(self.doc_at)[which]
-        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        take = np.repeat(self.doc_at[:-1][which] - at[:-1], n) + np.arange(at[-1])
-        return Tokens(self.keys[:, take], self.left[take], at)
+    def of(self) -> np.ndarray:
+        """Each word's text."""
+        return np.repeat(np.arange(len(self.doc_at) - 1), np.diff(self.doc_at))
 
 
 def tokens(texts: list[bytes]) -> Tokens:
@@ -54,69 +55,42 @@ def tokens(texts: list[bytes]) -> Tokens:
     head = np.zeros(len(w.start), np.uint64)
     for j in range(8):
         head |= np.where(length > j, buf[w.start + j], 0).astype(np.uint64) << np.uint64(8 * j)
-    keys = [mix((head & np.uint64((1 << 8 * k) - 1)) ^ np.uint64(k << 60)) for k in PREFIXES]
-    return Tokens(np.stack([*keys, w.hash]), _left(w.hash, w.doc_at), w.doc_at)
+    return Tokens(w.hash, head, _left(w.hash, w.doc_at), w.doc_at)
+
+
+def _level_keys(t: Tokens) -> list[np.ndarray]:
+    """Keys of the words on each backoff level: prefixes, then the word."""
+    return [t.head & np.uint64((1 << 8 * k) - 1) for k in PREFIXES] + [t.word]
 
 
 @dataclass
 class Level:
-    """Sorted keys of a level, and of each key log P(key | the level before) in the ordinary and in the toxic model."""
+    """Sorted keys of a level. step: log P(key | the level before) of the toxic model less that of the ordinary one; rest: the same of the key's
+    continuations that no class has often enough to count."""
 
     keys: np.ndarray
-    log_p: np.ndarray
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """Both log probabilities of each h; zeros for an unknown one, whose shared estimate is the same in both."""
-        if not len(self.keys):
-            return np.zeros((2, len(h)))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.log_p[:, at] * (self.keys[at] == h)
+    step: np.ndarray
+    rest: np.ndarray
 
 
 @dataclass
 class Ratio:
     levels: list[Level]
+    rest: float
 
     def of(self, t: Tokens) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
-        both = sum(level.of(k) for level, k in zip(self.levels, t.keys, strict=True))
-        return both[1] - both[0]
-
-
-def _level(keys: np.ndarray, parents: np.ndarray, counts: np.ndarray, scale: float) -> np.ndarray:
-    """log P(key | parent) in both models, keys and parents given once for each key, counts a row for each model. Each count is
-    discounted; what the keys of a parent give up is dealt by the shared estimate."""
-    up, of = np.unique(parents, return_inverse=True)
-    kept = np.maximum(counts - DISCOUNT, 0)
-    kept[0] *= scale
-    pooled = counts[0] * scale + counts[1]
-    shared = pooled / np.maximum(np.bincount(of, pooled, len(up))[of], 1e-12)
-    types = np.bincount(of, minlength=len(up))
-    given = (DISCOUNT * (types + 1))[of]
-    return np.stack([np.log(np.maximum((kept[c] + given * shared) / (np.bincount(of, kept[c], len(up))[of] + given), 1e-300)) for c in (0, 1)])
-
-
-def fit_ratio(t: Tokens, label: np.ndarray) -> Ratio:
-    """Kneser-Ney continuation models: a word counts once for each left neighbour it has in a class, so copied passages weigh
-    nothing. A word backs off to its prefixes, longest first, so that rare expressions of a common stem share evidence, and at each step to
-    the counts of both classes together. Counts of the ordinary class are scaled to the size of the toxic one, so that an unseen
-    expression is no evidence for the class with fewer texts. Estimates of whole bigrams are left out: on held-out rows they made the
-    result worse (README)."""
-    of = np.repeat(label, np.diff(t.doc_at))
-    pair = _pair(t.left, t.keys[-1])
-    once = []
-    for c in (0, 1):
-        own = np.flatnonzero(of == c)
-        once.append(own[np.unique(pair[own], return_index=True)[1]])
-    scale = min(1.0, len(once[1]) / max(1, len(once[0])))
-    either = np.concatenate(once)
-    levels, parent = [], np.zeros(t.keys.shape[1], np.uint64)
-    for row in t.keys:
-        keys, first = np.unique(row[either], return_index=True)
-        counts = np.stack([np.bincount(np.searchsorted(keys, row[i]), minlength=len(keys)).astype(float) for i in once]) if len(keys) else np.zeros((2, 0))
-        levels.append(Level(keys, _level(keys, parent[either][first], counts, scale) if len(keys) else counts))
-        parent = row
-    return Ratio(levels)
+        """log P(word | toxic) - log P(word | ordinary) of each word. Where a level lacks the key, both models give the shared estimate, weighted by
+        what each has left over, and so do all finer levels."""
+        value, left, open_ = np.zeros(len(t.word)), np.full(len(t.word), self.rest), np.arange(len(t.word))
+        for level, keys in zip(self.levels, _level_keys(t), strict=True):
+            at = np.searchsorted(level.keys, keys[open_])
+            found = np.append(level.keys, np.uint64(0))[at] == keys[open_]
+            found &= at < len(level.keys)
+            value[open_[~found]] += left[open_[~found]]
+            open_, at = open_[found], at[found]
+            value[open_] += level.step[at]
+            left[open_] = level.rest[at]
+        return value
 
 
 def summarise(r: Ratio, t: Tokens) -> np.ndarray:
@@ -144,61 +118,209 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-@dataclass
-class Model:
-    ratio: Ratio
-    weights: np.ndarray
-
-    def score(self, t: Tokens) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(summarise(self.ratio, t) @ self.weights, -30, 30)))
-
-
-def fit(t: Tokens, label: np.ndarray, prior: float | None = None) -> Model:
-    """The models from all texts; the weights of the summaries from texts that the models of the other half score. prior: share of
-    label 1 among all labelled rows, for a sample that is drawn by class."""
-    ratio = fit_ratio(t, label)
+def _half(id_col: str) -> Column:
+    """The half of the labelled rows that an id belongs to, for scoring the weights' sample by counts of the other half."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(2)).cast("int")
+
+
+def _signed(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64))
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, word, head, label, half) of each word with its left neighbour, once for the label and half of a piece of the batch."""
+    for batch in batches:
+        raw = column_bytes(batch, "text")
+        kind = 2 * batch.column("_label").to_numpy(zero_copy_only=False) + batch.column("_half").to_numpy(zero_copy_only=False)
+        for a, b in pieces(raw):
+            t = tokens(raw[a:b])
+            pair, of = _pair(t.left, t.word), kind[a:b][t.of()]
+            for k in np.unique(of):
+                own = np.flatnonzero(of == k)
+                own = own[np.unique(pair[own], return_index=True)[1]]
+                fixed = [pa.array(np.full(len(own), v, np.int32)) for v in divmod(int(k), 2)]
+                yield pa.RecordBatch.from_arrays([*(_signed(x[own]) for x in (pair, t.word, t.head)), *fixed], ["pair", "word", "head", "label", "half"])
+
+
+def vocabulary(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(word, head, all0, all1, one0, one1, two0, two1) of every word of every labelled training text: by how many left neighbours it follows in
+    texts of label 0 and 1, among all of them and in either half. Counted on the executors, so it grows with the labelled rows."""
+    known = known_labels(labels, "toxic", 3, 1).withColumn("_half", _half("_id"))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").where("text is not null").join(known, F.col("_doc") == F.col("_id")).select("text", "_label", "_half")
+    seen = batched(texts).mapInArrow(_occurrences, "pair long, word long, head long, label int, half int")
+    once = seen.groupBy("pair", "word", "head", "label").agg(F.lit(True).alias("all"), F.bool_or(F.col("half") == 0).alias("one"), F.bool_or(F.col("half") == 1).alias("two"))
+    return saved(once.groupBy("word", "head").agg(*(F.count_if((F.col("label") == c) & F.col(part)).alias(f"{part}{c}") for part in PARTS for c in (0, 1))))
+
+
+def _keys_of(level: int) -> Column:
+    """The words' key on a level, as in _level_keys; a constant above the first."""
+    if level < 0:
+        return F.lit(0).cast("long")
+    if level == len(PREFIXES):
+        return F.col("word")
+    k = PREFIXES[level]
+    return F.col("head") if k == 8 else F.col("head").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+
+
+def models(vocab: DataFrame) -> DataFrame:
+    """(level, key, step_all, rest_all, step_one, ...): class-conditional Kneser-Ney continuation models, counted in all rows and in either half; level -1
+    holds the rest of the whole vocabulary.
+
+    A word counts once for each left neighbour it has in a class, so copied passages weigh nothing. A word backs off to its prefixes, longest
+    first, so that rare expressions of a common stem share evidence, and at each step to the counts of both classes together. Each count is
+    discounted by DISCOUNT, and the shared estimate deals out DISCOUNT for each key of a parent and one more. Counts of the ordinary class are scaled
+    to the size of the toxic one, so that an unseen expression is no evidence for the class with fewer texts. Keys that no class
+    has more than DISCOUNT times are left out, since what they'd give is their parent's rest. Estimates of whole bigrams are left out: on held-out
+    rows they made the result worse (README).
+    """
+    counts = [f"{p}{c}" for p in PARTS for c in (0, 1)]
+    totals = vocab.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts)).first()
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), _keys_of(i - 1).alias("up"), _keys_of(i).alias("key")) for i in range(len(PREFIXES) + 1))))
+    keys = vocab.select(at.alias("at"), *counts).groupBy("at.level", "at.up", "at.key").agg(*(F.sum(c).alias(c) for c in counts))
+    kept, sums = [], []
+    for p in PARTS:
+        scale = min(1.0, totals[f"{p}1"] / max(1, totals[f"{p}0"]))
+        for c, by in ((0, scale), (1, 1.0)):
+            kept.append((F.greatest(F.col(f"{p}{c}") - F.lit(DISCOUNT), F.lit(0.0)) * F.lit(by)).alias(f"k_{p}{c}"))
+            sums.append(F.sum(f"k_{p}{c}").alias(f"s_{p}{c}"))
+        kept.append((F.col(f"{p}0") * F.lit(scale) + F.col(f"{p}1")).alias(f"pooled_{p}"))
+        sums.append(F.sum(f"pooled_{p}").alias(f"sp_{p}"))
+        sums.append((F.lit(DISCOUNT) * (F.count_if(F.col(f"{p}0") + F.col(f"{p}1") > 0) + 1)).alias(f"given_{p}"))
+    keys = saved(keys.select("level", "up", "key", *counts, *kept))
+    ups = saved(keys.groupBy("level", "up").agg(*sums))
+
+    often = keys.where((F.col("all0") > DISCOUNT) | (F.col("all1") > DISCOUNT)).join(ups, ["level", "up"])
+    steps = []
+    for p in PARTS:
+        shared = F.col(f"given_{p}") * F.col(f"pooled_{p}") / F.greatest(F.col(f"sp_{p}"), F.lit(1e-12))
+        both = [F.log(F.greatest((F.col(f"k_{p}{c}") + shared) / (F.col(f"s_{p}{c}") + F.col(f"given_{p}")), F.lit(1e-300))) for c in (0, 1)]
+        steps.append((both[1] - both[0]).alias(f"step_{p}"))
+    often = often.select("level", "key", *steps)
+    rests = [F.log((F.col(f"s_{p}0") + F.col(f"given_{p}")) / (F.col(f"s_{p}1") + F.col(f"given_{p}"))).alias(f"rest_{p}") for p in PARTS]
+    below = ups.select((F.col("level") - 1).alias("level"), F.col("up").alias("key"), *rests)
+    root = below.where("level = -1").select("level", "key", *(F.lit(0.0).alias(f"step_{p}") for p in PARTS), *(f"rest_{p}" for p in PARTS))
+    return saved(often.join(below.where("level >= 0"), ["level", "key"], "left").na.fill(0.0).unionByName(root))
+
+
+def _ratio(table: pa.Table, part: str) -> Ratio:
+    """The model of a part from the collected rows of models."""
+    level, key = table["level"].to_numpy(), table["key"].to_numpy().view(np.uint64)
+    step, rest, found = table[f"step_{part}"].to_numpy(), table[f"rest_{part}"].to_numpy(), []
+    for i in range(len(PREFIXES) + 1):
+        own = np.flatnonzero(level == i)
+        own = own[np.argsort(key[own])]
+        found.append(Level(key[own], step[own], rest[own]))
+    return Ratio(found, float(rest[level == -1].sum()))
+
+
+def _values(types: DataFrame, model: DataFrame, part: str) -> DataFrame:
+    """types (word, head, ...) with value, which is what Ratio.of gives, by joins of tables of the vocabulary's size."""
+    top = model.where("level = -1").select(f"rest_{part}").first()
+    out = types.select("*", F.lit(0.0).alias("value"), F.lit(float(top[0]) if top else 0.0).alias("_left"), F.lit(True).alias("_open"))
+    for i in range(len(PREFIXES) + 1):
+        level = model.where(F.col("level") == i).select(F.col("key").alias("_key"), F.col(f"step_{part}").alias("_step"), F.col(f"rest_{part}").alias("_rest"))
+        found = out.withColumn("_of", _keys_of(i)).join(level, F.col("_open") & (F.col("_of") == F.col("_key")), "left")
+        value = F.col("value") + F.when(F.col("_open"), F.coalesce("_step", F.col("_left"))).otherwise(F.lit(0.0))
+        out = found.select(*types.columns, value.alias("value"), F.coalesce("_rest", F.lit(0.0)).alias("_left"), (F.col("_open") & F.col("_key").isNotNull()).alias("_open"))
+    return saved(out.select(*types.columns, "value"))
+
+
+def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_text, word, head, n): how often each text has each word."""
+    for batch in batches:
+        raw, name = column_bytes(batch, "text"), batch.column("_text")
+        for a, b in pieces(raw):
+            t = tokens(raw[a:b])
+            of = t.of()
+            order = np.lexsort((t.word, of))
+            of, word = of[order], t.word[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (word[1:] != word[:-1])]))
+            n = np.diff(np.append(first, len(of)))
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(of[first] + a)), _signed(word[first]), _signed(t.head[order][first]), pa.array(n.astype(np.int64))], ["_text", "word", "head", "n"])
+
+
+def joined_summaries(texts: DataFrame, model: DataFrame, part: str) -> DataFrame:
+    """(_text, mean, most, likely): what summarise gives of each text (_text, text) that has words, for models of any size. Words of
+    texts are joined with their values, the common ones by broadcast."""
+    words = saved(batched(texts).mapInArrow(_text_words, "_text string, word long, head long, n long"))
+    types = words.groupBy("word").agg(F.min("head").alias("head"), F.count("*").alias("copies"))
+    found = join_groups(words.select("_text", "word", "n"), _values(types, model, part).select("word", "copies", "value"), ["word"], "copies", words.count())
+    n, likely = F.sum("n"), F.exp(F.greatest(F.least("value", F.lit(10.0)), F.lit(-10.0)))
+    return found.groupBy("_text").agg((F.sum(F.col("value") * F.col("n")) / n).alias("mean"), F.max("value").alias("most"), F.log(F.sum(likely * F.col("n")) / n).alias("likely"))
+
+
+SUMMARIES = ["mean", "most", "likely"]
+
+
+def _weights(x: np.ndarray, label: np.ndarray, prior: float) -> np.ndarray:
+    """Weights of the summaries x of a sample that was drawn by class, shifted to prior, the share of label 1 among all labelled rows."""
     if len(label) == 0 or min(np.bincount(label, minlength=2)) < 4:
         share = (label.sum() + 0.5) / (len(label) + 1)
-        return Model(ratio, np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    half = np.zeros(len(label), np.int64)
-    for c in (0, 1):
-        half[np.flatnonzero(label == c)[1::2]] = 1
-    x = np.zeros((len(label), 4))
-    for k in (0, 1):
-        own, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
-        x[own] = summarise(fit_ratio(t.texts(other), label[other]), t.texts(own))
+        return np.array([np.log(share / (1 - share)), 0, 0, 0])
     weights = _logistic(x, label.astype(float))
-    if prior is not None:
-        weights[0] += np.log(prior / (1 - prior)) - np.log(label.mean() / (1 - label.mean()))
-    return Model(ratio, weights)
+    weights[0] += np.log(prior / (1 - prior)) - np.log(label.mean() / (1 - label.mean()))
+    return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """A model of at most per_label rows of each class whose crc32(id) mod 3 isn't 1; see labelled.sample_ids. The driver gets the texts
-    of the sample."""
-    rows = labelled_texts(docs, labels, "toxic", per_label, 3, 1, ["text"])
-    got = rows.select(F.col("id").cast("string"), "label", F.coalesce("text", F.lit("")).alias("text")).toPandas().sort_values("id")
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)).agg(F.avg("toxic")).first()[0]
-    return fit(tokens(as_bytes(got["text"])), got["label"].to_numpy(np.int64), None if known is None else float(np.clip(known, 1e-3, 1 - 1e-3)))
+def _prior(labels: DataFrame) -> float:
+    share = known_labels(labels, "toxic", 3, 1).agg(F.avg("_label")).first()[0]
+    return float(np.clip(0.5 if share is None else share, 1e-3, 1 - 1e-3))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_label: int = PER_LABEL) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_label: int = PER_LABEL, most_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of each row of docs.
 
     Words are runs of letters and digits, lower-cased. The score is a logistic function of length-normalised log-likelihood ratios of
-    the toxic to the ordinary model; see summarise. The text alone decides. A null
-    text counts as empty; a text without words gets the score of ratio 0. Repeated rows score alike. Null labels, labels other
-    than 0 and 1 and labels of ids that aren't in docs don't count; without labels every score is 0.5. Other columns are ignored.
+    the toxic to the ordinary model; see summarise. The models count all labelled training rows; the four weights are fitted to at most per_label
+    rows of each class (labelled.labelled_texts), each scored by counts of the half of the rows that it isn't in. Models of up to most_keys keys
+    are broadcast, larger ones are joined, with the same scores. The text alone decides. A null
+    text counts as empty; a text without words gets the score of ratio 0. Very long texts count whole. Repeated rows score alike; a score equal to
+    threshold is predicted 1. Null labels, labels other than 0 and 1 and labels of ids that aren't in docs don't count; without labels every score is 0.5.
+    An empty table gives no rows. Other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_label))
-    rows = docs.select("doc_id", "text")
+    model = models(vocabulary(docs, labels))
+    rows = labelled_texts(docs, labels, "toxic", per_label, 3, 1, ["text"]).select(F.col("id").cast("string"), "label", "text", _half("id").alias("half"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    result = [held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
+    if model.count() > most_keys:
+        return _joined_scores(docs, rows, model, _prior(labels)).select("doc_id", *result)
+
+    got, known = rows.toPandas().sort_values("id"), model.toArrow()
+    ratio = {part: _ratio(known, part) for part in PARTS}
+    x, half = np.zeros((len(got), 4)), got["half"].to_numpy(np.int64)
+    for k, other in ((0, "two"), (1, "one")):
+        own = np.flatnonzero(half == k)
+        x[own] = summarise(ratio[other], tokens(as_bytes(got["text"].iloc[own])))
+    sent = docs.sparkSession.sparkContext.broadcast((ratio["all"], _weights(x, got["label"].to_numpy(np.int64), _prior(labels))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio, weights = sent.value
         for batch in batches:
             raw, parts = column_bytes(batch, "text"), [np.zeros(0)]
             for a, b in pieces(raw):
-                parts.append(sent.value.score(tokens(raw[a:b])))
+                parts.append(1 / (1 + np.exp(-np.clip(summarise(ratio, tokens(raw[a:b])) @ weights, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts))], ["doc_id", "score"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return batched(rows).mapInArrow(score, f"doc_id {kind}, score double").select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return batched(docs.select("doc_id", "text")).mapInArrow(score, f"doc_id {kind}, score double").select("doc_id", *result)
+
+
+def _joined_scores(docs: DataFrame, rows: DataFrame, model: DataFrame, prior: float) -> DataFrame:
+    """(doc_id, score) by joins with the models. Equal texts are scored once."""
+    name = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text")
+    sample = saved(rows.select(name, "text", "label", "half"))
+    parts = []
+    for k, other in ((0, "two"), (1, "one")):
+        own = sample.where(F.col("half") == k)
+        parts.append(own.select("_text", "label").join(joined_summaries(own.select("_text", "text").dropDuplicates(["_text"]), model, other), "_text", "left"))
+    got = parts[0].unionByName(parts[1]).toPandas().sort_values(["_text", "label"])
+    x = np.column_stack([np.ones(len(got)), got[SUMMARIES].to_numpy(float)])
+    weights = _weights(np.nan_to_num(x), got["label"].to_numpy(np.int64), prior)
+
+    ids = docs.select("doc_id", name, "text")
+    found = joined_summaries(ids.select("_text", "text").dropDuplicates(["_text"]), model, "all")
+    groups = ids.groupBy("_text").agg(F.count("*").alias("copies")).join(found, "_text", "left")
+    margin = F.lit(float(weights[0]))
+    for w, c in zip(weights[1:], SUMMARIES, strict=True):
+        margin = margin + F.lit(float(w)) * F.coalesce(c, F.lit(0.0))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(margin, F.lit(30.0)), F.lit(-30.0))))
+    return join_groups(ids.select("doc_id", "_text"), saved(groups), ["_text"], "copies", docs.count()).select("doc_id", score.alias("score"))
