@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, join_groups, saved
+from .common import batched, join_groups, saved, shared_folder
 from .labelled import held_out, known_labels, labelled_texts
-from .textcore import ALNUM, Words, as_bytes, column_bytes, kgrams, pieces
+from .textcore import ALNUM, Words, as_bytes, column_bytes, mix, pieces
 
 PER_LABEL = 2000  # labelled rows of each class that the fit of the four weights takes at most; the counts take all
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of a word that the backoff keeps, coarsest first
 DISCOUNT = 2.0
+SPLIT = 4  # parts by which the neighbours of a word are counted, so that a very common word is not one task's
 PARTS = ("all", "one", "two")  # all labelled rows, and either half of them
 BROADCAST_KEYS = 1 << 20  # keys up to which the models are broadcast (25 MB); beyond, texts are joined with them
 
@@ -29,12 +32,6 @@ def _left(h: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
     return left
 
 
-def _pair(left: np.ndarray, h: np.ndarray) -> np.ndarray:
-    both = np.empty(2 * len(h), np.uint64)
-    both[0::2], both[1::2] = left, h
-    return kgrams(both, 2)[0::2] if len(h) else h
-
-
 @dataclass
 class Tokens:
     """Words of some texts: hash and first eight bytes, the left neighbours, the texts' bounds."""
@@ -128,18 +125,38 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, word, head, label, half) of each word with its left neighbour, once for the label and half of a piece of the batch."""
+    """(word, head, part, lefts): the distinct left neighbours of each word of a batch, dealt to SPLIT parts by their hash. The lowest four bits of
+    an entry tell the labels and halves it occurs in (bit 2 * label + half), the others are of the neighbour's hash."""
     for batch in batches:
-        raw = column_bytes(batch, "text")
+        raw, found = column_bytes(batch, "text"), []
         kind = 2 * batch.column("_label").to_numpy(zero_copy_only=False) + batch.column("_half").to_numpy(zero_copy_only=False)
         for a, b in pieces(raw):
             t = tokens(raw[a:b])
-            pair, of = _pair(t.left, t.word), kind[a:b][t.of()]
-            for k in np.unique(of):
-                own = np.flatnonzero(of == k)
-                own = own[np.unique(pair[own], return_index=True)[1]]
-                fixed = [pa.array(np.full(len(own), v, np.int32)) for v in divmod(int(k), 2)]
-                yield pa.RecordBatch.from_arrays([*(_signed(x[own]) for x in (pair, t.word, t.head)), *fixed], ["pair", "word", "head", "label", "half"])
+            left = (mix(t.left) & ~np.uint64(15)) | (np.uint64(1) << kind[a:b][t.of()].astype(np.uint64))
+            found.append(_once(t.word, t.head, left))
+        word, head, left = _once(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.uint64),) * 3
+        part = (left >> np.uint64(4)) % np.uint64(SPLIT)
+        order = np.lexsort((part, word))
+        word, head, left, part = word[order], head[order], left[order], part[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), bool), (word[1:] != word[:-1]) | (part[1:] != part[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), _signed(left))
+        yield pa.RecordBatch.from_arrays([_signed(word[first]), _signed(head[first]), pa.array(part[first].astype(np.int32)), lists], ["word", "head", "part", "lefts"])
+
+
+def _once(word: np.ndarray, head: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word and neighbour once, with the kinds of all its rows."""
+    order = np.lexsort((left, word))
+    word, head, left = word[order], head[order], left[order]
+    same = (word[1:] == word[:-1]) & ((left[1:] ^ left[:-1]) < np.uint64(16))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), bool), ~same]))
+    return word[first], head[first], np.bitwise_or.reduceat(left, first) if len(first) else left
+
+
+def _table(df: DataFrame) -> DataFrame:
+    """df as a written table in the shared folder."""
+    path = posixpath.join(shared_folder(df.sparkSession), f"toxicity-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def vocabulary(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,9 +164,11 @@ def vocabulary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts of label 0 and 1, among all of them and in either half. Counted on the executors, so it grows with the labelled rows."""
     known = known_labels(labels, "toxic", 3, 1).withColumn("_half", _half("_id"))
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").where("text is not null").join(known, F.col("_doc") == F.col("_id")).select("text", "_label", "_half")
-    seen = batched(texts).mapInArrow(_occurrences, "pair long, word long, head long, label int, half int")
-    once = seen.groupBy("pair", "word", "head", "label").agg(F.lit(True).alias("all"), F.bool_or(F.col("half") == 0).alias("one"), F.bool_or(F.col("half") == 1).alias("two"))
-    return saved(once.groupBy("word", "head").agg(*(F.count_if((F.col("label") == c) & F.col(part)).alias(f"{part}{c}") for part in PARTS for c in (0, 1))))
+    lists = batched(texts).mapInArrow(_occurrences, "word long, head long, part int, lefts array<long>").repartition("word", "part")
+    kinds = F.bit_or(F.col("left").bitwiseAND(F.lit(15).cast("long"))).alias("kinds")
+    pairs = lists.select("word", "head", "part", F.explode("lefts").alias("left")).groupBy("word", "part", "head", F.shiftright("left", 4).alias("left")).agg(kinds)
+    bits = {"all0": 3, "all1": 12, "one0": 1, "one1": 4, "two0": 2, "two1": 8}
+    return _table(pairs.groupBy("word", "head").agg(*(F.count_if(F.col("kinds").bitwiseAND(F.lit(b).cast("long")) > 0).alias(c) for c, b in bits.items())))
 
 
 def _keys_of(level: int) -> Column:
@@ -175,8 +194,6 @@ def models(vocab: DataFrame) -> DataFrame:
     """
     counts = [f"{p}{c}" for p in PARTS for c in (0, 1)]
     totals = vocab.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts)).first()
-    at = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), _keys_of(i - 1).alias("up"), _keys_of(i).alias("key")) for i in range(len(PREFIXES) + 1))))
-    keys = vocab.select(at.alias("at"), *counts).groupBy("at.level", "at.up", "at.key").agg(*(F.sum(c).alias(c) for c in counts))
     kept, sums = [], []
     for p in PARTS:
         scale = min(1.0, totals[f"{p}1"] / max(1, totals[f"{p}0"]))
@@ -186,20 +203,26 @@ def models(vocab: DataFrame) -> DataFrame:
         kept.append((F.col(f"{p}0") * F.lit(scale) + F.col(f"{p}1")).alias(f"pooled_{p}"))
         sums.append(F.sum(f"pooled_{p}").alias(f"sp_{p}"))
         sums.append((F.lit(DISCOUNT) * (F.count_if(F.col(f"{p}0") + F.col(f"{p}1") > 0) + 1)).alias(f"given_{p}"))
-    keys = saved(keys.select("level", "up", "key", *counts, *kept))
-    ups = saved(keys.groupBy("level", "up").agg(*sums))
+    stem = _keys_of(0).alias("stem")
+    all_counts = [F.sum(c).alias(c) for c in counts]
+    root = vocab.groupBy(stem).agg(*all_counts).select("*", *kept).agg(*sums).select(F.lit(0).cast("long").alias("stem"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("up"), "*")
 
-    often = keys.where((F.col("all0") > DISCOUNT) | (F.col("all1") > DISCOUNT)).join(ups, ["level", "up"])
+    # one shuffle, by the first level's key; every finer level is grouped and joined where it lies
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), _keys_of(i - 1).alias("up"), _keys_of(i).alias("key")) for i in range(len(PREFIXES) + 1))))
+    keys = vocab.withColumn("stem", stem).repartition("stem").select("stem", at.alias("at"), *counts).groupBy("stem", "at.level", "at.up", "at.key").agg(*all_counts).select("*", *kept)
+    ups = keys.where("level > 0").groupBy("stem", "level", "up").agg(*sums)
+    often = keys.where((F.col("all0") > DISCOUNT) | (F.col("all1") > DISCOUNT))
+    of_root = F.broadcast(root.drop("stem", "up"))
+    often = often.where("level = 0").join(of_root, "level").unionByName(often.where("level > 0").join(ups, ["stem", "level", "up"]))
     steps = []
     for p in PARTS:
         shared = F.col(f"given_{p}") * F.col(f"pooled_{p}") / F.greatest(F.col(f"sp_{p}"), F.lit(1e-12))
         both = [F.log(F.greatest((F.col(f"k_{p}{c}") + shared) / (F.col(f"s_{p}{c}") + F.col(f"given_{p}")), F.lit(1e-300))) for c in (0, 1)]
         steps.append((both[1] - both[0]).alias(f"step_{p}"))
-    often = often.select("level", "key", *steps)
     rests = [F.log((F.col(f"s_{p}0") + F.col(f"given_{p}")) / (F.col(f"s_{p}1") + F.col(f"given_{p}"))).alias(f"rest_{p}") for p in PARTS]
-    below = ups.select((F.col("level") - 1).alias("level"), F.col("up").alias("key"), *rests)
-    root = below.where("level = -1").select("level", "key", *(F.lit(0.0).alias(f"step_{p}") for p in PARTS), *(f"rest_{p}" for p in PARTS))
-    return saved(often.join(below.where("level >= 0"), ["level", "key"], "left").na.fill(0.0).unionByName(root))
+    below = [(F.col("level") - 1).alias("level"), F.col("up").alias("key"), *rests]
+    found = often.select("stem", "level", "key", *steps).join(ups.select("stem", *below), ["stem", "level", "key"], "left").drop("stem").na.fill(0.0)
+    return _table(found.unionByName(root.na.fill(0.0).select(*below, *(F.lit(0.0).alias(f"step_{p}") for p in PARTS))))
 
 
 def _ratio(table: pa.Table, part: str) -> Ratio:
