@@ -308,16 +308,25 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     if model.count() > most_keys:
         return _joined_scores(docs, rows, model, _prior(labels)).select("doc_id", *result)
 
-    got, known = rows.toPandas().sort_values("id"), model.toArrow()
-    ratio = {part: _ratio(known, part) for part in PARTS}
-    x, half = np.zeros((len(got), 4)), got["half"].to_numpy(np.int64)
-    for k, other in ((0, "two"), (1, "one")):
-        own = np.flatnonzero(half == k)
-        x[own] = summarise(ratio[other], tokens(as_bytes(got["text"].iloc[own])))
-    sent = docs.sparkSession.sparkContext.broadcast((ratio["all"], _weights(x, got["label"].to_numpy(np.int64), _prior(labels))))
+    known = model.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast({part: _ratio(known, part) for part in PARTS})
+    del known
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, half, parts = column_bytes(batch, "text"), batch.column("half").to_numpy(zero_copy_only=False), [np.zeros((0, 4))]
+            for a, b in pieces(raw):
+                t = tokens(raw[a:b])
+                parts.append(np.where((half[a:b] == 0)[:, None], summarise(sent.value["two"], t), summarise(sent.value["one"], t)))
+            x = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *(pa.array(x[:, i]) for i in (1, 2, 3))], ["id", "label", *SUMMARIES])
+
+    got = batched(rows).mapInArrow(summaries, "id string, label int, mean double, most double, likely double").toPandas().sort_values("id")
+    x = np.column_stack([np.ones(len(got)), got[SUMMARIES].to_numpy(float)])
+    weights = _weights(x, got["label"].to_numpy(np.int64), _prior(labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, weights = sent.value
+        ratio = sent.value["all"]
         for batch in batches:
             raw, parts = column_bytes(batch, "text"), [np.zeros(0)]
             for a, b in pieces(raw):
