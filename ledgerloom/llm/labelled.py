@@ -19,6 +19,24 @@ def known_labels(labels: DataFrame, label_col: str, modulus: int, remainder: int
     return known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
 
 
+#: Rows of 64 bits of the table by which likely_labelled asks for ids.
+SLOTS = 1 << 18
+
+
+def likely_labelled(docs: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """docs less most rows whose id isn't an _id of known, so that their texts aren't shuffled; an exact join must follow. Ids are asked for in a
+    table of SLOTS * 64 bits, broadcast because it has SLOTS rows at most, however many ids there are. With far more ids than bits it is
+    full, and all rows go on. Ids of unlike or other types than numbers and strings all go on."""
+    if docs.schema[id_col].dataType != known.schema["_id"].dataType or docs.schema[id_col].dataType.simpleString() not in ("int", "bigint", "string"):
+        return docs
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS * 64))
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    bits = known.select(place("_id").alias("_place")).groupBy(F.shiftright("_place", 6).alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+    asked = docs.withColumn("_place", place(id_col))
+    there = (F.shiftright("_place", 6) == F.col("_slot")) & (F.col("_bits").bitwiseAND(bit) != 0)
+    return asked.join(F.broadcast(bits), there, "left_semi").drop("_place")
+
+
 def label_counts(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, remainder: int, id_col: str = "doc_id") -> tuple[int, int]:
     """How many ids of docs have label 0 and label 1 for training, none left out; see sample_ids."""
     there = known_labels(labels, label_col, modulus, remainder, id_col).join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")

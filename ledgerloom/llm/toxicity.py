@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, join_groups, saved, shared_folder
-from .labelled import held_out, known_labels, labelled_texts
+from .labelled import held_out, known_labels, labelled_texts, likely_labelled
 from .textcore import ALNUM, Words, as_bytes, column_bytes, mix, pieces
 
 PER_LABEL = 2000  # labelled rows of each class that the fit of the four weights takes at most; the counts take all
@@ -163,7 +163,8 @@ def vocabulary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, head, all0, all1, one0, one1, two0, two1) of every word of every labelled training text: by how many left neighbours it follows in
     texts of label 0 and 1, among all of them and in either half. Counted on the executors, so it grows with the labelled rows."""
     known = known_labels(labels, "toxic", 3, 1).withColumn("_half", _half("_id"))
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").where("text is not null").join(known, F.col("_doc") == F.col("_id")).select("text", "_label", "_half")
+    texts = likely_labelled(docs.select(F.col("doc_id").alias("_doc"), "text").where("text is not null"), known, "_doc")
+    texts = texts.join(known, F.col("_doc") == F.col("_id")).select("text", "_label", "_half")
     lists = batched(texts).mapInArrow(_occurrences, "word long, head long, part int, lefts array<long>").repartition("word", "part")
     kinds = F.bit_or(F.col("left").bitwiseAND(F.lit(15).cast("long"))).alias("kinds")
     pairs = lists.select("word", "head", "part", F.explode("lefts").alias("left")).groupBy("word", "part", "head", F.shiftright("left", 4).alias("left")).agg(kinds)

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ledgerloom.llm import toxicity
+from ledgerloom.llm import labelled, toxicity
 from ledgerloom.llm.textcore import LOWER
 
 from .corpora import awkward, frame
@@ -78,3 +78,22 @@ def test_joined_models_score_like_broadcast_ones(spark, empty):
     a, b = frame(spark, docs + [(5000 + (r[0] or 0), *r[1:]) for r in awkward()]), spark.createDataFrame([] if empty else labels, LABELS)
     near, far = (sorted(toxicity.toxicity_scores(a, b, most_keys=n).select("doc_id", "held_out", "score", "predicted").collect()) for n in (1 << 20, -1))
     assert len(near) == len(far) and all(x[:2] == y[:2] and abs(x.score - y.score) < 1e-9 for x, y in zip(near, far))
+
+
+@pytest.mark.parametrize("slots", [1, 1 << 18])
+@pytest.mark.parametrize("kind", ["long", "int", "string", "double"])
+def test_no_labelled_row_is_lost_to_the_bit_table(spark, monkeypatch, slots, kind):
+    monkeypatch.setattr(labelled, "SLOTS", slots)
+    ids = spark.range(3000).selectExpr(f"cast(if(id = 7, null, id) as {kind}) as doc", "if(id % 9 = 0, 'x', 'y') as text")
+    known = spark.range(0, 3500, 5).selectExpr(f"cast(id as {kind}) as _id")
+    left = labelled.likely_labelled(ids, known, "doc")
+    wanted = {r.doc for r in ids.collect()} & {r[0] for r in known.collect()}
+    assert left.columns == ids.columns and wanted <= {r.doc for r in left.collect()}
+    if slots > 1 and kind != "double":
+        assert left.count() < 660
+    assert labelled.likely_labelled(ids, known.where("false"), "doc").count() == (3000 if kind == "double" else 0)
+
+
+def test_ids_of_unlike_types_still_meet(spark):
+    ids, known = spark.range(100).selectExpr("cast(id as int) as doc"), spark.range(0, 100, 5).selectExpr("id as _id")
+    assert labelled.likely_labelled(ids, known, "doc").count() == 100
