@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import numbered
+from ..sources.steps import Rounds, whole_jobs
 from ..sources.tables import ILLICIT, saved
+from .components import reached, strong_components
 
 
 def allowed_edges(edges: DataFrame, labels: DataFrame, label_col: str = "class_label", value: str = ILLICIT, src: str = "txId1", dst: str = "txId2", id_col: str = "txId") -> DataFrame:
@@ -23,43 +25,34 @@ def number_seeds(labels: DataFrame, label_col: str = "class_label", value: str =
 
 
 def reach(seeds: DataFrame, allowed: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(subnetwork_id, seed_txn, node, hop, paths): every node reachable from each seed along allowed edges, its distance and the number of
-    shortest paths. All seeds advance together, one layer a round; each round keeps only its new rows, the layers are joined at the end."""
-    layer = saved(seeds.select("subnetwork_id", "seed_txn", F.col("seed_txn").alias("node"), F.lit(0).alias("hop"), F.lit(1).cast("long").alias("paths")))
-    layers, hop = [layer], 0
-    known = layer.select("subnetwork_id", "node")
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        step = layer.join(allowed, layer["node"] == allowed["src"]).groupBy("subnetwork_id", "seed_txn", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        layer = saved(step.join(known, ["subnetwork_id", "node"], "left_anti").select("subnetwork_id", "seed_txn", "node", F.lit(hop).alias("hop"), "paths"))
-        if not layer.take(1):
-            break
-        layers.append(layer)
-        known = known.union(layer.select("subnetwork_id", "node"))
-    out = layers[0]
-    for more in layers[1:]:
-        out = out.union(more)
-    return saved(out)
+    """(subnetwork_id, seed_txn, node, hop): every node reachable from each seed along allowed edges, and its distance. All seeds advance together: without a
+    hop limit a whole chain of edges a round (see components.reached), with one a layer a round."""
+    if max_hops is None:
+        starts = seeds.select(F.col("subnetwork_id").alias("key"), F.col("seed_txn").alias("seed"))
+        return reached(starts, allowed).select(F.col("key").alias("subnetwork_id"), F.col("seed").alias("seed_txn"), "node", "hop")
+    spark, r = allowed.sparkSession, Rounds(allowed.sparkSession)
+    with whole_jobs(spark):
+        front, n = r.save(seeds.select("subnetwork_id", "seed_txn", F.col("seed_txn").alias("node"), F.lit(0).alias("hop")), "true")
+        known = front
+        for hop in range(1, max_hops + 1):
+            step = front.join(allowed, front["node"] == allowed["src"]).select("subnetwork_id", "seed_txn", F.col("dst").alias("node"), F.lit(hop).alias("hop")).distinct()
+            front, n = r.save(step.join(known.select("subnetwork_id", "node"), ["subnetwork_id", "node"], "left_anti").select(*known.columns), "true")
+            if not n:
+                break
+            known = r.save(known.union(front))[0]
+            r.keep(known, front)
+    return known
 
 
 def kept_seeds(seeds: DataFrame, allowed: DataFrame) -> DataFrame:
-    """The seeds whose subnetworks dedup keeps where there is no hop limit and every node of allowed is a seed: the least of each strong
-    component that no other one leads to. Seeds without a predecessor are such components; whatever they lead to is inside a
-    larger subnetwork, which one search from all of them at once finds; only what is then left over (cycles that nothing leads to) is
-    traversed seed by seed."""
-    e = saved(allowed.where("src != dst"))
-    heads = seeds.join(e.select(F.col("dst").alias("seed_txn")).distinct(), "seed_txn", "left_anti").select("subnetwork_id", "seed_txn")
-    layer = saved(heads.select(F.col("seed_txn").alias("node")))
-    found = layer
-    while layer.take(1):
-        layer = saved(e.join(layer, e["src"] == layer["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"))
-        found = found.union(layer)
-    rest = saved(seeds.join(found, seeds["seed_txn"] == found["node"], "left_anti").select("subnetwork_id", "seed_txn"))
-    if not rest.take(1):
-        return saved(heads)
-    inside = e.join(rest, e["src"] == rest["seed_txn"], "left_semi")
-    report = dedup_report(subnet_nodes(reach(rest, inside)))
-    return saved(heads.union(report.where("status = 'kept'").select("id", "seed")))
+    """The seeds whose subnetworks dedup keeps where there is no hop limit and every node of allowed is a seed: the first of each strong component
+    that no other one leads to. They are known without growing any subnetwork."""
+    of = strong_components(allowed)
+    a, b = of.select(F.col("node").alias("src"), F.col("component").alias("from")), of.select(F.col("node").alias("dst"), F.col("component").alias("to"))
+    entered = allowed.join(a, "src").join(b, "dst").where(F.col("from") != F.col("to")).select(F.col("to").alias("component")).distinct()
+    named = seeds.join(of.withColumnRenamed("node", "seed_txn"), "seed_txn", "left").select("subnetwork_id", "seed_txn", F.coalesce("component", "seed_txn").alias("component"))
+    first = named.join(entered, "component", "left_anti").groupBy("component").agg(F.min(F.struct("subnetwork_id", "seed_txn")).alias("s"))
+    return saved(first.select("s.subnetwork_id", "s.seed_txn"))
 
 
 def subnet_nodes(reached: DataFrame) -> DataFrame:
@@ -83,20 +76,47 @@ def seed_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "subnetwork_id", "left").select("subnetwork_id", "seed_txn", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "max_hop", F.when(F.col("nodes") <= 1, "single node network").otherwise("multi-node network").alias("bucket"))
 
 
+def _holders(nodes: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(twins, holds) of sets of nodes (id, txn_id): (id, first) of those equal to an earlier one, and (id, size, o_id, o_size) of all pairs of the others
+    in which o_id holds all nodes of id.
+
+    A set that holds another one also holds its rarest node, so sets are met there only; nodes that many sets have are rarely the rarest of one. A pair
+    must also pass the sizes and 63 bits in which a node marks one, before its nodes are compared. Equal sets are found by two hashes and compared too."""
+    often = nodes.groupBy("txn_id").agg(F.count("*").alias("n"))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(txn_id), 63) AS int))")
+    marks = [F.min(F.struct("n", "txn_id")).alias("rarest"), F.bit_or(bit).alias("bits"), F.bit_xor(F.xxhash64("txn_id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("txn_id", F.lit(2))).alias("y")]
+    sets = saved(nodes.join(often, "txn_id").groupBy("id").agg(*marks).join(sizes, "id").select("id", "size", "rarest.txn_id", "bits", "x", "y"))
+
+    def shared(pairs: DataFrame) -> DataFrame:
+        """The pairs (id, size, o_id) of which o_id has all nodes of id."""
+        inside = pairs.join(nodes, "id").join(nodes.select(F.col("id").alias("o_id"), "txn_id"), ["o_id", "txn_id"])
+        return inside.groupBy("id", "size", "o_id").agg(F.count("*").alias("n")).where("n = size").select("id", "size", "o_id")
+
+    first = sets.groupBy("size", "x", "y").agg(F.min("id").alias("o_id"))
+    twins = saved(shared(sets.join(first, ["size", "x", "y"]).where("id != o_id").select("id", "size", "o_id")).select("id", F.col("o_id").alias("first")))
+    own = sets.join(twins, "id", "left_anti")
+    larger = own.select(F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("bits").alias("o_bits"))
+    met = own.join(nodes.select(F.col("id").alias("o_id"), "txn_id"), "txn_id").join(larger, "o_id").where("o_size > size and (bits & ~o_bits) = 0")
+    return twins, saved(shared(met.select("id", "size", "o_id")).join(larger.select("o_id", "o_size"), "o_id"))
+
+
 def dedup_report(nodes: DataFrame, by_reach: bool = True) -> DataFrame:
     """id, size, seed, status (kept or dropped_subset) and kept_as. Subnetworks in order of size (largest first), then id; one goes where an
     earlier one holds all its nodes. kept_as: itself, or the first kept one that holds it.
 
     by_reach: the nodes are everything that each seed reaches; then one holds another exactly if it holds its seed, and one join on that node
-    is enough. Otherwise (a hop limit) shared nodes are counted for each pair and compared with the size."""
+    is enough. Otherwise (a hop limit) sets are compared where they may hold each other, see _holders."""
     sizes = nodes.groupBy(F.col("subnetwork_id").alias("id"), F.col("seed_txn").alias("seed")).agg(F.count("*").alias("size"))
-    outer = sizes.select(F.col("id").alias("o_id"), F.col("size").alias("o_size"))
     if by_reach:
+        outer = sizes.select(F.col("id").alias("o_id"), F.col("size").alias("o_size"))
         holds = sizes.join(nodes.select(F.col("subnetwork_id").alias("o_id"), F.col("txn_id").alias("seed")), "seed").select("id", "size", "o_id")
+        earlier = holds.join(outer, "o_id").where("o_id != id and (o_size > size or (o_size = size and o_id < id))")
     else:
-        a, b = nodes.select(F.col("subnetwork_id").alias("id"), "txn_id"), nodes.select(F.col("subnetwork_id").alias("o_id"), "txn_id")
-        holds = a.join(b, "txn_id").groupBy("id", "o_id").agg(F.count("*").alias("shared")).join(sizes, "id").where("shared = size").select("id", "size", "o_id")
-    earlier = holds.join(outer, "o_id").where("o_id != id and (o_size > size or (o_size = size and o_id < id))")
+        sizes = saved(sizes)
+        twins, earlier = _holders(saved(nodes.select(F.col("subnetwork_id").alias("id"), "txn_id")), sizes.select("id", "size"))
+        as_first = twins.join(earlier.withColumnRenamed("id", "first"), "first").select("id", "size", "o_id", "o_size")
+        itself = twins.join(sizes, "id").select("id", "size", F.col("first").alias("o_id"), F.col("size").alias("o_size"))
+        earlier = earlier.select("id", "size", "o_id", "o_size").union(as_first).union(itself)
     dropped = earlier.select("id").distinct()
     kept = sizes.join(dropped, "id", "left_anti")
     winner = earlier.join(kept.select(F.col("id").alias("o_id")), "o_id", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("o_size")).alias("s"), F.col("o_id").alias("o"))).alias("w"))
@@ -111,29 +131,64 @@ def relabel(report: DataFrame, order: str = "id") -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, least): the least node of the component of each node of links (a, b). Each round a node takes the least label around it, then
     labels jump to their own label, which shortens long chains by half or more."""
-    both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("least")))
-    while True:
-        around = both.join(label.select(F.col("node").alias("b"), "least"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("around"))
-        near = label.join(around, "node").select("node", "least", F.least("least", "around").alias("now"))
-        jump = label.select(F.col("node").alias("now"), F.col("least").alias("far"))
-        moved = saved(near.join(jump, "now", "left").select("node", F.coalesce(F.least("now", "far"), "now").alias("new"), "least"))
-        label = moved.select("node", F.col("new").alias("least"))
-        if not moved.where("new != least").take(1):
-            return label
+    spark, r = links.sparkSession, Rounds(links.sparkSession)
+    links = saved(links)
+    with whole_jobs(spark):
+        both = r.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())[0]
+        label, moved = r.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("least")), "true")
+        while moved:
+            around = both.join(label.select(F.col("node").alias("b"), "least"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("around"))
+            near = label.join(around, "node").select("node", "least", F.least("least", "around").alias("now"))
+            jump = label.select(F.col("node").alias("now"), F.col("least").alias("far"))
+            new = near.join(jump, "now", "left").select("node", F.coalesce(F.least("now", "far"), "now").alias("new"), F.col("least").alias("old"))
+            table, moved = r.save(new, "new != old")
+            r.keep(both, table)
+            label = table.select("node", F.col("new").alias("least"))
+    return label
+
+
+#: Subnetworks at a node up to which they are met pair by pair there.
+HUB = 200
+
+
+def overlap_links(held: DataFrame, min_shared: int, hub: int = HUB) -> DataFrame:
+    """(a, b) that join the sets (subnetwork_id, txn_id; distinct) which share at least min_shared nodes, directly or through others; not all such pairs.
+
+    With nodes in order of frequency, two such sets share one that is not among the min_shared - 1 most frequent of either. They are met at such nodes
+    only, rare ones first, and their shared nodes counted. At a node that more than hub sets are met at, no pairs are made: its sets,
+    with the nodes that come after it in that order, are joined among themselves for one shared node less, down to one, where all sets at a node are linked to the
+    first of them."""
+    return _overlaps(held.select(F.lit("").alias("at"), F.col("subnetwork_id").alias("s"), "txn_id"), min_shared, hub)
+
+
+def _overlaps(held: DataFrame, k: int, hub: int) -> DataFrame:
+    if k <= 1:
+        least = held.groupBy("at", "txn_id").agg(F.min("s").alias("a"))
+        return held.join(least, ["at", "txn_id"]).select("a", F.col("s").alias("b")).where("a != b").distinct()
+    often = held.groupBy("at", "txn_id").agg(F.count("*").alias("n")).where("n > 1")  # a node of one set is shared by none
+    rows = saved(held.join(often, ["at", "txn_id"]).select("at", "s", F.struct("n", "txn_id").alias("node")))
+    met = rows
+    for _ in range(k - 1):
+        met = met.join(met.groupBy("at", "s").agg(F.max("node").alias("node")), ["at", "s", "node"], "left_anti")
+    met = saved(met)
+    many = saved(met.groupBy("at", "node").agg(F.count("*").alias("sets")).where("sets > 1"))
+    few = met.join(many.where(F.col("sets") <= hub), ["at", "node"], "left_semi")
+    pairs = few.select("at", F.col("s").alias("a"), "node").join(few.select("at", F.col("s").alias("b"), "node"), ["at", "node"]).where("a < b").select("at", "a", "b").distinct()
+    both = pairs.join(rows.withColumnRenamed("s", "a"), ["at", "a"]).join(rows.withColumnRenamed("s", "b"), ["at", "b", "node"])
+    links = both.groupBy("at", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a", "b").distinct()
+    hubs = many.where(F.col("sets") > hub).select("at", "node")
+    if not hubs.take(1):
+        return links
+    there = met.join(hubs, ["at", "node"], "left_semi").select("at", "s", F.col("node").alias("hub"))
+    after = there.join(rows, ["at", "s"]).where("node > hub").select(F.concat_ws("/", "at", F.col("hub.txn_id").cast("string")).alias("at"), "s", F.col("node.txn_id").alias("txn_id"))
+    return links.union(_overlaps(after, k - 1, hub)).distinct()
 
 
 def merge_ids(nodes: DataFrame, min_shared: int = 1) -> DataFrame:
     """(subnetwork_id, merged_subnetwork_id): subnetworks that share at least min_shared nodes, directly or through others, are merged
-    under their least id. For one shared node each node links its subnetworks to the least among them; otherwise pairs are counted."""
+    under their least id."""
     held = nodes.select("subnetwork_id", "txn_id")
-    if min_shared <= 1:
-        least = held.groupBy("txn_id").agg(F.min("subnetwork_id").alias("a"))
-        links = held.join(least, "txn_id").select("a", F.col("subnetwork_id").alias("b")).where("a != b").distinct()
-    else:
-        a, b = held.select(F.col("subnetwork_id").alias("a"), "txn_id"), held.select(F.col("subnetwork_id").alias("b"), "txn_id")
-        links = a.join(b, "txn_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared).select("a", "b")
-    found = components(links)
+    found = components(overlap_links(held, min_shared))
     ids = held.select("subnetwork_id").distinct()
     return ids.join(found, ids["subnetwork_id"] == found["node"], "left").select("subnetwork_id", F.coalesce("least", "subnetwork_id").alias("merged_subnetwork_id"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_address_list
 from ..functions.places import numbered, with_global_pct_rank
-from ..operators import addresses, features, models, ranking, reports, subnetworks
+from ..operators import addresses, components, features, models, ranking, reports, subnetworks
 from ..sources import tables
 from ..sources.tables import saved, shared_folder
 from .workspace import Settings, Workspace, workspace
@@ -370,6 +370,20 @@ def _predicted(w: Workspace) -> Workspace:
     return Workspace(w.spark, w.dir, Settings(label_col="pred_class_label", threshold=0.55))
 
 
+@query
+def strong_components(w: Workspace) -> DataFrame:
+    """Every predicted transaction that is linked to another, with the strong component it lies in and how many lie there."""
+    of = components.strong_components(_predicted(w).allowed)
+    sizes = of.groupBy("component").agg(F.count("*").alias("size"))
+    return of.join(sizes, "component").select(F.col("node").alias("txn_id"), F.col("component").alias("component_id"), "size")
+
+
+@query
+def chain_places(w: Workspace) -> DataFrame:
+    """The place of each linked transaction in its chain of only successors and predecessors."""
+    return components.chains(w.allowed.where("src != dst")).select(F.col("node").alias("txn_id"), F.col("chain").alias("chain_id"), "place")
+
+
 @query
 def subnet_nodes_predicted(w: Workspace) -> DataFrame:
     return _predicted(w).nodes

@@ -351,6 +351,12 @@ SQL |= {
     "eigenvector": f"WITH RECURSIVE {_PR}{_UND}{_EIGEN} SELECT g AS merged_subnetwork_id, node, {_ROUND('eigenvector')}, {_RANK('eigenvector')} FROM eig",
     "coreness": f"WITH RECURSIVE {_PR}{_UND}{_CORE} SELECT g AS merged_subnetwork_id, node, coreness, {_RANK('coreness')} FROM core",
     "rank_join_all": f"WITH RECURSIVE {_RANKS}{_HITS}{_UND}{_EIGEN}{_CORE}{_KATZ}{_DIST}{_PATHS}, cen AS (SELECT g AS merged_subnetwork_id, node, {', '.join(f'{_ROUND(c)}, {_RANK(c)}' for c in _CENTRAL)} FROM hits JOIN eig USING (g, node) JOIN ktz USING (g, node) JOIN core USING (g, node) JOIN hrm USING (g, node) JOIN btw USING (g, node)) SELECT ranks.* REPLACE (round(composite_raw, 6) AS composite_raw), cen.* EXCLUDE (merged_subnetwork_id, node) FROM ranks LEFT JOIN cen ON cen.merged_subnetwork_id = ranks.merged_subnetwork_id AND cen.node = ranks.node",
+    "strong_components": f"""WITH RECURSIVE {_FULL.replace(_ALLOWED, _ALLOWED_PREDICTED)}, lk AS (SELECT src AS id FROM ie UNION SELECT dst FROM ie),
+mu AS (SELECT a.seed AS txn_id, min(b.seed) AS component_id FROM reach a JOIN reach b ON b.seed = a.node AND b.node = a.seed WHERE a.seed IN (SELECT id FROM lk) GROUP BY 1)
+SELECT txn_id, component_id, count(*) OVER (PARTITION BY component_id) AS size FROM mu""",
+    "chain_places": f"""WITH RECURSIVE {_ALLOWED}, li AS (SELECT src, dst FROM ie WHERE src IN (SELECT src FROM ie GROUP BY 1 HAVING count(*) = 1) AND dst IN (SELECT dst FROM ie GROUP BY 1 HAVING count(*) = 1)),
+lk AS (SELECT src AS id FROM ie UNION SELECT dst FROM ie), ch(node, chain, place) AS (SELECT id, id, 0::BIGINT FROM lk WHERE id NOT IN (SELECT dst FROM li) UNION ALL SELECT li.dst, chain, place + 1 FROM ch JOIN li ON li.src = ch.node)
+SELECT node AS txn_id, chain AS chain_id, place FROM ch""",
     "subnet_nodes_predicted": f"WITH RECURSIVE {_FULL.replace(_ALLOWED, _ALLOWED_PREDICTED)} SELECT * FROM nd",
     "merged_nodes_predicted": f"WITH RECURSIVE {_PREDICTED} SELECT merged_subnetwork_id, txn_id, min_hop, array_to_string(seeds_in_group, ';') AS seeds_in_group FROM fn",
     "merged_group_seeds": f"WITH RECURSIVE {_MERGED} SELECT DISTINCT merged_subnetwork_id, seed_txn FROM rn",

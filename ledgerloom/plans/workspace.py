@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import addresses, features, models, ranking, reports, subnetworks
 from ..sources import tables
-from ..sources.tables import saved
+from ..sources.tables import saved, stored
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class Workspace:
 
     @cached_property
     def features(self) -> DataFrame:
-        return saved(tables.txn_features(self.spark, self.dir, self.edgelist))
+        return stored(tables.txn_features(self.spark, self.dir, self.edgelist))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -69,15 +69,15 @@ class Workspace:
 
     @cached_property
     def edgelist(self) -> DataFrame:
-        return saved(tables.txn_edgelist(self.spark, self.dir))
+        return stored(tables.txn_edgelist(self.spark, self.dir))
 
     @cached_property
     def allowed(self) -> DataFrame:
-        return saved(subnetworks.allowed_edges(self.edgelist, self.labels, self.s.label_col))
+        return stored(subnetworks.allowed_edges(self.edgelist, self.labels, self.s.label_col))
 
     @cached_property
     def seeds(self) -> DataFrame:
-        return saved(subnetworks.number_seeds(self.labels, self.s.label_col))
+        return stored(subnetworks.number_seeds(self.labels, self.s.label_col))
 
     @cached_property
     def reached(self) -> DataFrame:
@@ -125,11 +125,11 @@ class Workspace:
 
     @cached_property
     def nodes_final(self) -> DataFrame:
-        return saved(subnetworks.collapse_nodes(self.nodes_retagged))
+        return stored(subnetworks.collapse_nodes(self.nodes_retagged))
 
     @cached_property
     def edges_final(self) -> DataFrame:
-        return saved(subnetworks.collapse_edges(self.edges_retagged))
+        return stored(subnetworks.collapse_edges(self.edges_retagged))
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -145,7 +145,7 @@ class Workspace:
 
     @cached_property
     def composite(self) -> DataFrame:
-        return saved(ranking.composite(self.features, self.pagerank_completed, self.nodes_final, self.s.weights, self.s.invert_out_degree))
+        return stored(ranking.composite(self.features, self.pagerank_completed, self.nodes_final, self.s.weights, self.s.invert_out_degree))
 
     @cached_property
     def ranked(self) -> DataFrame:

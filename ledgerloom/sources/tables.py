@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import code_label
+from .steps import saved, shared_folder, stored  # noqa: F401
 
 ILLICIT, LICIT, UNKNOWN = "Illicit", "Licit", "Unknown"
 CODES = {1: ILLICIT, 2: LICIT, 3: UNKNOWN}
@@ -50,24 +49,6 @@ def write_table(df: DataFrame, path: str, overwrite: bool = True, dry_run: bool
     return df
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df kept in the folder of spark.checkpoint.dir, which all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one on a single machine; on a cluster that is an error."""
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="checkpoints")
-
-
 def txn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txId, time_step, class (1 Illicit, 2 Licit, 3 Unknown), class_label."""
     o = read_table(spark, sf_dir, "orders")
