@@ -20,7 +20,7 @@ BOILERPLATE, CONTENT, MIXED = 0, 1, 2  # labels of a node; MIXED holds nodes of
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup label legend li main menu nav noscript ol optgroup option p pre search section select summary table caption colgroup tbody td tfoot th thead tr ul".split()
 )
@@ -72,6 +72,7 @@ def parse(html: str) -> list[Node]:
     nodes, open_at = [Node(0, "#page")], [0]
     run, link, at = _Run(), 0, 0
     raw_end: dict[str, re.Pattern] = {}
+    where: dict[str, list[int]] = {}  # the depths at which elements of a name are open
 
     def flush() -> None:
         nonlocal run, link
@@ -82,13 +83,12 @@ def parse(html: str) -> list[Node]:
         run, link = _Run(), 0
 
     def close(names: tuple[str, ...], holders: frozenset) -> None:
-        for depth in range(len(open_at) - 1, 0, -1):
-            tag = nodes[open_at[depth]].tag
-            if tag in names:
-                del open_at[depth:]
-                return
-            if tag in holders:
-                return
+        """Closes the innermost open element of names, unless one of holders is open inside it."""
+        depth = max((where[n][-1] for n in names if where.get(n)), default=0)
+        if depth and depth > max((where[n][-1] for n in holders if where.get(n)), default=0):
+            for i in range(len(open_at) - 1, depth - 1, -1):
+                where[nodes[open_at[i]].tag].pop()
+            del open_at[depth:]
 
     while True:
         m = _MARKUP.search(html, at)
@@ -125,6 +125,7 @@ def parse(html: str) -> list[Node]:
                 close(GROUPS[name], HOLDERS)
             parts, given = _attributes(m["attrs"]) if m["attrs"] else ((), "")
             nodes.append(Node(open_at[-1], name, parts, given))
+            where.setdefault(name, []).append(len(open_at))
             open_at.append(len(nodes) - 1)
         elif name == "a":
             link = 1
@@ -137,10 +138,10 @@ def _bin(n: int, bounds: tuple[int, ...]) -> int:
 
 
 def features(node: Node, parent: Node) -> list[tuple]:
-    """What a node shows of itself; a run of text also shows the element that it stands in."""
+    """What a node shows of itself; a run of text also shows the element that it stands in, and whether it is a link there."""
     if node.tag == "#text":
         words = node.text.count(" ") + 1
-        return [("words", _bin(words, (2, 5, 10, 20, 40))), ("links", _bin(100 * node.linked // max(1, len(node.text)), (0, 30, 70))), ("stop", node.text[-1] in ".!?:;\"'"), ("in", parent.tag)]
+        return [("words", _bin(words, (2, 5, 10, 20, 40))), ("links", _bin(100 * node.linked // max(1, len(node.text)), (0, 30, 70))), ("stop", node.text[-1] in ".!?:;\"'"), ("in", (parent.tag, 2 * node.linked > len(node.text)))]
     return [("landmark" if node.tag in LANDMARKS else "tag", node.tag), *(("part", x) for x in node.parts)]
 
 
@@ -214,7 +215,7 @@ class PageModel:
         return "\n".join(n.text for n, p in zip(nodes, self.marginals(nodes), strict=True) if n.text and p >= 0.5)
 
 
-# Class and id names that page templates commonly give to their parts.
+# Class and id names that page templates commonly give to their parts, chosen by hand.
 NAMES = {
     "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav".split(),
     "header": "header masthead banner branding site-header topbar logo".split(),
@@ -281,12 +282,14 @@ class _Template:
     def block(self) -> str:
         r = self.rng
         x = r.random()
+        if x < 0.04:
+            return f"<p><a href=x>{self.words(1, 10, False)}</a></p>"
         if x < 0.66:
             return f"<p>{self.words(1, 6) if r.random() < 0.3 else self.words(6, 120)}" + "</p>" * (r.random() < 0.85)
         if x < 0.76:
             return f"<h{(n := r.choice('23'))}>{self.words(1, 8, False)}</h{n}>"
         if x < 0.84:
-            return f"<{(t := r.choice(('ul', 'ol')))}>" + "".join(f"<li>{self.words(1, 25)}</li>" for _ in range(r.randint(2, 6))) + f"</{t}>"
+            return f"<{(t := r.choice(('ul', 'ol')))}>" + "".join(f"<li>{self.words(1, 25) if r.random() < 0.6 else self.words(1, 4, False)}</li>" for _ in range(r.randint(2, 6))) + f"</{t}>"
         if x < 0.88:
             return f"<blockquote><p>{self.words(3, 50)}</p></blockquote>"
         if x < 0.92:

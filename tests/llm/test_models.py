@@ -100,6 +100,34 @@ def test_html(spark):
     assert html_text.main_texts(df.limit(0)).collect() == []
 
 
+def test_deep_pages_and_short_pieces():
+    import time
+
+    model = html_text.default_model()
+    began = time.process_time()
+    nodes = html_text.parse("<div>" * 60_000 + "words" + "<p>a" * 60_000 + "<ul><li>" * 30_000)
+    assert time.process_time() - began < 10
+    assert len(nodes) == 1 + 60_000 + 1 + 120_000 + 60_000
+    page = "<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav>{}<footer>c 2020</footer></body></html>"
+    for inside, want in (
+        ("<div class='storyBody'><p>A paragraph with some words in it.</p><ul><li>First</li><li>Second</li></ul></div>", "A paragraph with some words in it.\nFirst\nSecond"),
+        ("<article><h1>Title</h1><p>Some words of the article.</p><p><a href=x>A paragraph that is one link</a></p></article>", "Title\nSome words of the article.\nA paragraph that is one link"),
+        ("<article><p>Let <math><mi>x</mi></math> be it, for all that follows.</p></article>", "Let x be it, for all that follows."),
+    ):
+        assert model.main_text(page.format(inside)) == want
+
+
+def test_elements_close_as_before():
+    def shape(html):
+        nodes = html_text.parse(html)
+        return [(n.tag, n.parent, n.text) for n in nodes[1:]]
+
+    assert shape("<p>a<p>b") == [("p", 0, ""), ("#text", 1, "a"), ("p", 0, ""), ("#text", 3, "b")]
+    assert shape("<p>a<button><p>b") == [("p", 0, ""), ("#text", 1, "a"), ("button", 0, ""), ("p", 3, ""), ("#text", 4, "b")]
+    assert shape("<ul><li>a<ul><li>b</ul><li>c") == [("ul", 0, ""), ("li", 1, ""), ("#text", 2, "a"), ("ul", 2, ""), ("li", 4, ""), ("#text", 5, "b"), ("li", 1, ""), ("#text", 7, "c")]
+    assert shape("<div><p>a</div>b</p>c") == [("div", 0, ""), ("p", 1, ""), ("#text", 2, "a"), ("#text", 0, "b"), ("#text", 0, "c")]
+
+
 def test_marginals_equal_enumeration():
     model = html_text.default_model()
     nodes = html_text.parse("<div class=post><p>Some words here.</p><p><a href=x>link</a></p></div>")
