@@ -115,6 +115,75 @@ def landing(p: np.ndarray, weight: np.ndarray, size: np.ndarray, seed: int, few:
     return out
 
 
+CELLS = 20_000  # of word totals in the search of settled
+
+
+def _improved(taken: np.ndarray, words: np.ndarray, off: float) -> tuple[list[int], float]:
+    """The swap of a taken and an open unit, or the one unit to take or drop, after which the word total, now off too high, is nearest to its aim; with
+    what it is off then. A swap is preferred in a tie, as it keeps the number of documents."""
+    ones, zeros = np.flatnonzero(taken > 0), np.flatnonzero(taken == 0)
+    best: tuple[list[int], float] = ([], off)
+    if len(ones) and len(zeros):
+        order = zeros[np.argsort(words[zeros], kind="stable")]
+        at = np.searchsorted(words[order], words[ones] - off)
+        for shift in (-1, 0):
+            other = order[np.clip(at + shift, 0, len(order) - 1)]
+            left = off - words[ones] + words[other]
+            i = int(np.argmin(np.abs(left)))
+            if abs(left[i]) < abs(best[1]):
+                best = ([int(ones[i]), int(other[i])], float(left[i]))
+    for units, sign in ((ones, -1), (zeros, 1)):
+        if len(units):
+            left = off + sign * words[units]
+            i = int(np.argmin(np.abs(left)))
+            if abs(left[i]) < abs(best[1]):
+                best = ([int(units[i])], float(left[i]))
+    return best
+
+
+def _searched(taken: np.ndarray, words: np.ndarray, aim: float, seed: int) -> np.ndarray:
+    """A choice of units whose word total is nearest to aim, by all totals that can be reached, in CELLS steps up to the aim and the largest unit. Units that
+    are taken now are tried first."""
+    limit = aim + float(words.max())
+    step = max(1.0, limit / CELLS)
+    cells = np.round(words / step).astype(np.int64)
+    reached = np.full(int(limit / step) + 2, -1, np.int64)  # the unit by which a total was first reached
+    reached[0] = len(words)
+    order = np.random.Generator(np.random.PCG64(seed)).permutation(len(words))
+    for i in order[np.argsort(-taken[order], kind="stable")].tolist():
+        c = int(cells[i])
+        if 0 < c < len(reached):
+            new = np.flatnonzero((reached[:-c] >= 0) & (reached[c:] < 0)) + c
+            reached[new] = i
+    found = np.flatnonzero(reached >= 0)
+    at, out = int(found[np.argmin(np.abs(found * step - aim))]), np.zeros(len(words))
+    while at:
+        i = int(reached[at])
+        out[i], at = 1.0, at - int(cells[i])
+    return out
+
+
+def settled(taken: np.ndarray, words: np.ndarray, aim: float, seed: int, near: float = 0.001) -> np.ndarray:
+    """taken (0 or 1 for each unit) with its word total brought near to aim: the best swap of two units, or unit to take or drop, as long as one helps and the total
+    is off by more than near of the aim. If it then still is, all totals that can be reached are searched."""
+
+    def swapped(out: np.ndarray) -> tuple[np.ndarray, float]:
+        out, off = out.copy(), float(out @ words) - aim
+        while abs(off) > near * aim:
+            units, left = _improved(out, words, off)
+            if abs(left) >= abs(off) - 1e-9:
+                break
+            out[units] = 1 - out[units]
+            off = left
+        return out, abs(off)
+
+    out, off = swapped(taken)
+    if len(words) and off > near * aim:
+        other, less = swapped(_searched(out, words, aim, seed))
+        out = other if less < off else out
+    return out
+
+
 _UNIT = "_s int, _k long, _id {kind}, _crc long, size long, m long, p double, base int"
 
 
@@ -125,7 +194,10 @@ def _fly(units: DataFrame, seed: int) -> DataFrame:
         for block in by_key(batches, ["_s", "_k"]):
             block = block.reset_index(drop=True)
             m, size = block["m"].to_numpy(), block["size"].to_numpy()
-            p = (landing if bool(block["_last"][0]) else flight)(block["p"].to_numpy(), m, size, seed * 1_000_003 + int(block["_s"][0]) * 8191 + int(block["_k"][0]))
+            last, before, own = bool(block["_last"][0]), block["p"].to_numpy(), seed * 1_000_003 + int(block["_s"][0]) * 8191 + int(block["_k"][0])
+            p = (landing if last else flight)(before, m, size, own)
+            if last:
+                p = settled(p, m * size.astype(float), float(before @ (m * size)), own)
             yield block.drop(columns="_last").assign(p=p)
 
     dealt = units.repartition(shuffle_parts(units.sparkSession), "_s", "_k").sortWithinPartitions("_s", "_k", F.desc("size"), "_crc", "_id", "m", "p")
@@ -145,7 +217,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     A unit is taken floor(r) times, r being target over size of its source, and once more with the rest of r as its inclusion probability.
     The cube method draws that: the flight moves probabilities in blocks of about BLOCK units of a source, keeping the source's
     total of documents and of words exactly; the two units or fewer that each block leaves open are gathered and fly again,
-    level by level, until one block holds a source's last ones and lands them (see landing).
+    level by level, until one block holds a source's last ones, lands them (see landing) and settles what is then off (see settled).
     Draws depend on seed and units alone, ties in size are ordered by hash and id. Nulls, repeated rows and very long texts as in mix_report; an empty
     table has an empty plan. Other columns are ignored.
     """

@@ -49,6 +49,30 @@ def test_sources_come_near_their_targets(spark):
     assert abs(by.target.sum() - 1.5 * got["size"].sum()) < 1e-3
 
 
+def test_settled_reaches_what_can_be_reached():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 6, 12):
+        for k in range(40):
+            words = np.round(rng.lognormal(4, 1.5, n)) + 1
+            aim = float(rng.uniform(0.05, 0.95, n) @ words)
+            totals = (np.arange(1 << n)[:, None] >> np.arange(n) & 1) @ words
+            got = mixing.settled((rng.random(n) < 0.5).astype(float), words, aim, k)
+            assert set(got) <= {0.0, 1.0}
+            best = abs(totals - aim).min()
+            assert abs(got @ words - aim) <= max(best, 0.001 * aim) + n * (aim + words.max()) / mixing.CELLS + n
+
+
+def test_skewed_sources_come_near_their_targets(spark):
+    """Sources of 30 to 80 documents, most words in a few of them."""
+    rng = np.random.default_rng(12)
+    sizes = [[int(x) + 1 for x in rng.lognormal(4.5, 1.6, int(rng.integers(30, 80)))] for _ in range(60)]
+    rows = [(1000 * s + i, " ".join(["w"] * n), "en", f"s{s:03}", 1) for s, each in enumerate(sizes) for i, n in enumerate(each)]
+    got = mixing.mix_report(frame(spark, rows, clash=False)).toPandas()
+    by = got.assign(source=got.doc_id // 1000).groupby("source").agg(taken=("taken", "sum"), target=("target", "max"))
+    assert (abs(by.taken - by.target) / by.target).max() < 0.01
+    assert (got.taken <= 2 * got["size"]).all()
+
+
 def test_flight_keeps_both_totals_and_its_expectation():
     rng = np.random.default_rng(1)
     size, m, p = rng.integers(1, 1000, 300), np.ones(300), rng.uniform(0.05, 0.95, 300)
