@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_address_list
 from ..functions.places import numbered, with_global_pct_rank
-from ..operators import addresses, components, features, models, ranking, reports, subnetworks
+from ..operators import addresses, components, features, information, models, ranking, reports, subnetworks
 from ..sources import tables
 from ..sources.tables import saved, shared_folder
 from .workspace import Settings, Workspace, workspace
@@ -77,6 +77,12 @@ def feature_shape(w: Workspace) -> DataFrame:
     return rounded(features.feature_shape(df, ["fees", "size", "in_BTC_total", "num_input_addresses", "out_txs_degree"]).select("feature", "n", "pearson", "spearman", "r2", "mutual_info", "relation"))
 
 
+@query
+def feature_mutual_info(w: Workspace) -> DataFrame:
+    df = w.features.join(w.scores.where("class is not null").select("txId", "class"), "txId")
+    return rounded(information.knn_information(df, ["fees", "size", "in_BTC_total", "num_input_addresses", "out_txs_degree"]))
+
+
 @query
 def projected_cast_scan(w: Workspace) -> DataFrame:
     return tables.read_columns(tables.read_table(w.spark, w.dir, "orders"), {"o_orderkey": "string", "o_custkey": "bigint", "o_totalprice": "double"})
