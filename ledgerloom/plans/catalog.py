@@ -618,7 +618,7 @@ def subnetwork_stats(w: Workspace) -> DataFrame:
 
 @query
 def subnetwork_lookup(w: Workspace) -> DataFrame:
-    return addresses.lookup(w.txn_summary, 0).select("subnetwork_id", "txn_id", "investigation_order", F.format_number("in_BTC_total", 2).alias("in_BTC_text"), "n_inputs", "n_outputs")
+    return w.summary_table.lookup("subnetwork_id", 0).orderBy("investigation_order", "txn_id").select("subnetwork_id", "txn_id", "investigation_order", F.format_number("in_BTC_total", 2).alias("in_BTC_text"), "n_inputs", "n_outputs")
 
 
 @query

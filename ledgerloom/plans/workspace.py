@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import argparse
+import hashlib
+import json
+import posixpath
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import addresses, features, models, ranking, reports, subnetworks
 from ..sources import tables
 from ..sources.tables import saved, stored
+from ..sources.versions import VersionedTable
 
 
 @dataclass(frozen=True)
@@ -160,6 +166,13 @@ class Workspace:
     def txn_addr(self) -> DataFrame:
         return tables.txn_addr(self.spark, self.dir)
 
+    @cached_property
+    def summary_table(self) -> VersionedTable:
+        """The summary as a stored table that rows of a subnetwork are looked up in."""
+        table = VersionedTable(self.spark, posixpath.join(tables.shared_folder(self.spark), f"summary-{uuid.uuid4().hex}"), ["subnetwork_id"])
+        table.replace(self.txn_summary)
+        return table
+
     @cached_property
     def txn_summary(self) -> DataFrame:
         return addresses.txn_summary(self.ranked, self.addr_txn, self.txn_addr, self.s.join_text)
@@ -183,18 +196,116 @@ def forget() -> None:
     _last = None
 
 
-def run_batch(spark: SparkSession, sf_dir: str, out: str, settings: Settings | None = None, dry_run: bool = False, bundle: models.Bundle | str | None = None, write_pagerank: bool = True) -> dict[str, DataFrame]:
+#: The steps of the batch in order: the settings that each follows, and its tables with the workspace's steps behind them.
+STEPS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
+    "classify": (("threshold",), {"df_txn_pred": "predictions"}),
+    "subnetwork": (("label_col", "max_hops", "min_shared_nodes"), {"df_nw_txn_final": "nodes_final", "df_network_edges": "edges_final", "network_summary": "summary"}),
+    "rank": (("alpha", "max_iter", "tol", "weights", "invert_out_degree", "complete_missing"), {"df_rank_composite": "composite", "df_rank_pr": "pagerank"}),
+    "summary": (("join_text",), {"df_subnetwork_summary": "txn_summary"}),
+}
+
+
+class Batch:
+    """The batch run into a folder. All state passes between steps through the tables there; a record beside them says what each step was made from: the
+    input tables' state, the settings it follows, the model, and the record of the step before."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, out: str, settings: Settings | None = None, bundle: models.Bundle | str | None = None, write_pagerank: bool = True):
+        self.spark, self.out, self.write_pagerank = spark, out, write_pagerank
+        self.model = bundle if isinstance(bundle, str) else None if bundle is None else [bundle.name, bundle.threshold, bundle.columns, str(bundle.model.uid)]
+        self.w = Workspace(spark, sf_dir, settings, models.Bundle.load(spark, bundle) if isinstance(bundle, str) else bundle)
+        self.found = {t: str(s) for t, s in (("input", tables.state(spark, sf_dir)), ("model", tables.state(spark, bundle) if isinstance(bundle, str) else self.model))}
+
+    def _tables(self, step: str) -> dict[str, str]:
+        return {t: p for t, p in STEPS[step][1].items() if self.write_pagerank or t != "df_rank_pr"}
+
+    def key(self, step: str) -> str:
+        """What the step is made from, as one hash."""
+        names, before = list(STEPS), ""
+        for name in names[: names.index(step) + 1]:
+            chosen = {k: getattr(self.w.s, k) for k in STEPS[name][0]}
+            before = hashlib.sha256(json.dumps([before, self.found, chosen, sorted(self._tables(name))], sort_keys=True).encode()).hexdigest()
+        return before
+
+    def _record(self, step: str) -> str:
+        return f"{self.out}/_steps/{step}"
+
+    def done(self, step: str) -> bool:
+        """Whether the step's tables in the folder are those that it would make now."""
+        path = self.w.spark._jvm.org.apache.hadoop.fs.Path(self._record(step))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+        return self.spark.read.text(self._record(step), wholetext=True).first()[0].strip() == self.key(step)
+
+    def load(self, step: str) -> None:
+        """Lets later steps read the step's tables from the folder."""
+        for table, name in self._tables(step).items():
+            self.w.__dict__[name] = self.spark.read.parquet(f"{self.out}/{table}")
+
+    def run(self, step: str) -> dict[str, DataFrame]:
+        """Makes and writes the step's tables, from those that the steps before it have left in the folder, and records it. Without a seed only the first step writes."""
+        names = list(STEPS)
+        for before in names[: names.index(step)]:
+            self.load(before)
+        if step != "classify" and not self.w.seeds.take(1):
+            return {}
+        for table, name in self._tables(step).items():
+            tables.write_table(getattr(self.w, name), f"{self.out}/{table}")
+        self._mark(step)
+        self.load(step)
+        return {t: self.w.__dict__[n] for t, n in self._tables(step).items()}
+
+    def _mark(self, step: str) -> None:
+        path = self.w.spark._jvm.org.apache.hadoop.fs.Path(self._record(step))
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(self.key(step).encode())
+        out.close()
+
+
+def run_batch(spark: SparkSession, sf_dir: str, out: str, settings: Settings | None = None, dry_run: bool = False, bundle: models.Bundle | str | None = None, write_pagerank: bool = True, resume: bool = False) -> dict[str, DataFrame]:
     """The whole batch: classify (with bundle, a fitted model or the folder it was saved in), grow and merge subnetworks, rank, summarise. Each table
     is written below out unless dry_run; df_rank_pr only with write_pagerank. A run without seeds writes its predictions only and leaves
-    older tables as they are."""
-    if isinstance(bundle, str):
-        bundle = models.Bundle.load(spark, bundle)
-    w = Workspace(spark, sf_dir, settings, bundle)
-    result = {"df_txn_pred": w.predictions}
-    if w.seeds.take(1):
-        result |= {"df_nw_txn_final": w.nodes_final, "df_network_edges": w.edges_final, "network_summary": w.summary, "df_rank_composite": w.composite, "df_subnetwork_summary": w.txn_summary}
-        if write_pagerank:
-            result["df_rank_pr"] = w.pagerank
-    for name, df in result.items():
-        tables.write_table(df, f"{out}/{name}", dry_run=dry_run)
+    older tables as they are. resume: steps whose tables in out were made from the same tables, settings and model are read instead of made anew."""
+    b = Batch(spark, sf_dir, out, settings, bundle, write_pagerank)
+    result: dict[str, DataFrame] = {}
+    for step in STEPS:
+        if step != "classify" and not b.w.seeds.take(1):
+            break
+        if dry_run:
+            result |= {t: getattr(b.w, n) for t, n in b._tables(step).items()}
+        elif resume and b.done(step):
+            b.load(step)
+            result |= {t: b.w.__dict__[n] for t, n in b._tables(step).items()}
+        else:
+            result |= b.run(step)
     return result
+
+
+def main(argv: list[str] | None = None) -> None:
+    """A step of the batch, or all of them, from the command line: python -m ledgerloom.plans.workspace --input DIR --out DIR [--step rank] [--set alpha=0.9]..."""
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("--input", required=True)
+    parser.add_argument("--out", required=True)
+    parser.add_argument("--step", choices=list(STEPS))
+    parser.add_argument("--model", help="folder of a saved model")
+    parser.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="a setting, its value as JSON or plain text")
+    parser.add_argument("--dry-run", action="store_true")
+    parser.add_argument("--resume", action="store_true")
+    parser.add_argument("--no-pagerank", action="store_true")
+    a = parser.parse_args(argv)
+    chosen = {}
+    for name, _, value in (x.partition("=") for x in a.set):
+        if name not in Settings.__dataclass_fields__:
+            parser.error(f"no setting {name}")
+        try:
+            chosen[name] = json.loads(value)
+        except ValueError:
+            chosen[name] = value
+    spark = SparkSession.builder.getOrCreate()
+    if a.step and not a.dry_run:
+        Batch(spark, a.input, a.out, Settings(**chosen), a.model, not a.no_pagerank).run(a.step)
+    else:
+        run_batch(spark, a.input, a.out, Settings(**chosen), a.dry_run, a.model, not a.no_pagerank, a.resume)
+
+
+if __name__ == "__main__":
+    main()

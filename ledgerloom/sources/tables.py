@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,28 @@ def query(spark: SparkSession, sql: str, params: dict | None = None, **tables: D
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = True, dry_run: bool = False) -> DataFrame:
-    """Overwrites or appends to a Parquet table, or with dry_run only returns df."""
-    if not dry_run:
-        df.write.mode("overwrite" if overwrite else "append").parquet(path)
+    """Overwrites or appends to a Parquet table, or with dry_run only returns df. What overwrites is written beside the table first and then takes its place, so
+    a write that fails leaves the table as it was, and df may read the table that it overwrites."""
+    if dry_run:
+        return df
+    if not overwrite:
+        df.write.mode("append").parquet(path)
+        return df
+    spark = df.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    fs, new, old = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at(f"{beside}.new"), at(f"{beside}.old")
+    try:
+        df.write.parquet(f"{beside}.new")
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    if fs.exists(at(path)):
+        fs.rename(at(path), old)
+    if not fs.rename(new, at(path)):
+        fs.rename(old, at(path))
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(old, True)
     return df
 
 
