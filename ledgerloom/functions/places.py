@@ -125,3 +125,17 @@ def with_dense_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, tuple
     with_pct_ranks."""
     windows = {out: dense_rank_known(F.col(value), keys, ascending) for out, (value, ascending) in values.items()}
     return _ranked(df, keys, large, lambda d: d.withColumns(windows), lambda d: _dense_by_ranges(d, keys, values))
+
+
+def with_places(df: DataFrame, keys: Sequence[str], by: Sequence[str | Column], out: str, large: DataFrame | None = None) -> DataFrame:
+    """df with each row's place in its group, from 0, in the order of by. Large groups (see large_groups) are numbered by ranges."""
+
+    def in_window(d: DataFrame) -> DataFrame:
+        return d.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1).cast("long"))
+
+    def by_ranges(d: DataFrame) -> DataFrame:
+        placed = numbered(d, [*keys, *by], "_at")
+        first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+        return placed.join(F.broadcast(first), [*keys]).withColumn(out, F.col("_at") - F.col("_first")).select(*d.columns, out)
+
+    return _ranked(df, keys, large, in_window, by_ranges)

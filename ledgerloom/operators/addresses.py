@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_address_list
+from ..functions.places import GROUP_ROWS, large_groups, with_places
+from ..sources.tables import saved
 from .ranking import GROUP
 
 
@@ -28,10 +30,11 @@ def seed_txns(edges: DataFrame) -> DataFrame:
     return a.union(edges.where("min_dst_hop = 0").select(GROUP, F.col("dst_txn_id").alias("node"))).distinct()
 
 
-def address_metrics(ranks: DataFrame, edges: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, agg: str = "sum", low: float = 100.0, high: float = 900.0, top_n: int = 10, other: float = 60.0, uniform: bool = False) -> DataFrame:
+def address_metrics(ranks: DataFrame, edges: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, agg: str = "sum", low: float = 100.0, high: float = 900.0, top_n: int = 10, other: float = 60.0, uniform: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Of each address of a group's projection: final_rank (least composite rank of its transactions), is_seed, pagerank (sum, mean or max over
     its transactions), strength (weighted in- and out-degree), size: scaled pagerank for the group's top_n addresses, other for the rest. Ranks
-    without a pagerank column are sized by strength; uniform gives every address the size other."""
+    without a pagerank column are sized by strength; uniform gives every address the size other. Groups of more than group_rows addresses are
+    ordered by ranges."""
     txns = addr_txn.select(F.col("input_address").alias("address"), "txId").union(txn_addr.select(F.col("output_address").alias("address"), "txId")).distinct()
     known = "pagerank" in ranks.columns
     r = ranks.select(GROUP, F.col("node").alias("txId"), "composite_rank", (F.round("pagerank", 9) if known else F.lit(None).cast("double")).alias("pagerank"))
@@ -44,8 +47,12 @@ def address_metrics(ranks: DataFrame, edges: DataFrame, addr_txn: DataFrame, txn
     by = "pagerank" if known else "strength"
     if uniform:
         return out.withColumn("size", F.lit(float(other)))
-    place = F.row_number().over(Window.partitionBy(GROUP).orderBy(F.desc(by), "address"))
-    return out.withColumn("scaled", scaled(by, low, high)).withColumn("size", F.when(place <= top_n, F.col("scaled")).otherwise(other)).drop("scaled")
+    out = saved(out)
+    v = F.coalesce(F.col(by).cast("double"), F.lit(0.0))
+    ends = out.groupBy(GROUP).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    placed = with_places(out, [GROUP], [F.desc(by), F.asc("address")], "_place", large_groups(out, [GROUP], group_rows)).join(ends, GROUP)
+    size = F.coalesce(low + (v - F.col("_low")) * (high - low) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit((low + high) / 2))
+    return placed.withColumn("size", F.when(F.col("_place") < top_n, size).otherwise(other)).select(*out.columns, "size")
 
 
 def txn_summary(ranks: DataFrame, addr_txn: DataFrame, txn_addr: DataFrame, join_text: bool = True, sep: str = "; ") -> DataFrame:

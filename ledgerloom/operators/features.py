@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
-from ..functions.places import quantiles, running_total, with_global_pct_rank
+from ..functions.places import numbered, quantiles, running_total, with_global_pct_rank
 from ..sources.tables import ILLICIT, LICIT, saved
 
 HIGH_FEE_QUANTILE, MICRO_TXN = 0.95, 0.001
@@ -97,11 +97,8 @@ def fold_windows(n: int, size: int, folds: int, offsets: Sequence[int] | None =
 
 
 def with_time_order(df: DataFrame, time_col: str = "time_step", id_col: str = "txId") -> DataFrame:
-    """_place: rows counted from 0 by time and id. Counting by time step first keeps a single task to one row for each step."""
-    steps = df.groupBy(time_col).agg(F.count("*").alias("_n"))
-    before = steps.select(F.col(time_col).alias("_t"), F.coalesce(F.sum("_n").over(Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = df.join(before, df[time_col] == before["_t"]).withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy(time_col).orderBy(id_col)) - 1)
-    return placed.drop("_t", "_before")
+    """_place: rows counted from 0 by time and id, by ranges of that order."""
+    return numbered(df, [time_col, id_col], "_place")
 
 
 def take_folds(df: DataFrame, windows: Sequence[tuple[int, int]], time_col: str = "time_step") -> DataFrame:

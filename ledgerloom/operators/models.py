@@ -176,7 +176,7 @@ def tuning_report(spark: SparkSession, records: Sequence[dict], params: Sequence
 
 
 def permutation_importance(bundle: Bundle, df: DataFrame, repeats: int = 10, seed: int = 42, metric: str = "f1") -> DataFrame:
-    """feature, importance (mean loss of the metric when the column is shuffled), importance_std, importance_index (0 to 100) and rank.
+    """feature, importance (mean loss of the metric, one of reports.metrics or roc_auc, when the column is shuffled), importance_std, importance_index (0 to 100) and rank.
 
     One plan scores all columns and repeats. A repeat orders the rows at random (by seeded hash) and pairs each row with the one at its place in
     that order; each column in turn then takes the paired row's value. So rows are shuffled once a repeat, not once a column."""
@@ -189,8 +189,16 @@ def permutation_importance(bundle: Bundle, df: DataFrame, repeats: int = 10, see
     pairs = many.join(drawn, ["_r", "_place"])
     pairs = pairs.select("_r", F.explode(F.sequence(F.lit(-1), F.lit(len(bundle.columns) - 1))).alias("_c"), "*")
     swapped = pairs.select("_r", "_c", "class", *(F.when(F.col("_c") == i, F.col(f"_other.v{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(bundle.columns)))
-    counts = score(bundle, swapped).groupBy("_r", "_c").agg(*(v.alias(k) for k, v in reports.confusion(F.col("class"), F.col("pred_class")).items()))
-    got = counts.select("_r", "_c", reports.metrics(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn"))[metric].alias("m")).collect()  # a row for each column and repeat
+    scored = score(bundle, swapped)
+    if metric == "roc_auc":
+        values = reports.auc(scored.select("_r", "_c", "class", "pred_proba"), ["_r", "_c"]).select("_r", "_c", F.col("auc").alias("m"))
+    else:
+        counts = scored.groupBy("_r", "_c").agg(*(v.alias(k) for k, v in reports.confusion(F.col("class"), F.col("pred_class")).items()))
+        known = reports.metrics(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn"))
+        if metric not in known:
+            raise ValueError(f"metric is one of {sorted([*known, 'roc_auc'])}")
+        values = counts.select("_r", "_c", known[metric].alias("m"))
+    got = values.collect()  # a row for each column and repeat
     whole = {r["_r"]: r.m for r in got if r["_c"] < 0}
     losses = {c: [(whole[r["_r"]] or 0.0) - (r.m or 0.0) for r in got if r["_c"] == i] for i, c in enumerate(bundle.columns)}
     mean = {c: sum(x) / len(x) if x else 0.0 for c, x in losses.items()}

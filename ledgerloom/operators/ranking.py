@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import require_columns
-from ..functions.places import GROUP_ROWS, large_groups, with_dense_ranks, with_pct_ranks
+from ..functions.places import GROUP_ROWS, large_groups, running_total, with_dense_ranks, with_pct_ranks, with_places
 from ..sources.tables import saved
 
 GROUP = "merged_subnetwork_id"
@@ -96,7 +96,7 @@ def pagerank(edges: DataFrame, weight: str | None = None, alpha: float = 0.85, m
 def complete_pagerank(pr: DataFrame, nodes: DataFrame) -> DataFrame:
     """(group, node, pagerank) of every node of the groups; one without a value gets 1 over its group's size."""
     n = nodes.select(GROUP, F.col("txn_id").alias("node")).distinct()
-    sized = n.withColumn("_n", F.count("*").over(Window.partitionBy(GROUP)))
+    sized = n.join(n.groupBy(GROUP).agg(F.count("*").alias("_n")), GROUP)
     return sized.join(pr.select(GROUP, "node", "pagerank"), [GROUP, "node"], "left").select(GROUP, "node", F.coalesce("pagerank", 1 / F.col("_n")).alias("pagerank"))
 
 
@@ -498,24 +498,42 @@ WEIGHT_SETS = {
 }
 
 
-def compare_weights(scored: DataFrame, sets: dict | None = None, top_frac: float = 0.10, min_nodes: int = 5, details: bool = False) -> DataFrame:
+def _medians(df: DataFrame, keys: list[str], value: str, out: str, large: DataFrame | None) -> DataFrame:
+    """(keys, out): the median of value, nulls left out, from the one or two rows in the middle of each group's order."""
+    held = saved(df.where(F.col(value).isNotNull()).select(*keys, value))
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("_m"))
+    placed = with_places(held, keys, [value], "_at", large).join(sizes, keys)
+    middle = (F.col("_at") == F.floor((F.col("_m") - 1) / 2)) | (F.col("_at") == F.floor(F.col("_m") / 2))
+    return placed.where(middle).groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))
+
+
+def compare_weights(scored: DataFrame, sets: dict | None = None, top_frac: float = 0.10, min_nodes: int = 5, details: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """For each weight set: in the groups of at least min_nodes, the share of value held by the top ceil(top_frac * n) nodes, and their median
     pagerank percentile; medians over groups, best first by the latter. scored: a composite frame; the weight sets are a small
-    literal table, and all are ranked in one plan."""
+    literal table, and all are ranked in one plan. Groups of more than group_rows nodes are ordered by ranges, so no task holds one."""
     sets = sets or WEIGHT_SETS
+    keys = ["set_no", GROUP]
     table = scored.sparkSession.createDataFrame([(i, k, *(float(v[x]) for x in ("pr", "val", "in", "out"))) for i, (k, v) in enumerate(sets.items())], "set_no int, name string, w1 double, w2 double, w3 double, w4 double")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    rows = scored.withColumn("_n", F.count("*").over(Window.partitionBy(GROUP))).where(F.col("_n") >= min_nodes).crossJoin(F.broadcast(table))
+    sizes = saved(scored.groupBy(GROUP).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_nodes))
+    over = sizes.where(F.col("_n") > group_rows).select(GROUP)
+    large = over.crossJoin(table.select("set_no")).select(*keys) if over.take(1) else None
     raw = F.round(F.col("w1") * zero("pagerank_pct") + F.col("w2") * zero("in_btc_pct") + F.col("w3") * zero("in_deg_pct") + F.col("w4") * zero("out_deg_pct_inv"), 9)
-    rows = rows.withColumn("_raw", raw)
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("set_no", GROUP).orderBy(F.desc("_raw"), "node")))
-    top = F.col("_place") <= F.greatest(F.lit(1), F.ceil(F.lit(top_frac) * F.col("_n")))
-    value = F.round(F.col("in_BTC_total") * 100).cast("long")
-    per = rows.groupBy("set_no", "name", GROUP).agg(F.sum(F.when(top, value).otherwise(0)).alias("_t"), F.sum(value).alias("_s"), (F.median(F.when(top, zero("pagerank_pct"))) * 100).alias("pr_percentile_med"))
-    per = per.select("set_no", "name", GROUP, F.when(F.col("_s") > 0, F.col("_t") / F.col("_s")).otherwise(0.0).alias("btc_share"), "pr_percentile_med")
+    rows = scored.join(sizes, GROUP).crossJoin(F.broadcast(table)).withColumn("_raw", raw)
+    rows = rows.select(*keys, "node", "_raw", "_n", F.round(F.col("in_BTC_total") * 100).cast("long").alias("_value"), zero("pagerank_pct").alias("_pct"))
+    placed = saved(with_places(rows, keys, [F.desc("_raw"), F.asc("node")], "_place", large))
+    top = F.col("_place") < F.greatest(F.lit(1), F.ceil(F.lit(top_frac) * F.col("_n")))
+    shares = placed.groupBy(*keys).agg(F.sum(F.when(top, F.col("_value")).otherwise(0)).alias("_t"), F.sum("_value").alias("_s"))
+    middles = _medians(placed.where(top), keys, "_pct", "_med", large)
+    per = shares.join(middles, keys, "left").join(F.broadcast(table.select("set_no", "name")), "set_no")
+    per = per.select("set_no", "name", GROUP, F.when(F.col("_s") > 0, F.col("_t") / F.col("_s")).otherwise(0.0).alias("btc_share"), (F.col("_med") * 100).alias("pr_percentile_med"))
     if details:
         return per
-    return per.groupBy("set_no", "name").agg(F.median("btc_share").alias("median_btc_share"), F.median("pr_percentile_med").alias("median_pr_percentile"), F.count("*").alias("groups")).orderBy(F.desc("median_pr_percentile"), "set_no")
+    per = saved(per)
+    by_set = table.select("set_no") if sizes.where("true").count() > group_rows else None
+    both = _medians(per, ["set_no"], "btc_share", "median_btc_share", by_set).join(_medians(per, ["set_no"], "pr_percentile_med", "median_pr_percentile", by_set), "set_no")
+    out = per.groupBy("set_no", "name").agg(F.count("*").alias("groups")).join(both, "set_no")
+    return out.select("set_no", "name", "median_btc_share", "median_pr_percentile", "groups").orderBy(F.desc("median_pr_percentile"), "set_no")
 
 
 def _tau(x: np.ndarray, y: np.ndarray) -> float:
@@ -544,7 +562,7 @@ def _tau(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _kendall(whole: DataFrame, keys: list[str], group_rows: int) -> DataFrame:
-    """(keys, corr). Groups of up to group_rows rows are each merged in one task; larger ones compare pairs of distinct (x, y) with their counts."""
+    """(keys, corr). Groups of up to group_rows rows are each merged in one task; larger ones are counted by ranges."""
     large = large_groups(whole, keys, group_rows)
     types = ", ".join(f"{k} {whole.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -555,11 +573,32 @@ def _kendall(whole: DataFrame, keys: list[str], group_rows: int) -> DataFrame:
     out = small.select(*keys, "x", "y").groupBy(*keys).applyInPandas(run, f"{types}, corr double").withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
     if large is None:
         return out
-    per = saved(whole.join(F.broadcast(large), keys, "left_semi").groupBy(*keys, "x", "y").agg(F.count("*").cast("double").alias("n")))
-    a, b = per.alias("a"), per.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    two = a.join(b, [*same, F.struct("a.x", "a.y") < F.struct("b.x", "b.y")]).select(*(F.col(f"a.{k}") for k in keys), (F.col("a.n") * F.col("b.n")).alias("n"), F.signum(F.col("a.x") - F.col("b.x")).alias("dx"), F.signum(F.col("a.y") - F.col("b.y")).alias("dy"))
-    return out.unionByName(two.groupBy(*keys).agg(F.try_divide(F.sum(F.expr("n * dx * dy")), F.sqrt(F.sum(F.expr("n * abs(dx)")) * F.sum(F.expr("n * abs(dy)")))).alias("corr")))
+    per = saved(whole.join(F.broadcast(large), keys, "left_semi").groupBy(*keys, "x", "y").agg(F.count("*").alias("n")))
+    return out.unionByName(_kendall_by_ranges(per, keys, large))
+
+
+def _kendall_by_ranges(per: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """(keys, corr) of counted pairs (keys, x, y, n). Pairs of rows that x and y order differently are counted as a merge sort of y meets them: on each level the
+    rows whose ranks in y agree but for the last bits form a block, and its rows of the lower half are met by those of the upper half that come before them
+    in x. All levels are rows of one table, whose running sums are taken by ranges; so it is n log n, and no task sees a group."""
+    ranked = saved(with_dense_ranks(per, keys, {"_r": ("y", True)}, large).select(*keys, "x", "y", "n", F.col("_r").cast("long").alias("_r")))
+    levels = int(ranked.agg(F.max("_r")).first()[0] or 0).bit_length()
+    cells = ranked.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(max(0, levels - 1)))))
+    cells = cells.withColumn("_block", F.expr("shiftright(_r, _level + 1)")).withColumn("_upper", F.expr("shiftright(_r, _level) & 1"))
+    at = [*keys, "_level", "_block"]
+    halves = cells.groupBy(*at, "x").agg(F.sum(F.col("n") * F.col("_upper")).alias("_ones"), F.sum(F.col("n") * (1 - F.col("_upper"))).alias("_zeros"))
+    whole = lambda c: c.cast("decimal(19,0)")
+    before = F.col("_upto") - F.col("_ones")
+    met = running_total(halves, [*at, "x"], F.col("_ones"), "_upto").groupBy(*at).agg((F.sum(whole(F.col("_zeros")) * whole(before)).cast("double") - F.min(before).cast("double") * F.sum("_zeros")).alias("_d"))
+    against = met.groupBy(*keys).agg(F.sum("_d").alias("_d"))
+    pairs = lambda c: (F.col(c) * (F.col(c) - 1)).cast("double") / 2
+
+    def tied(by: list[str], out: str) -> DataFrame:
+        return per.groupBy(*keys, *by).agg(F.sum("n").alias("_c")).groupBy(*keys).agg(F.sum(pairs("_c")).alias(out))
+
+    sums = tied([], "_all").join(tied(["x"], "_x"), keys).join(tied(["y"], "_y"), keys).join(tied(["x", "y"], "_xy"), keys).join(against, keys)
+    top = F.col("_all") - F.col("_x") - F.col("_y") + F.col("_xy") - 2 * F.col("_d")
+    return sums.select(*keys, F.try_divide(top, F.sqrt((F.col("_all") - F.col("_x")) * (F.col("_all") - F.col("_y")))).alias("corr"))
 
 
 def rank_correlations(ranks: DataFrame, columns: Sequence[str], method: str = "spearman", min_nodes: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:

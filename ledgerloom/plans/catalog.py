@@ -700,6 +700,13 @@ def perm_importance(w: Workspace) -> DataFrame:
     return rounded(models.importance_ranks(models.permutation_importance(bundle, _training(w)), models.model_importance(bundle, w.spark)))
 
 
+@query
+def perm_importance_auc(w: Workspace) -> DataFrame:
+    """By the area under the curve, of the plain logistic regression."""
+    bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(), threshold=0.5)
+    return rounded(models.permutation_importance(bundle, _training(w), metric="roc_auc"))
+
+
 @query
 def coef_importance(w: Workspace) -> DataFrame:
     bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(weighted=True), threshold=0.5)

@@ -10,8 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
 
@@ -63,18 +62,17 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """The steps of a loop. Each save is one job; those that the loop needs no longer are deleted by keep."""
+    """The steps of a loop. Those that the loop needs no longer are deleted by keep."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def save(self, df: DataFrame, counted: str | None = None) -> tuple[DataFrame, int]:
-        """df saved, and for how many of its rows the condition counted holds, which is found out in passing."""
+        """df saved, and for how many of its rows the condition counted holds."""
         path = posixpath.join(_home(self.spark), uuid.uuid4().hex)
-        watch = Observation() if counted else None
-        out = _written(df.observe(watch, F.count_if(F.expr(counted)).alias("n")) if watch else df, path)
+        out = _written(df, path)
         self.paths[id(out)] = (out, path)
-        return out, watch.get["n"] if watch else 0
+        return out, out.where(counted).count() if counted else 0
 
     def keep(self, *tables: DataFrame) -> None:
         """Deletes the steps of this loop but for tables."""
@@ -84,12 +82,14 @@ class Rounds:
 
 @contextmanager
 def whole_jobs(spark: SparkSession) -> Iterator[None]:
-    """Inside, an action is one job. Adaptive execution would run each of its shuffles as a job of its own, which costs more than it gains where many
-    small rounds follow each other; it is set back afterwards."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    """Inside, an action is one job. Adaptive execution runs each shuffle, and a join each broadcast, as a job of its own, which costs more than it gains
+    where many small rounds follow each other; both settings are set back afterwards."""
+    inside = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in inside}
+    for key, value in inside.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

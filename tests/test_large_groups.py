@@ -1,11 +1,13 @@
 """Groups of any size get their matrix metrics."""
 
+import math
 import random
+import statistics
 
 import numpy as np
 import pytest
 
-from ledgerloom.operators import ranking
+from ledgerloom.operators import models, ranking
 
 NAMES = ["hub", "authority", "eigenvector", "katz", "coreness"]
 
@@ -46,3 +48,49 @@ def test_groups_that_are_not_gathered_get_the_same(spark):
     plain = lambda df: {(r.merged_subnetwork_id, r.node): [r[k] for k in NAMES] for r in df.collect()}
     near, far = plain(ranking.matrix_metrics(e, NAMES)), plain(ranking.matrix_metrics(e, NAMES, group_edges=5))
     assert near.keys() == far.keys() and all(far[k] == pytest.approx(near[k], abs=1e-9) for k in near)
+
+
+def close(a, b):
+    return a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_weights_of_groups_in_windows_and_by_ranges(spark):
+    rng = random.Random(11)
+    rows = [(g, i, rng.randrange(50) / 4, *(rng.choice((None, rng.randrange(20) / 20)) for _ in range(2)), rng.random(), rng.random()) for g, n in ((1, 40), (2, 7), (3, 3), (4, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "merged_subnetwork_id long, node long, in_BTC_total double, pagerank_pct double, in_btc_pct double, in_deg_pct double, out_deg_pct_inv double").repartition(3)
+    sets = {"a": {"pr": 0.6, "val": 0.3, "in": 0.07, "out": 0.03}, "b": {"pr": 0.1, "val": 0.8, "in": 0.1, "out": 0.0}}
+
+    def plain(weights):
+        out = {}
+        for g in (1, 2, 4):
+            own = [r for r in rows if r[0] == g]
+            raw = lambda r: round(weights["pr"] * (r[3] or 0) + weights["val"] * (r[4] or 0) + weights["in"] * r[5] + weights["out"] * r[6], 9)
+            own.sort(key=lambda r: (-raw(r), r[1]))
+            top = own[: max(1, math.ceil(0.2 * len(own)))]
+            out[g] = (sum(round(r[2] * 100) for r in top) / sum(round(r[2] * 100) for r in own), statistics.median(r[3] or 0.0 for r in top) * 100)
+        return out
+
+    for limit in (2_000_000, 5):
+        got = ranking.compare_weights(df, sets, 0.2, 5, details=True, group_rows=limit).collect()
+        for name, weights in sets.items():
+            assert close({r["merged_subnetwork_id"]: (r.btc_share, r.pr_percentile_med) for r in got if r["name"] == name}, plain(weights))
+        whole = {r["name"]: (r.median_btc_share, r.median_pr_percentile, r.groups) for r in ranking.compare_weights(df, sets, 0.2, 5, group_rows=limit).collect()}
+        assert close(whole, {k: (statistics.median(x for x, _ in plain(w).values()), statistics.median(x for _, x in plain(w).values()), 3) for k, w in sets.items()})
+
+
+def test_kendall_of_large_groups_makes_no_pairs(spark):
+    rng = random.Random(12)
+    rows = [(1, i, rng.randrange(1000), rng.randrange(900)) for i in range(3000)] + [(2, i, i % 4, 7) for i in range(40)] + [(3, i, i, -i) for i in range(30)]
+    df = spark.createDataFrame(rows, "merged_subnetwork_id long, node long, a long, b long")
+    small, large = ({r["merged_subnetwork_id"]: r["corr"] for r in ranking.rank_correlations(df, ["a", "b"], "kendall", 5, limit).where("metric_a = 'a' and metric_b = 'b'").collect()} for limit in (2_000_000, 10))
+    assert large[2] is None and small[2] is None and large[3] == pytest.approx(-1.0)
+    assert large[1] == pytest.approx(small[1], abs=1e-12)
+
+
+def test_importance_by_area(spark):
+    rows = spark.createDataFrame([(i, i // 10, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)], "txId long, time_step long, x double, noise double, class int")
+    bundle = models.fit(rows, ["x", "noise"], models.logistic(50), threshold=0.5)
+    got = {r.feature: r.importance for r in models.permutation_importance(bundle, rows, repeats=3, metric="roc_auc").collect()}
+    assert 0.3 < got["x"] < 0.7 and abs(got["noise"]) < 0.1
+    with pytest.raises(ValueError):
+        models.permutation_importance(bundle, rows, repeats=1, metric="nothing")
