@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -126,38 +129,132 @@ def best_bundle(evaluation: DataFrame, bundles: Sequence[Bundle]) -> Bundle:
     return bundles[reports.best_folds(evaluation, 1).first()["fold"] - 1]
 
 
-def successive_halving(df: DataFrame, columns: Sequence[str], grid: Sequence[dict], make, resources: Sequence[int], factor: int = 3, splits: int = 3, seed: int = 42) -> list[dict]:
-    """Successive halving over parameter sets: all at the least resource (trees or iterations), the best 1/factor of them at the next, and so on.
-    Quality is recall on the next time block, averaged over growing training blocks. Returns a record for each candidate and round, with its
-    mean, deviation and each split's recall. The loop is over fits, each a distributed job; the blocks are written once."""
+def _time_blocks(df: DataFrame, splits: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(growing training block, the time block after it) for each split; the rows in time order are written once."""
     placed = saved(numbered(df, ["time_step", "txId"], "_place"))
     n = placed.count()
-    rng, alive, records = random.Random(seed), list(range(len(grid))), []
-    rng.shuffle(alive)
+    ends = [n * i // (splits + 1) for i in range(1, splits + 2)]
+    return [(placed.where(F.col("_place") < a), placed.where((F.col("_place") >= a) & (F.col("_place") < b))) for a, b in zip(ends, ends[1:])]
+
+
+def _halved(grid: Sequence[dict], resources: Sequence[int], factor: int, recalls_of) -> list[dict]:
+    """The rounds of successive halving: recalls_of(resource, candidates) gives each candidate's recalls, and the best of them, one in factor rounded
+    up, enter the next round; of equal ones the least. A record for each candidate and round, with its mean, deviation and recalls."""
+    alive, records = list(range(len(grid))), []
     for round_no, resource in enumerate(resources):
+        found = recalls_of(resource, alive)
         for k in alive:
-            recalls = []
-            for i in range(1, splits + 1):
-                a, b = n * i // (splits + 1), n * (i + 1) // (splits + 1)
-                bundle = fit(placed.where(F.col("_place") < a), columns, make(resource, **grid[k]), threshold=0.5)
-                got = score(bundle, placed.where((F.col("_place") >= a) & (F.col("_place") < b))).agg(safe_div(F.count_if(F.expr("class = 1 and pred_class = 1")), F.count_if(F.expr("class = 1"))).alias("r")).first()
-                recalls.append(got.r or 0.0)
-            mean = sum(recalls) / len(recalls)
-            records.append({"round": round_no, "resource": resource, "candidate": k, "recall": mean, "recall_std": (sum((r - mean) ** 2 for r in recalls) / len(recalls)) ** 0.5, "splits": recalls, **grid[k]})
+            mean = sum(found[k]) / len(found[k])
+            std = (sum((r - mean) ** 2 for r in found[k]) / len(found[k])) ** 0.5
+            records.append({"round": round_no, "resource": resource, "candidate": k, "recall": mean, "recall_std": std, "splits": found[k], **grid[k]})
         ranked = sorted((r for r in records if r["round"] == round_no), key=lambda r: (-r["recall"], r["candidate"]))
-        alive = [r["candidate"] for r in ranked[: max(1, len(alive) // factor)]]
+        alive = [r["candidate"] for r in ranked[: math.ceil(len(alive) / factor)]]
     return records
 
 
+def successive_halving(df: DataFrame, columns: Sequence[str], grid: Sequence[dict], make, resources: Sequence[int], factor: int = 3, splits: int = 3) -> list[dict]:
+    """Successive halving over parameter sets: all at the least resource (iterations), the best 1/factor of them at the next, and so on (_halved).
+    Quality is recall on the next time block, averaged over growing training blocks. The loop is over fits, each a distributed job."""
+    blocks = _time_blocks(df, splits)
+
+    def recall(resource: int, k: int, train: DataFrame, after: DataFrame) -> float:
+        bundle = fit(train, columns, make(resource, **grid[k]), threshold=0.5)
+        return score(bundle, after).agg(safe_div(F.count_if(F.expr("class = 1 and pred_class = 1")), F.count_if(F.expr("class = 1"))).alias("r")).first().r or 0.0
+
+    return _halved(grid, resources, factor, lambda resource, alive: {k: [recall(resource, k, *b) for b in blocks] for k in alive})
+
+
+#: Levels that a Spark forest can have at most; deeper limits, and none, mean this one.
+DEEPEST = 30
+
+
+def forest_draws(n: int, seed: int = 42) -> list[dict]:
+    """n random parameter sets of a forest: max_depth (None: no limit), min_samples_split, min_samples_leaf, max_features and class_weight."""
+    # The ranges that the parameters are drawn from.
+    depths, features, weights = [None, 12, 16, 20, 24, 28, 32, 36], ["sqrt", "log2", None], ["balanced", "balanced_subsample"]
+    rng = random.Random(seed)
+    return [{"max_depth": rng.choice(depths), "min_samples_split": rng.randrange(2, 20), "min_samples_leaf": rng.randrange(1, 20), "max_features": rng.choice(features), "class_weight": rng.choice(weights)} for _ in range(n)]
+
+
+def drawn_forest(trees: int, seed: int, max_depth: int | None, min_samples_split: int, min_samples_leaf: int, max_features: str | None, class_weight: str) -> RandomForestClassifier:
+    """The forest of a parameter set. Spark bounds the rows of a child, not of a node to split: min_samples_split asks for children of half as many, which
+    is stricter. Both kinds of class weight are the training rows' own; Spark draws the trees' samples inside the fit."""
+    if class_weight not in ("balanced", "balanced_subsample"):
+        raise ValueError("class_weight is balanced or balanced_subsample")
+    return forest(trees, min(max_depth or DEEPEST, DEEPEST), seed).setMinInstancesPerNode(max(min_samples_leaf, -(-min_samples_split // 2))).setFeatureSubsetStrategy(max_features or "all")
+
+
+@dataclass
+class Growing:
+    """A forest that grows on a training block: its parts so far, and the votes of all their trees on the rows of the block after it."""
+
+    train: DataFrame
+    votes: DataFrame
+    trees: int = 0
+    parts: list = field(default_factory=list)
+
+    def grow(self, trees: int, make) -> float:
+        """Adds what is missing to trees, make(number, part), and returns the recall of all. Earlier trees are neither fitted nor asked again."""
+        part = make(trees - self.trees, len(self.parts)).fit(self.train)
+        given = vector_to_array("rawPrediction")
+        yes, both = F.coalesce(F.get(given, F.lit(1)), F.lit(0.0)), F.aggregate(given, F.lit(0.0), lambda a, b: a + b)
+        asked = part.transform(self.votes).select("class", "_features", (F.col("_yes") + yes).alias("_yes"), (F.col("_all") + both).alias("_all"))
+        self.votes, self.trees = saved(asked), trees
+        self.parts.append(part)
+        found = F.count_if((F.col("class") == 1) & (2 * F.col("_yes") > F.col("_all")))
+        return self.votes.agg(safe_div(found, F.count_if(F.col("class") == 1)).alias("r")).first().r or 0.0
+
+
+def _side_by_side(spark: SparkSession, tasks: Sequence, parallel: int) -> list:
+    """Results of the tasks, which run at most parallel at a time; each is jobs of its own, and Spark shares the executors among them."""
+    with ThreadPool(max(1, min(parallel, len(tasks)))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(spark)(t) for t in tasks])
+
+
+def forest_search(df: DataFrame, columns: Sequence[str], draws: Sequence[dict], resources: Sequence[int] = (100, 300, 900), factor: int = 3, splits: int = 3, seed: int = 42, parallel: int = 8) -> list[dict]:
+    """Successive halving of forests over drawn parameter sets (forest_draws); the resource is the number of trees. Quality as in successive_halving.
+
+    A candidate's trees are kept from round to round, so 300 trees add 200 to the 100 there are. The blocks' feature vectors are written once, and
+    candidates and blocks are fitted side by side. Rows with a null feature don't count; a block without rows of class 1 gives recall 0."""
+    assemble = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="error")
+    ready = []
+    for train, after in _time_blocks(df.na.drop(subset=[*columns, "class"]), splits):
+        weighted, rows = _weighted(train, "class")
+        if not rows:
+            raise ValueError(f"{splits} time blocks need more rows")
+        few = weighted.coalesce(max(1, 8 * rows * len(columns) // FIT_BYTES))
+        zero = F.lit(0.0)
+        ready.append((saved(assemble.transform(few).select("class", "_features", "_weight")), saved(assemble.transform(after).select("class", "_features", zero.alias("_yes"), zero.alias("_all")))))
+    growing = {(k, i): Growing(*block) for k in range(len(draws)) for i, block in enumerate(ready)}
+
+    def recalls(resource: int, alive: Sequence[int]) -> dict[int, list[float]]:
+        keys = sorted(((k, i) for k in alive for i in range(splits)), key=lambda at: -at[1])  # the largest blocks first
+        seeds = {at: seed + 1000 * at[0] + 100 * at[1] for at in keys}
+        tasks = [lambda at=at: growing[at].grow(resource, lambda n, part: drawn_forest(n, seeds[at] + part, **draws[at[0]])) for at in keys]
+        found = dict(zip(keys, _side_by_side(df.sparkSession, tasks, parallel), strict=True))
+        return {k: [found[k, i] for i in range(splits)] for k in alive}
+
+    return _halved(draws, resources, factor, recalls)
+
+
+def refitted(df: DataFrame, columns: Sequence[str], records: Sequence[dict], seed: int = 42, threshold: float = 0.5) -> Bundle:
+    """The search's best forest, fitted to all rows with as many trees as its last round had."""
+    best = best_record(records)
+    params = {k: best[k] for k in ("max_depth", "min_samples_split", "min_samples_leaf", "max_features", "class_weight")}
+    out = fit(df, columns, drawn_forest(best["resource"], seed, **params), threshold=threshold, name="rf")
+    out.params = params
+    return out
+
+
 def best_record(records: Sequence[dict]) -> dict:
     """The record of the best recall in the last round; of equal ones the least candidate."""
     last = max(r["round"] for r in records)
     return max((r for r in records if r["round"] == last), key=lambda r: (r["recall"], -r["candidate"]))
 
 
-def tuning_report(spark: SparkSession, records: Sequence[dict], params: Sequence[str], fold: str = "fold_1", factor: int = 3, method: str = "SuccessiveHalving", scoring: str = "recall", blocks: str = "TimeBlocks") -> DataFrame:
+def tuning_report(spark: SparkSession, records: Sequence[dict], params: Sequence[str], fold: str = "fold_1", factor: int = 3, method: str = "SuccessiveHalving", scoring: str = "recall", blocks: str = "TimeBlocks", words: Sequence[str] = ()) -> DataFrame:
     """One row on a search: method, scoring, kind and number of splits, the best score with its deviation and each split's, the candidates tested, the
-    tuned parameters (tuned__ and used__), and the schedule of resources and candidates. Without records the scores are null."""
+    tuned parameters (tuned__ and used__; words: those that are strings), and the schedule of resources and candidates. Without records the scores are null."""
     rounds = sorted({r["round"] for r in records})
     best = best_record(records) if records else {"recall": None, "recall_std": None, "splits": []}
     resources = [next(r["resource"] for r in records if r["round"] == k) for k in rounds]
@@ -171,7 +268,7 @@ def tuning_report(spark: SparkSession, records: Sequence[dict], params: Sequence
     }
     text = ("fold", "tuning_method", "inner_cv_scoring", "inner_cv_class", "halving__resources_schedule", "halving__candidates_schedule")
     count = ("inner_cv_n_splits", "n_candidates_tested", "halving__min_resources", "halving__max_resources", "halving__factor", "halving__n_iterations")
-    types = {k: "string" if k in text else "int" if k in count else "double" for k in row}
+    types = {k: "string" if k in text or isinstance(row[k], str) or k.partition("__")[2] in words else "int" if k in count else "double" for k in row}
     return spark.createDataFrame([tuple(None if v is None else float(v) if types[k] == "double" else v for k, v in row.items())], ", ".join(f"`{k}` {t}" for k, t in types.items()))
 
 

@@ -652,10 +652,15 @@ def _training(w: Workspace) -> DataFrame:
     return _labelled(w).where("class is not null")
 
 
+def _forest(w: Workspace) -> models.Bundle:
+    if not hasattr(w, "_fitted_forest"):
+        w._fitted_forest = models.fit(_training(w), MODEL_COLUMNS, models.forest(), threshold=0.4, name="rf")
+    return w._fitted_forest
+
+
 @query
 def rf_score(w: Workspace) -> DataFrame:
-    bundle = models.fit(_training(w), MODEL_COLUMNS, models.forest(), threshold=0.4, name="rf")
-    return rounded(models.score(bundle, _labelled(w)).select("txId", "pred_model", "pred_proba", "pred_class"))
+    return rounded(models.score(_forest(w), _labelled(w)).select("txId", "pred_model", "pred_proba", "pred_class"))
 
 
 @query
@@ -665,8 +670,9 @@ def lr_score(w: Workspace) -> DataFrame:
 
 
 def _windows(w: Workspace) -> list[tuple[int, int]]:
+    """Ten windows of half of the labelled rows, at every size."""
     n = _training(w).count()
-    return features.fold_windows(n, min(30_000, n // 2), 10)
+    return features.fold_windows(n, n // 2, 10)
 
 
 @query
@@ -694,6 +700,33 @@ def tuning_params(w: Workspace) -> DataFrame:
     return rounded(models.tuning_report(w.spark, _search(w), ["reg", "l1_ratio"], factor=2))
 
 
+def _forest_search(w: Workspace) -> list[dict]:
+    """Ten drawn forests of 100 trees, the best four with 300, the best two with 900."""
+    if not hasattr(w, "_found_forests"):
+        w._found_forests = models.forest_search(_training(w), MODEL_COLUMNS, models.forest_draws(10), [100, 300, 900], factor=3, splits=3)
+    return w._found_forests
+
+
+FOREST_PARAMS = {"max_depth": "int", "min_samples_split": "int", "min_samples_leaf": "int", "max_features": "string", "class_weight": "string"}
+
+
+@query
+def rf_halving_search(w: Workspace) -> DataFrame:
+    kinds = {"round": "int", "resource": "int", "candidate": "int", "recall": "double", "recall_std": "double", **FOREST_PARAMS}
+    return rounded(w.spark.createDataFrame([tuple(r[k] for k in kinds) for r in _forest_search(w)], ", ".join(f"{k} {t}" for k, t in kinds.items())))
+
+
+@query
+def rf_tuning_params(w: Workspace) -> DataFrame:
+    return rounded(models.tuning_report(w.spark, _forest_search(w), list(FOREST_PARAMS), factor=3, method="HalvingRandomSearch", words=["max_features", "class_weight"]))
+
+
+@query
+def gini_importance(w: Workspace) -> DataFrame:
+    """Impurity importances of the forest beside the permutation importances by f1, each with its rank."""
+    return rounded(models.importance_ranks(models.permutation_importance(_forest(w), _training(w)), models.model_importance(_forest(w), w.spark)))
+
+
 @query
 def perm_importance(w: Workspace) -> DataFrame:
     bundle = models.fit(_training(w), MODEL_COLUMNS, models.logistic(weighted=True), threshold=0.5)
