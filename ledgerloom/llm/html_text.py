@@ -351,7 +351,8 @@ def main_texts(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
     parent and child and what a node shows of itself (element, class and id names, length, links) give each run's marginal
     probability of being content. Runs of at least a half are kept, whole, in page order, one to a line, with white space turned into single
     spaces and character references decoded. The address and the id play no part. Null html counts as empty and gives an empty text; a page
-    without markup is judged like any other run. Repeated rows give the same text. Other columns are ignored.
+    without markup is judged like any other run. Very long and deep pages are parsed whole. Repeated rows give the same text. An empty table gives
+    no rows. Other columns are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
     rows = pages.select("page_id", "url", "html")

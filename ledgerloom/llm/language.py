@@ -139,7 +139,8 @@ def languages(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     A text's words (runs of letters, lower-cased) speak first: one that the sample knows counts with its log frequency in each language,
     an unseen one with its longest known character n-grams, of five characters down to one. The text alone decides. A text that is null
     or has no letter gets und and score 0, as every text does where no language can be learned. Ties go to the language that is first by
-    code point. Repeated rows are predicted alike. Rows without lang or id teach nothing or count as the empty id. Other columns are ignored.
+    code point. Very long texts are predicted whole, but don't teach (labelled.bounded). Repeated rows are predicted alike. Rows without lang teach
+    nothing, a null id counts as the empty one. An empty table gives no rows. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_lang))
     rows = docs.select("doc_id", "text")

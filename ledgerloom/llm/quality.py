@@ -193,7 +193,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
 
     The model sees the text and n_chars, nothing else. A null text counts as empty and is scored by its structure statistics;
     a null or missing n_chars by the text's length. Repeated rows score alike. Labels of ids that aren't in docs, null labels and
-    labels other than 0 and 1 don't count. Without labelled rows every score is 0.5. Other columns are ignored.
+    labels other than 0 and 1 don't count. Very long texts are scored whole, but don't teach (labelled.bounded). A score equal to threshold is
+    predicted 1. Without labelled rows every score is 0.5; an empty table gives no rows. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_label))
     rows = _with_length(docs).select("doc_id", "text", "n_chars")
@@ -207,7 +208,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:
-    """The documents that score at least threshold, with their own columns."""
+    """The rows of docs that score at least threshold, with their own columns, scored as in quality_scores. Repeated rows stay or go together, null and
+    empty texts by their score; without labelled rows all stay up to a threshold of 0.5. An empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_label))
     own = docs.schema
 

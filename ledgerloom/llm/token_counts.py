@@ -112,5 +112,6 @@ def document_lengths(scanned: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id and n_tokens (end mark not counted) of each row of docs, as the scan finds them in the flat stream of docs.
 
-    Null texts have 0 tokens; null ids stay null; repeated rows each have a row. Other columns are ignored. An empty table gives no rows."""
+    Null and empty texts have 0 tokens; very long texts count whole, over as many blocks as they fill; null ids stay null; repeated rows each have a row. Other
+    columns are ignored. An empty table gives no rows."""
     return document_lengths(scan_blocks(token_stream(docs, tokenizer, eod, block_tokens), eod)).select(F.col("id").alias("doc_id"), "n_tokens")
