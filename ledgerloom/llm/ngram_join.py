@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batched, join_groups, saved, shuffle_parts
@@ -218,6 +218,15 @@ def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return batched(matched).mapInArrow(compute, "node long, words binary").dropDuplicates(["node"])
 
 
+def _members(prefixes: DataFrame) -> DataFrame:
+    """(center, node, n): the nodes of each shingle in the tile of the least among them. Shingles are most of what is shuffled, so they are sent
+    once; a shingle's nodes spill to disk where they are many."""
+    same = Window.partitionBy("token")
+    tokens = prefixes.select("node", "n", F.explode("tokens").alias("token"))
+    met = tokens.withColumns({"center": F.min("node").over(same), "last": F.max("node").over(same)}).where("center != last")
+    return met.groupBy("center", "node").agg(F.first("n").alias("n"))
+
+
 def _tiled(tiles: DataFrame) -> DataFrame:
     """tiles, dealt by their key and in order of key and size."""
     return tiles.repartition(shuffle_parts(tiles.sparkSession), "center", "x", "y").sortWithinPartitions("center", "x", "y", "n", "node")
@@ -267,9 +276,7 @@ def _components(rows: DataFrame, words: int, threshold: int) -> DataFrame:
     same = (F.col("p.hi") == F.col("q.hi")) & (F.col("p.lo") == F.col("q.lo")) & (F.col("p.n") == F.col("q.n")) & F.col("p.id").eqNullSafe(F.col("q.id"))
     prefixes = saved(p.join(q, same).select("node", F.col("p.n").alias("n"), "bits", "tokens"))
 
-    tokens = prefixes.select("node", "n", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("token", "center")
-    members = saved(tokens.join(shared, "token").groupBy("center", "node").agg(F.first("n").alias("n")))
+    members = saved(_members(prefixes))
     size = members.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / TILE_NODES, F.sum("n") / TILE_SHINGLES)).alias("cuts"))
     cut = saved(size.where("cuts > 1"))
     # only the tiles that are cut are looked up; their list is broadcast where it is short

@@ -101,3 +101,10 @@ def test_drop_keeps_one_of_each_group(spark):
     rows = corpus(7, 80)
     kept = [r.doc_id for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept) == sorted({c for _, _, c in brute(rows)})
+
+
+def test_shingles_are_shuffled_once(spark):
+    prefixes = spark.createDataFrame([(1, 5, [10, 11]), (2, 5, [11, 12]), (3, 4, [12]), (4, 4, [13])], "node long, n long, tokens array<long>")
+    members = ngram_join._members(prefixes)
+    assert sorted(map(tuple, members.collect())) == [(1, 1, 5), (1, 2, 5), (2, 2, 5), (2, 3, 4)]
+    assert members._jdf.queryExecution().sparkPlan().toString().count("Generate explode") == 1
