@@ -94,3 +94,23 @@ def test_importance_by_area(spark):
     assert 0.3 < got["x"] < 0.7 and abs(got["noise"]) < 0.1
     with pytest.raises(ValueError):
         models.permutation_importance(bundle, rows, repeats=1, metric="nothing")
+
+
+def test_ranks_of_values_at_the_ninth_decimal(spark):
+    """1 / sqrt(5) is 4e-14 from a boundary of nine decimals: an iteration that stops by a tolerance ranks equal nodes apart."""
+    edges = [(1, 2), (3, 4), (5, 6), (4, 6), (7, 4), (2, 5), (2, 8)]
+    rows = {r.node: r for r in ranking.matrix_metrics(frame(spark, edges), ["eigenvector"]).collect()}
+    assert {k: r.rank_eigenvector for k, r in rows.items()} == {2: 1, 4: 1, 5: 1, 6: 1, 1: 2, 3: 2, 7: 2, 8: 2}
+
+
+def test_rounds_that_a_query_fixes(spark):
+    """A path settles slowly: after as many rounds as asked for, the values are those of so many plain steps."""
+    n, edges = 40, [(i, i + 1) for i in range(40)]
+    a = np.eye(n + 1)
+    for x, y in edges:
+        a[x, y] = a[y, x] = 1.0
+    want = np.ones(n + 1)
+    for _ in range(50):
+        want = a @ want
+    got = {r.node: r.eigenvector for r in ranking.matrix_metrics(frame(spark, edges), ["eigenvector"], rounds={"eigenvector": 50}).collect()}
+    assert np.allclose([got[i] for i in range(n + 1)], want / np.linalg.norm(want), atol=1e-13)
