@@ -112,3 +112,26 @@ def test_gini_importance_by_hand_and_its_ranks(spark, rows):
     merged = {r.feature: r for r in models.importance_ranks(models.permutation_importance(bundle, rows.na.drop(), repeats=2), models.model_importance(bundle, spark)).collect()}
     ranked = sorted(COLUMNS, key=lambda c: -found[c])
     assert [merged[c].rank_model for c in ranked] == [1, 2, 3] and merged["a"].rank_permutation == 1
+
+
+def test_linear_search_keeps_fits_that_ended(spark, rows, monkeypatch):
+    """Each fit told one after the other gives the same records; those that ended before their limit are fitted once."""
+    grid = [{"reg": r} for r in (0.01, 0.1, 1.0)]
+    made = []
+
+    def make(n, reg):
+        made.append((n, reg))
+        return models.logistic(n, reg, 0.0, True)
+
+    known = rows.na.drop()
+    records = models.successive_halving(known, COLUMNS, grid, make, [1, 200, 400], factor=2, splits=2)
+    assert [sum(r["round"] == i for r in records) for i in range(3)] == [3, 2, 1]
+    assert len(made) == 3 * 2 + 2 * 2  # one iteration ends no fit, 200 end all
+    placed = known.orderBy("time_step", "txId").collect()
+    n = len(placed)
+    for r in records:
+        for i, got in enumerate(r["splits"]):
+            a, b = n * (i + 1) // 3, n * (i + 2) // 3
+            bundle = models.fit(spark.createDataFrame(placed[:a], rows.schema), COLUMNS, models.logistic(r["resource"], grid[r["candidate"]]["reg"], 0.0, True), threshold=0.5)
+            held = [x.pred_class for x in models.score(bundle, spark.createDataFrame(placed[a:b], rows.schema)).collect() if x["class"] == 1]
+            assert got == pytest.approx(sum(held) / len(held) if held else 0.0)
