@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,9 @@ from ..sources.tables import saved
 
 MOST_CLASSES = 16
 
+#: Distinct points (feature, value, class) of a range that one task holds at once, about.
+RANGE_POINTS = 200_000
+
 
 def digamma(n: Column) -> Column:
     """Of a whole number from 1 on, to about eleven digits: the asymptotic series at n + 6, less the steps from n there."""
@@ -66,23 +69,21 @@ def _halos(own: DataFrame, k: int, before: bool) -> DataFrame:
 def _radii(counts: DataFrame, gaps: dict, k: int) -> DataFrame:
     """counts with r, the distance of each point to its k-th nearest other one. Points are sorted into ranges by feature and value; each range gets the values next to
     it, class by class (_halos), so no task sees more than a range. gaps: by feature and two classes."""
-    own = saved(counts.repartitionByRange("feature", "x").sortWithinPartitions("feature", "x", "y").withColumn("_p", F.spark_partition_id()))
+    ranges = max(1, counts.count() // RANGE_POINTS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = saved(counts.repartitionByRange(ranges, "feature", "x").sortWithinPartitions("feature", "x", "y").withColumn("_p", F.spark_partition_id()))
     both = own.select("_p", "feature", "x", "y", "n", F.lit(0).alias("halo"))
     for before in (True, False):
         both = both.unionByName(_halos(own, k, before).withColumn("halo", F.lit(1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)  # the ranges of one partition
-        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=["_p", "feature"])
-        for (_, feature), part in rows.groupby(["_p", "feature"]):
-            part = part.sort_values("x", kind="stable")
-            values = {y: np.repeat(g["x"].to_numpy(), np.minimum(g["n"].to_numpy(), k + 1)) for y, g in part.groupby("y")}
-            mine = part[part["halo"] == 0]
-            if len(mine):
-                apart = {(a, b): gaps[feature, a, b] for a in values for b in values}
-                yield mine[["feature", "x", "y", "n"]].assign(r=kth_distances(mine["x"].to_numpy(), mine["y"].to_numpy(), values, apart, k))
-
-    return both.repartition("_p").mapInPandas(run, "feature string, x double, y double, n long, r double")
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("x", kind="stable")
+        feature = part["feature"].iloc[0]
+        values = {y: np.repeat(g["x"].to_numpy(), np.minimum(g["n"].to_numpy(), k + 1)) for y, g in part.groupby("y")}
+        mine = part[part["halo"] == 0]
+        apart = {(a, b): gaps[feature, a, b] for a in values for b in values}
+        return mine[["feature", "x", "y", "n"]].assign(r=kth_distances(mine["x"].to_numpy(), mine["y"].to_numpy(), values, apart, k))
+
+    return both.groupBy("_p", "feature").applyInPandas(run, "feature string, x double, y double, n long, r double")
 
 
 def _inside(points: DataFrame) -> DataFrame:
