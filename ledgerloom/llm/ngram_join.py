@@ -5,7 +5,8 @@
    filter). The order is by a fixed-size sketch of shingle frequencies, rare ones first, so common passages rarely lead anywhere.
 3. The nodes of a shingle belong to the tile of the least node among them, so each candidate pair lies in some tile. Inside
    a tile, nodes are ordered by size; a node meets only those within its size band. Bit counts of hashed bitmaps bound each
-   overlap from above; only pairs that pass count, and their sets are intersected exactly.
+   overlap from above. Bitmaps go to every tile first; sets, which are much larger, only to tiles where they have a pair that passes,
+   and are intersected there exactly.
 4. A tile of many nodes is cut. Each cut is joined to its tile's least node; what is then still apart is compared cut by cut, between
    neighbouring size bands, unless both cuts are known to be in the same component.
 
@@ -14,6 +15,7 @@ Components need only links that join something new, so a tile gives at most one
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from .common import batched, join_groups, saved, shuffle_parts
 from .components import components
 from .textcore import NON_SPACE, Words, by_key, column_bytes, kgrams, mix, pieces
 
-CELLS = 1 << 17  # of the frequency sketch
+CELLS = 1 << 18  # of the frequency sketch
 MARKS = 1 << 23  # bits of the prefilter for texts that are read again
 TILE_NODES, TILE_SHINGLES = 512, 1 << 20
 MAX_BITS = 1 << 14
@@ -87,11 +89,12 @@ class Tile:
 
 
 def _near(group: pd.DataFrame, threshold: int) -> np.ndarray:
-    """Of a tile with bitmaps: True for each node with a partner, in the tile's order."""
-    tile = Tile(group["n"].to_numpy(), group["bits"].tolist(), threshold)
+    """Of a tile with bitmaps: True for each node with a partner that isn't joined to it already, in the tile's order."""
+    tile, labels = Tile(group["n"].to_numpy(), group["bits"].tolist(), threshold), group["label"].to_numpy()
     near = np.zeros(len(group), bool)
     for i in range(len(group)):
         p = tile.partners(i)
+        p = p[labels[p] != labels[i]]
         if len(p):
             near[i] = near[p] = True
     return near
@@ -122,20 +125,20 @@ def _join(nodes: list[int], sets: list[np.ndarray], labels: list[int], threshold
 
 
 def _sketch(digests: DataFrame) -> np.ndarray:
-    """The sum of the partitions' sketches. Its size is fixed; few tasks add up before the driver does."""
+    """The sum of the partitions' sketches, which come packed. Its size is fixed; few tasks add up before the driver does."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sketch"])
+                total += np.frombuffer(zlib.decompress(x), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], ["sketch"])
 
     parts = digests.where("sketch is not null").select("sketch")
     parts = parts.coalesce(max(6, int(parts.rdd.getNumPartitions() ** 0.5))).mapInArrow(add, "sketch binary")
     total = np.zeros(CELLS, np.int64)
     for row in parts.toLocalIterator():
-        total += np.frombuffer(row.sketch, np.int64)
+        total += np.frombuffer(zlib.decompress(row.sketch), np.int64)
     return total
 
 
@@ -147,19 +150,20 @@ def _digests(rows: DataFrame, k: int) -> DataFrame:
         kind = None
         for batch in batches:
             kind, ids = batch.schema.field("id").type, batch.column("id")
-            n, keys, held = [], [], []
+            n, keys, held, waiting = [], [], [], 0
             for s in shingle_sets(column_bytes(batch, "text"), k):
                 n.append(len(s))
                 keys.append(set_key(s))
                 held.append(s)
-                if len(held) == 256:
+                waiting += len(s)
+                if waiting >= CELLS:
                     cells += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    held = []
+                    held, waiting = [], 0
             if held:
                 cells += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             yield pa.RecordBatch.from_arrays([ids, batch.column("h"), pa.array(n, pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.nulls(len(n), pa.binary())], ["id", "h", "n", "hi", "lo", "sketch"])
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()),) * 4, pa.array([cells.tobytes()])], ["id", "h", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()),) * 4, pa.array([zlib.compress(cells.tobytes(), 1)])], ["id", "h", "n", "hi", "lo", "sketch"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return batched(rows).mapInArrow(digest, f"id {kind}, h long, n long, hi long, lo long, sketch binary")
@@ -167,7 +171,7 @@ def _digests(rows: DataFrame, k: int) -> DataFrame:
 
 def _prefixes(rows: DataFrame, k: int, threshold: int, order: np.ndarray) -> DataFrame:
     """(id, n, hi, lo, bits, tokens): the bitmap and the prefix of each set that isn't empty."""
-    sent = rows.sparkSession.sparkContext.broadcast(order)
+    sent = rows.sparkSession.sparkContext.broadcast(np.minimum(order, np.iinfo(np.uint32).max).astype(np.uint32))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sent.value
@@ -232,6 +236,17 @@ def _tiled(tiles: DataFrame) -> DataFrame:
     return tiles.repartition(shuffle_parts(tiles.sparkSession), "center", "x", "y").sortWithinPartitions("center", "x", "y", "n", "node")
 
 
+def _passing(tiles: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame:
+    """The rows of tiles (center, x, y, node, n, label) that have a partner in their tile by the bitmaps."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in by_key(batches, ["center", "x", "y"]):
+            group = group.drop_duplicates("node")
+            yield group.loc[_near(group, threshold), ["center", "x", "y", "node", "n", "label"]]
+
+    return _tiled(tiles.join(bitmaps, "node")).mapInPandas(near, "center long, x long, y long, node long, n long, label long")
+
+
 def _links(tiles: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links inside tiles (center, x, y, node, n, label)."""
 
@@ -285,23 +300,17 @@ def _components(rows: DataFrame, words: int, threshold: int) -> DataFrame:
 
     small = members.join(few(cut.select("center")), "center", "left_anti").select("center", zero.alias("x"), zero.alias("y"), "node", "n")
     bitmaps = prefixes.select("node", "bits").dropDuplicates(["node"])
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in by_key(batches, ["center", "x", "y"]):
-            yield group.loc[_near(group, threshold), ["center", "x", "y", "node", "n"]]
-
-    kept = _tiled(small.join(bitmaps, "node")).mapInPandas(near, "center long, x long, y long, node long, n long")
     large = saved(members.join(few(cut), "center"))
     spread = large.where("node != center").select("center", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("x"), zero.alias("y"), "node", "n")
     centers = large.where("node = center").select("center", F.explode(F.sequence(zero, F.col("cuts") - 1)).alias("x"), zero.alias("y"), "node", "n")
-    tiles = saved(kept.union(spread).union(centers).withColumn("label", F.col("node")))
+    tiles = saved(_passing(small.union(spread).union(centers).withColumn("label", F.col("node")), bitmaps, threshold))
 
-    wanted = tiles.select("node").distinct().join(nodes, "node").select("node", "id", "hi", "lo")
+    wanted = tiles.select("node").union(large.select("node")).distinct().join(nodes, "node").select("node", "id", "hi", "lo")
     sets = saved(_sets(rows, wanted, words))
     links = saved(_links(tiles, sets, threshold))
     labels = components(links)
     if large.take(1):
-        more = saved(_links(_cuts(large, labels, threshold), sets, threshold))
+        more = saved(_links(_passing(_cuts(large, labels, threshold), bitmaps, threshold), sets, threshold))
         if more.take(1):
             labels = components(links.union(more))
 

@@ -108,3 +108,18 @@ def test_shingles_are_shuffled_once(spark):
     members = ngram_join._members(prefixes)
     assert sorted(map(tuple, members.collect())) == [(1, 1, 5), (1, 2, 5), (2, 2, 5), (2, 3, 4)]
     assert members._jdf.queryExecution().sparkPlan().toString().count("Generate explode") == 1
+
+
+def test_sets_go_only_where_a_pair_may_link(spark, monkeypatch):
+    """Texts that share a passage but are far apart meet in cut tiles; their sets, most of what could be sent, stay where they are."""
+    monkeypatch.setattr(ngram_join, "TILE_NODES", 4)
+    rng = random.Random(7)
+    shared = words(rng, 12)
+    rows = [(i, f"{shared} {' '.join(f'own{i}x{k}' for k in range(12))}") for i in range(40)]
+    rows += [(100 + i, f"{rows[i][1]} end") for i in range(3)]
+    sent, plain = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda tiles, sets, threshold: sent.append(tiles.count()) or plain(tiles, sets, threshold))
+    monkeypatch.setattr(ngram_join, "CELLS", 1)  # the order is as good as random, so the shared passage leads to tiles
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sort(got) == sort(brute(rows))
+    assert sum(sent) <= 40
