@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import whole_jobs
 from .common import batched, join_groups, saved, shuffle_parts
 from .components import components
 from .textcore import NON_SPACE, Words, by_key, column_bytes, kgrams, mix, pieces
@@ -197,7 +198,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     cell = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1  # Spark's bitmaps count from 1
     found = nodes.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
     table = np.zeros(MARKS // 8, np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():  # MARKS bits at most
         table[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -280,9 +281,9 @@ def _cuts(large: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     return one.select(columns).union(two.select(columns))
 
 
-def _components(rows: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(hi, lo, n, id, h, copies, component, component_id) of each row (id, text): the key of its set, the hash of its text, a number for its component (null without
-    words), and the component's smallest id; see ngram_components."""
+def _nodes(rows: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, nodes, labels): (id, h, n, hi, lo) of each row (id, text); (hi, lo, n, id, copies, node) of each distinct set; and the component of each node
+    that is linked, as components gives it."""
     digests = saved(_digests(rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text"), words))
     keys = digests.where("sketch is null").drop("sketch")
     nodes = saved(keys.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
@@ -313,7 +314,14 @@ def _components(rows: DataFrame, words: int, threshold: int) -> DataFrame:
         more = saved(_links(_passing(_cuts(large, labels, threshold), bitmaps, threshold), sets, threshold))
         if more.take(1):
             labels = components(links.union(more))
+    return keys, nodes, labels
+
 
+def _components(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(hi, lo, n, id, h, copies, component, component_id) of each row (id, text): the key of its set, the hash of its text, a number for its component (null without
+    words), and the component's smallest id; see ngram_components."""
+    with whole_jobs(rows.sparkSession):  # a hundred shuffles follow: each as a job with threads of its own is what fills the driver
+        keys, nodes, labels = _nodes(rows, words, threshold)
     least = labels.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
     of_node = nodes.join(labels, "node", "left").join(least, "root", "left").select("hi", "lo", "n", "copies", F.coalesce("root", "node").alias("component"), F.coalesce("least", "id").alias("component_id"))
     found = join_groups(keys.where("n > 0"), of_node, ["hi", "lo", "n"], "copies", keys.count())

@@ -123,3 +123,16 @@ def test_sets_go_only_where_a_pair_may_link(spark, monkeypatch):
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sort(got) == sort(brute(rows))
     assert sum(sent) <= 40
+
+
+def test_the_whole_join_runs_few_jobs(spark):
+    """Each job, and each shuffle that is one, leaves threads and records in the driver (101 jobs here when each shuffle was one)."""
+    docs = spark.createDataFrame(corpus(1, 150), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few-jobs", "op1")
+    try:
+        got = ngram_join.ngram_components(docs).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 150
+    assert jobs < 80
