@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import information, ranking
+from ledgerloom.operators import information, ranking, subnetworks
 
 
 def test_groups_are_not_packed_into_one_task(spark):
@@ -31,3 +32,13 @@ def test_ranges_of_points_are_bounded(spark, monkeypatch):
     found = information.knn_information(df, ["a"]).collect()
     assert [r.n for r in found] == [r.n for r in whole] == [4000]
     assert found[0].mutual_info == pytest.approx(whole[0].mutual_info, abs=1e-9)
+
+
+def test_a_large_group_gets_its_seeds_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(subnetworks, "SLICE_NODES", 100, raising=False)
+    rows = [(s, seed, n, abs(n - seed), 0) for s, seed in enumerate((0, 500)) for n in range(seed, seed + 1000)] + [(2, 5000, 5000, 0, 2)]
+    got = subnetworks.collapse_nodes(spark.createDataFrame(rows, "subnetwork_id long, seed_txn long, txn_id long, hop int, merged_subnetwork_id long"))
+    want = {(0, n, min(n if n < 1000 else 9999, n - 500 if n >= 500 else 9999), (0, 500)) for n in range(1500)} | {(2, 5000, 0, (5000,))}
+    found = got.withColumn("p", F.spark_partition_id()).collect()
+    assert len(found) == len(want) and {(r.merged_subnetwork_id, r.txn_id, r.min_hop, tuple(r.seeds_in_group)) for r in found} == want
+    assert len({r.p for r in found if r.merged_subnetwork_id == 0}) > 1
