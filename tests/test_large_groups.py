@@ -114,3 +114,23 @@ def test_rounds_that_a_query_fixes(spark):
         want = a @ want
     got = {r.node: r.eigenvector for r in ranking.matrix_metrics(frame(spark, edges), ["eigenvector"], rounds={"eigenvector": 50}).collect()}
     assert np.allclose([got[i] for i in range(n + 1)], want / np.linalg.norm(want), atol=1e-13)
+
+
+def test_paths_of_a_group_beyond_the_old_limits(spark):
+    """Two nodes lead to a hub that leads to 10,050 others: a group of over 10,000 nodes has its values like any other."""
+    leaves = 10_050
+    edges = spark.createDataFrame([(7, 1, 0), (7, 2, 0), *((7, 0, 3 + i) for i in range(leaves)), (8, 1, 2), (8, 2, 3)], f"{ranking.GROUP} long, src_txn_id long, dst_txn_id long")
+    n = leaves + 3
+    through = {(r[0], r.node): r.betweenness for r in ranking.betweenness(edges).collect() if r.betweenness}
+    assert through == {(7, 0): pytest.approx(2 * leaves / ((n - 1) * (n - 2))), (8, 2): pytest.approx(0.5)}
+    near = {(r[0], r.node): r.harmonic for r in ranking.harmonic(edges).collect()}
+    assert near[7, 0] == near[7, 3] == near[7, n - 1] == 2.0 and near[7, 1] == 0.0 and near[8, 3] == 1.5
+
+
+def test_a_task_goes_through_its_sources_in_turn(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(g, rng.randrange(60), rng.randrange(60)) for g in (1, 2) for _ in range(150)], f"{ranking.GROUP} long, src_txn_id long, dst_txn_id long")
+    for between in (False, True):
+        whole = {(r.g, r.node): r.h for r in ranking._path_sums(edges, None, between).collect()}
+        parted = {(r.g, r.node): r.h for r in ranking._path_sums(edges, None, between, cells=900, tasks=3).collect()}
+        assert parted == pytest.approx(whole)
