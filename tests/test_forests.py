@@ -74,3 +74,10 @@ def test_deep_forests_take_few_jobs_and_are_kept(spark, rows, tmp_path):
 def test_unlike_weights_go_to_sparks_own_forest(spark, rows):
     made = models.VectorAssembler(inputCols=COLUMNS, outputCol="_features").transform(rows.selectExpr("*", "1 + a AS _weight"))
     assert models.forest(2, 3).pack(made) is None and len(models.forest(2, 3).fit(made).trees) == 2
+
+
+def test_a_search_packs_each_block_once(spark, rows, monkeypatch):
+    packs, plain = [], forests.Forest.pack
+    monkeypatch.setattr(forests.Forest, "pack", lambda self, df: packs.append(1) or plain(self, df))
+    records = models.forest_search(rows, COLUMNS, models.forest_draws(3), [2, 4], factor=3, splits=2)
+    assert len(records) == 4 and len(packs) == 2
