@@ -81,3 +81,18 @@ def test_a_search_packs_each_block_once(spark, rows, monkeypatch):
     monkeypatch.setattr(forests.Forest, "pack", lambda self, df: packs.append(1) or plain(self, df))
     records = models.forest_search(rows, COLUMNS, models.forest_draws(3), [2, 4], factor=3, splits=2)
     assert len(records) == 4 and len(packs) == 2
+
+
+def test_importances_ask_the_trees_once_for_all_repeats(spark, rows, monkeypatch):
+    """Each block's scores, looked up by bin, count as those of the rows with swapped values."""
+    monkeypatch.setattr(models, "FOREST_ROWS", 200)
+    bundle = models.fit(rows, COLUMNS, models.forest(9, 12), threshold=0.5, name="rf")
+    placed = models.saved(models.numbered(rows, ["txId"], "_place"))
+    blocks, shifts = models._blocks(placed, 1500, 3, 200)
+    got = {(r["_r"], r["_c"]): (r.tp, r.tn, r.fp, r.fn) for r in models._linear_counts(bundle, blocks, shifts).collect()}
+    scored = models.score(bundle, models._swapped(blocks, bundle.columns, shifts))
+    kinds = {k: v for k, v in models.reports.confusion(models.F.col("class"), models.F.col("pred_class")).items()}
+    want = scored.groupBy("_r", "_c").agg(*(v.alias(k) for k, v in kinds.items())).collect()
+    assert got == {(r["_r"], r["_c"]): (r.tp, r.tn, r.fp, r.fn) for r in want} and len(got) == 12
+    monkeypatch.setattr(models, "_swapped", None)
+    assert models.permutation_importance(bundle, rows, repeats=2).count() == 3
